@@ -7,7 +7,7 @@ stitches documents that cross blocks and files.
 
 Defined results: ids after the last separator are one more document, not closed; empty files and blocks
 add nothing; two separators side by side enclose a document of no ids. For a table of documents, a null
-text is a document of no ids, repeated rows are documents of their own, a null doc_id comes first, an
+text is a document of no ids, repeated rows are documents of their own, a null doc_id stays null, an
 empty table gives no rows, other columns are never read.
 """
 
@@ -63,12 +63,11 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) ->
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, roll: int = 8 << 20) -> tuple[DataFrame, DataFrame, int]:
-    """Flat files of all documents in ascending doc_id order: (files for `scan`, ordinal and doc_id, id width). Documents cross files."""
+    """Flat files of all documents in the order they are read: (files for `scan`, ordinal and doc_id, id width). Documents cross files; nothing is shuffled."""
     spark = docs.sparkSession
     folder = new_path(spark, "flat-tokens")
     width = encoder(tokenizer).width
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(shuffles(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     kind = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("path", pa.string()), ("ids", pa.int64())])
 
     def write(batches):
