@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, and token files on any file system pyarrow can open.
 
-Byte-level BPE cuts a text before every single space that a non-space follows, whatever stands around it,
-so the ids of a text are the ids of these pieces one after another. `Encoder` keeps the ids of pieces it
+Byte-level BPE cuts a text before every space that a non-space follows, whatever stands around it, and
+before a newline between non-spaces, so the ids of a text are the ids of these pieces one after another. `Encoder` keeps the ids of pieces it
 has met in a bounded memo and sends only new ones to the tokenizer, many in one call. A tokenizer with
 any other pre-tokenizer, or with a normaliser, gets whole texts.
 """
@@ -15,15 +15,16 @@ import uuid
 
 import numpy as np
 
-#: White space as either side may see it: a cut is made only where both agree that the next character is none.
-_ODD = re.compile(" (?![^\\s᠎])")
-_CUT = re.compile("(?= [^\\s᠎])")
+#: White space before white space or the end: U+180E counts as white space, since libraries differ on it.
+_ODD = re.compile("[\\s\u180e](?![^\\s\u180e])")
+#: Where any text may be cut.
+_CUT = re.compile("(?= [^\\s\u180e])")
 
 
 class Encoder:
     """ids(texts) gives for each text its ids as little-endian bytes of `width` bytes an id. Special tokens' strings count as ordinary text."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,47 +40,51 @@ class Encoder:
         if self.cuts:
             self.opens = np.zeros(self.tok.get_vocab_size(), bool)
             for token, i in self.tok.get_vocab().items():
-                self.opens[i] = token.startswith("Ġ")
+                self.opens[i] = token[:1] in "ĠĊ"  # how the vocabulary writes a space and a newline
+            self.tok.model._resize_cache(0)
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces with a space at their start alone are encoded side by side and told apart by it."""
-        plain = [p for p in pieces if p[:1] == " " and p.rfind(" ") == 0]
-        odd = [p for p in pieces if not (p[:1] == " " and p.rfind(" ") == 0)]
-        for i in range(0, len(plain), 2048):
-            some = plain[i : i + 2048]
-            ids = self._raw(["".join(some)])[0]
+        """Pieces are encoded side by side and told apart by the space or newline that each opens with."""
+        for i in range(0, len(pieces), 2048):
+            some = pieces[i : i + 2048]
+            ids = self._raw(["".join([p if p[:1] == "\n" else " " + p for p in some])])[0]
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(some):
-                odd += some
+                self.memo.update(zip(some, [x.tobytes() for x in self._raw([p if p[:1] == "\n" else " " + p for p in some])], strict=True))
                 continue
-            raw, ends = ids.tobytes(), [*(starts[1:] * self.width).tolist(), len(ids) * self.width]
-            a = 0
-            for p, b in zip(some, ends, strict=True):
-                self.memo[p] = raw[a:b]
-                a = b
-        for p, ids in zip(odd, self._raw(odd), strict=True):
-            self.memo[p] = ids.tobytes()
+            raw, at = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
+            self.memo.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [x.tobytes() for x in self._raw(texts)]
-        cut = []
-        for t in texts:
-            if _ODD.search(t):
-                cut.append(_CUT.split(t))
-            else:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
+        # without white space next to white space, a text may also be cut before each newline
+        plain = [not _ODD.search(t) for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") for t, p in zip(texts, plain, strict=True) if p]
+        odd = [_CUT.split(t) for t, p in zip(texts, plain, strict=True) if not p]
+        whole = iter(self._raw([c[0] for c in cut] + [x for c in odd for x in c]))
         if len(self.memo) > self.most:
             self.memo.clear()
-        new = set().union(*cut).difference(self.memo) if cut else ()
-        if new:
-            self._learn(list(new))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        self.memo[""] = b""
+        get, found, new = self.memo.get, [], set()
+        for c in cut:
+            c[0] = ""
+            ids = list(map(get, c))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([c[i] for i in gaps])
+            found.append((ids, gaps))
+        self._learn(list(new))
+        done = []
+        for c, (ids, gaps) in zip(cut, found, strict=True):
+            for i in gaps:
+                ids[i] = get(c[i])
+            done.append(next(whole).tobytes() + b"".join(ids))
+        rest = [b"".join(next(whole).tobytes() for _ in c) for c in odd]
+        done, rest = iter(done), iter(rest)
+        return [next(done) if p else next(rest) for p in plain]
 
 
 _encoders: dict[str, Encoder] = {}
