@@ -18,6 +18,7 @@ alike; an empty table gives no rows; other columns are never read, or kept by `k
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,8 +117,6 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 def keep_good(docs: DataFrame, weights: np.ndarray, bits: int = BITS, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores at least `least`, with all their columns."""
-    import pandas as pd
-
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

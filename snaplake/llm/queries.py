@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_model, quality_rules, sharding, simhash, token_counts, token_files
+from . import media, mixing, packing, passages, quality_model, quality_rules, sharding, simhash, token_counts, token_files
 from .tokens import default_tokenizer
 
 
@@ -29,6 +29,14 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_media_columns(spark, sf_dir):
+    return media.features(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark, sf_dir):
+    return passages.occurrences(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     out = simhash.linked(table(spark, sf_dir, "documents"), distance=2, size=3)
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -47,7 +55,7 @@ def op10_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_quality_model, op4_quality_rules, op7_simhash, op8_token_files, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_quality_model, op4_quality_rules, op5_media_columns, op6_substring_dedup, op7_simhash, op8_token_files, op9_packing, op10_sharding)}
 
 ORACLE_SQL = {
     "op2_mixing": r"""

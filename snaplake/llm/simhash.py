@@ -104,7 +104,7 @@ def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct_fps: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
+def links(distinct_fps: DataFrame, distance: int, tile: int = TILE, choose=spanning) -> DataFrame:
     """distinct_fps: fp. Links a, b between fingerprints within distance, enough to connect all that are linked."""
     spark = distinct_fps.sparkSession
     tables = masks(distance, distinct_fps.count())
@@ -121,7 +121,7 @@ def links(distinct_fps: DataFrame, distance: int, tile: int = TILE) -> DataFrame
             a, z = [], []
             for row in b.column(0):
                 fps = np.sort(row.values.to_numpy(zero_copy_only=False))
-                for i, j in spanning(fps.view(np.uint64), distance):
+                for i, j in choose(fps.view(np.uint64), distance):
                     a.append(int(fps[i]))
                     z.append(int(fps[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
@@ -143,3 +143,98 @@ def linked(docs: DataFrame, distance: int = 2, size: int = 3, tile: int = TILE)
 
 def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def near_pairs(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """For each fingerprint its pairs within distance with the nearest one, the one that has most such neighbours, and the first."""
+    n, out = len(fps), set()
+    degree = np.zeros(n, np.int64)
+    step = max(1, (1 << 22) // n)
+    for turn in (0, 1):
+        for i in range(0, n, step):
+            d = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :])
+            near = d <= distance
+            near[np.arange(len(d)), i + np.arange(len(d))] = False
+            if turn == 0:
+                degree[i : i + step] = near.sum(axis=1)
+                continue
+            rows = np.flatnonzero(near.any(axis=1))
+            if not len(rows):
+                continue
+            near, d = near[rows], d[rows]
+            for picked in (np.where(near, d, 255).argmin(axis=1), np.where(near, degree[None, :], -1).argmax(axis=1), near.argmax(axis=1)):
+                out.update(zip((rows + i).tolist(), picked.tolist(), strict=True))
+    return sorted({(min(p), max(p)) for p in out})
+
+
+def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
+    """text_key (xxhash64 of the text) and keep (the doc_id that stays) for every text that is not the only one of its group.
+
+    Candidates: fingerprints over the distinct words within `distance` bits (edits move few of those, so
+    few bits). Verification: the Jaccard similarity of the texts' 5-word shingles is at least `similarity`.
+    """
+    from .words import Words, shingles
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(1).to_pylist()
+            got = [signed(fingerprint(t.as_py(), 1, True)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(got, pa.int64())], names=["doc_id", "key", "fp"])
+
+    rows = written(keyed.mapInArrow(run, "doc_id long, key long, fp long"), "near-prints")
+    nodes = written(rows.groupBy("key", "fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "near-nodes")
+    once = nodes.groupBy("fp").agg(F.min("key").alias("key"))
+    # texts of one fingerprint, and of fingerprints that are near
+    pairs = nodes.select("fp", F.col("key").alias("b")).join(once.withColumnRenamed("key", "a"), "fp").filter("a <> b").select("a", "b")
+    near = links(once.select("fp"), distance, tile, near_pairs)
+    near = near.join(once.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(once.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    pairs = written(pairs.union(near).distinct(), "near-pairs")
+    ids = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-ids")
+    texts = keyed.join(ids, "key", "left_semi").select("doc_id", "key", "text").join(nodes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi")
+
+    def sets(batches):
+        for b in batches:
+            keys, out = b.column(1).to_pylist(), []
+            raw = [t.as_py().encode().lower() for t in b.column(2)]
+            for i in range(0, len(raw), 256):
+                words = Words(raw[i : i + 256])
+                out += [np.unique((shingles(words.hashes[f:t], shingle) >> np.uint64(32)).astype("<u4")).tobytes() for f, t in zip(words.from_.tolist(), words.to.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
+
+    texts = texts.select("doc_id", "key", "text").mapInArrow(sets, "key long, shingles binary")
+    texts = written(texts.dropDuplicates(["key"]), "near-shingles")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= similarity * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    same = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    parts = components(same)
+    named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("part"))
+    least = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("all"))
+    return named.join(least, "part").filter("all > 1").select(F.col("key").alias("text_key"), "keep")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs, all columns, with one document (the smallest doc_id) of each group of exact and near copies."""
+    columns = docs.columns
+    groups = written(near_copies(docs, **how), "near-groups").select(F.col("text_key").alias("__key"), "keep").withColumnRenamed("keep", "__keep")
+    held = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    held = held.join(groups, held["__text_key"] == groups["__key"], "left")
+    held = held.filter(F.col("__key").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
+    # the same row several times is a group of copies too; only such rows are brought together
+    ids = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
+    ids = written(ids, "repeated-ids")
+    if not ids.take(1):
+        return held.select(*columns)
+    mark = held.join(ids.withColumn("__twice", F.lit(True)), held["doc_id"].eqNullSafe(ids["__again"]), "left")
+    return mark.filter("__twice is null").select(*columns).union(mark.filter("__twice").dropDuplicates(["doc_id", "__text_key"]).select(*columns))
