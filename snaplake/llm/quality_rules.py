@@ -67,7 +67,8 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple
     """(target, raw) counts of hashed n-grams, over all documents. A task sends one sum a bucket."""
     ids = trusted.select("doc_id").filter("doc_id is not null").distinct().withColumn("__good", F.lit(1))
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text"))
-    rows = rows.join(ids, rows["__id"] == ids["doc_id"], "left").select(F.coalesce("__good", F.lit(0)).cast("long").alias("good"), F.col("__text"))
+    # texts meet their marks in one shuffle at any size: a plan that broadcasts small label tables would behave otherwise on large ones
+    rows = rows.join(ids.hint("merge"), rows["__id"] == ids["doc_id"], "left").select(F.coalesce("__good", F.lit(0)).cast("long").alias("good"), F.col("__text"))
 
     def run(batches):
         target, raw = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
