@@ -79,7 +79,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
     def run(batches):
         enc, number = encoder(tokenizer), TaskContext.get().partitionId() << 33
-        end = np.array([end_id], enc.dtype)
         rows, held, load = [], [], 0
 
         def settle():
@@ -100,8 +99,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
             return out
 
         for some in slices(batches):
-            for (d, _), raw in zip(some, enc.ids([t for _, t in some]), strict=True):
-                ids = np.concatenate([np.frombuffer(raw, enc.dtype), end]).astype("<u4")
+            for (d, _), ids in zip(some, enc.ids([t for _, t in some], end_id), strict=True):
+                ids = ids.astype("<u4")
                 n, wide = len(ids), memoryview(ids).cast("B")
                 full = n // capacity * capacity
                 for a in range(0, full, capacity):

@@ -72,7 +72,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, roll: int = 8 << 20
 
     def write(batches):
         enc, part, seq, row = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        end, held = np.array([end_id], enc.dtype).tobytes(), b""
+        held = b""
 
         def flush(raw):
             path = f"{folder}/part-{part:06d}-{seq:06d}.ids"
@@ -80,7 +80,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, roll: int = 8 << 20
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "doc_id": [None], "path": [path], "ids": [len(raw) // enc.width]}, schema=kind)
 
         for some in slices(batches):
-            held += b"".join(x + end for x in enc.ids([t for _, t in some]))
+            held += b"".join(x.tobytes() for x in enc.ids([t for _, t in some], end_id))
             n = len(some)
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array([d for d, _ in some], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=kind)
             row += n

@@ -89,12 +89,12 @@ class EliasFano:
             seen, byte, skip = seen + len(ones), byte + 64, 0
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes], width: int) -> list[bytes]:
+def pack(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> list[bytes]:
     nulls = sum(d is None for d in doc_ids)
     there = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
     least = int(there[0]) if len(there) else 0
-    ends = np.cumsum([len(x) // width for x in ids])
-    return [HEAD.pack(MAGIC, width, len(ids), nulls, least), EliasFano.of(ends).to_bytes(), EliasFano.of((there - least).astype(np.uint64)).to_bytes(), *ids]
+    ends = np.cumsum([len(x) for x in ids])
+    return [HEAD.pack(MAGIC, width, len(ids), nulls, least), EliasFano.of(ends).to_bytes(), EliasFano.of((there - least).astype(np.uint64)).to_bytes(), np.concatenate(ids).astype(f"<u{width}").tobytes()]
 
 
 def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -116,7 +116,6 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: i
 
     def write(batches):
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         keys, ids, n = [], [], 0
 
         def flush():
@@ -126,10 +125,10 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: i
 
         kind = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("rows", pa.int64()), ("ids", pa.int64())])
         for some in slices(batches):
-            for (d, _), x in zip(some, enc.ids([t for _, t in some]), strict=True):
+            for (d, _), x in zip(some, enc.ids([t for _, t in some], end_id), strict=True):
                 keys.append(d)
-                ids.append(x + end)
-                n += len(ids[-1]) // enc.width
+                ids.append(x)
+                n += len(x)
             if n >= roll:
                 yield flush()
                 keys, ids, n, seq = [], [], 0, seq + 1

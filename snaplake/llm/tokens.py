@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, and token files on any file system pyarrow can open.
 
-Byte-level BPE cuts a text before every space that a non-space follows, whatever stands around it, and
-before a newline between non-spaces, so the ids of a text are the ids of these pieces one after another. `Encoder` keeps the ids of pieces it
-has met in a bounded memo and sends only new ones to the tokenizer, many in one call. A tokenizer with
-any other pre-tokenizer, or with a normaliser, gets whole texts.
+Byte-level BPE cuts a text before every space that a non-space follows and before a newline between
+non-spaces, so where no white space touches white space the ids of a text are the ids of these pieces one after
+another. `Encoder` scans a buffer of many texts at once, names each piece by two 64-bit hashes, looks all
+of them up in a table of bounded size, and sends only new pieces to the tokenizer, many in one call. Other
+texts, and tokenizers with any other pre-tokenizer or with a normaliser, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,16 +16,83 @@ import uuid
 
 import numpy as np
 
-#: White space before white space or the end: U+180E counts as white space, since libraries differ on it.
+#: White space before white space or the end, or after white space: U+180E counts as such, since libraries differ on it.
 _ODD = re.compile("[\\s\u180e](?![^\\s\u180e])")
-#: Where any text may be cut.
-_CUT = re.compile("(?= [^\\s\u180e])")
+_SEGMENT = 1 << 20
+_PLACES = 1 << 16
+_rng = np.random.default_rng(8)
+_BYTE1, _BYTE2 = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWER = np.full(_PLACES, 0xD6E8FEB86659FD93, np.uint64)
+_POWER[0] = 1
+_POWER = np.multiply.accumulate(_POWER)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class _Table:
+    """Ids of pieces by two hashes: open addressing in flat arrays, `most` pieces at most."""
+
+    def __init__(self, most: int, dtype: np.dtype):
+        self.most, self.bits = most, (2 * most - 1).bit_length()
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.one, self.two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.at, self.size = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.used, self.count = np.zeros(1 << 20, self.dtype), 0, 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 where it is new."""
+        slot = (one >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(one), -1, np.int64)
+        left = np.arange(len(one))
+        while len(left):
+            s = slot[left]
+            k = self.one[s]
+            hit = (k == one[left]) & (self.two[s] == two[left])
+            out[left[hit]] = s[hit]
+            left = left[~hit & (k != 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct new pieces; ids holds theirs one after another."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.count += len(one)
+        slot = (one >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(one))
+        while len(left):
+            s = slot[left]
+            free = left[self.one[s] == 0]
+            self.one[slot[free]] = one[free]  # where two want one slot, the last gets it
+            won = free[self.one[slot[free]] == one[free]]
+            self.two[slot[won]], self.at[slot[won]], self.size[slot[won]] = two[won], at[won], sizes[won]
+            done = np.zeros(len(one), bool)
+            done[won] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def ids(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the slots' pieces, and how many each has."""
+        sizes = self.size[slot]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.at[slot] - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
 class Encoder:
-    """ids(texts) gives for each text its ids as little-endian bytes of `width` bytes an id. Special tokens' strings count as ordinary text."""
+    """stream(texts) gives the ids of all texts, one after another, and how many each has. Special tokens' strings count as ordinary text."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,9 +103,8 @@ class Encoder:
         made = json.loads(self.tok.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
-        self.memo: dict[str, bytes] = {}
-        self.most = memo
         if self.cuts:
+            self.memo = _Table(memo, self.dtype)
             self.opens = np.zeros(self.tok.get_vocab_size(), bool)
             for token, i in self.tok.get_vocab().items():
                 self.opens[i] = token[:1] in "ĠĊ"  # how the vocabulary writes a space and a newline
@@ -46,45 +113,92 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces are encoded side by side and told apart by the space or newline that each opens with."""
+    def _encoded(self, pieces: list[bytes], open_: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of pieces; those that open with a space or newline side by side, told apart by it."""
+        ids, sizes = [], []
         for i in range(0, len(pieces), 2048):
             some = pieces[i : i + 2048]
-            ids = self._raw(["".join([p if p[:1] == "\n" else " " + p for p in some])])[0]
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):
-                self.memo.update(zip(some, [x.tobytes() for x in self._raw([p if p[:1] == "\n" else " " + p for p in some])], strict=True))
-                continue
-            raw, at = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
-            self.memo.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            if open_:
+                got = self._raw([b"".join(some).decode()])[0]
+                starts = np.flatnonzero(self.opens[got])
+            if open_ and len(starts) == len(some):
+                ids.append(got)
+                sizes.append(np.diff(starts, append=len(got)))
+            else:
+                each = self._raw([p.decode() for p in some])
+                ids += each
+                sizes.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _scanned(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as stream, for texts in UTF-8 without white space next to white space."""
+        joined = b"".join(raw)
+        if not joined:
+            return np.zeros(0, self.dtype), np.zeros(len(raw), np.int64)
+        buf = np.frombuffer(joined, np.uint8)
+        begins = np.cumsum([0, *map(len, raw)])
+        cut = (buf == 0x20) | (buf == 0x0A)
+        cut[begins[:-1][np.diff(begins) > 0]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=len(buf))
+        place = (np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lengths)) & (_PLACES - 1)
+        power = _POWER[place]
+        one = _mixed(np.add.reduceat(_BYTE1[buf] * power, starts)) | np.uint64(1)  # 0 marks free slots
+        two = np.add.reduceat(_BYTE2[buf] * power, starts)
+        slot = self.memo.find(one, two)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            _, first = np.unique(one[new], return_index=True)
+            if self.memo.count + len(first) > self.memo.most:
+                self.memo.clear()
+                new = np.arange(len(one))
+                _, first = np.unique(one, return_index=True)
+            some = new[first]
+            a, b = starts[some].tolist(), (starts + lengths)[some].tolist()
+            pieces = [joined[x:y] for x, y in zip(a, b, strict=True)]
+            # pieces at a text's start may open with neither; they go by themselves
+            opens = np.isin(buf[starts[some]], (0x20, 0x0A))
+            for open_ in (True, False):
+                k = np.flatnonzero(opens == open_)
+                if len(k):
+                    ids, sizes = self._encoded([pieces[i] for i in k.tolist()], open_)
+                    self.memo.add(one[some[k]], two[some[k]], ids, sizes)
+            slot[new] = self.memo.find(one[new], two[new])
+            if (slot < 0).any():  # the first hash met twice with different second ones
+                each = self._raw([r.decode() for r in raw])
+                return np.concatenate(each), np.array([len(x) for x in each])
+        ids, sizes = self.memo.ids(slot)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(ends[np.searchsorted(starts, begins)])
+
+    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.cuts:
-            return [x.tobytes() for x in self._raw(texts)]
-        # without white space next to white space, a text may also be cut before each newline
-        plain = [not _ODD.search(t) for t in texts]
-        cut = [t.replace("\n", " \n").split(" ") for t, p in zip(texts, plain, strict=True) if p]
-        odd = [_CUT.split(t) for t, p in zip(texts, plain, strict=True) if not p]
-        whole = iter(self._raw([c[0] for c in cut] + [x for c in odd for x in c]))
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        self.memo[""] = b""
-        get, found, new = self.memo.get, [], set()
-        for c in cut:
-            c[0] = ""
-            ids = list(map(get, c))
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            new.update([c[i] for i in gaps])
-            found.append((ids, gaps))
-        self._learn(list(new))
-        done = []
-        for c, (ids, gaps) in zip(cut, found, strict=True):
-            for i in gaps:
-                ids[i] = get(c[i])
-            done.append(next(whole).tobytes() + b"".join(ids))
-        rest = [b"".join(next(whole).tobytes() for _ in c) for c in odd]
-        done, rest = iter(done), iter(rest)
-        return [next(done) if p else next(rest) for p in plain]
+            each = self._raw(texts)
+            return np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(x) for x in each], dtype=np.int64)
+        if not any(map(_ODD.search, texts)) and sum(map(len, texts)) <= 4 * _SEGMENT:
+            return self._scanned([t.encode() for t in texts])
+        each = []
+        for t in texts:
+            if _ODD.search(t):
+                each.append(self._raw([t])[0])
+                continue
+            raw, parts, at = t.encode(), [np.zeros(0, self.dtype)], 0
+            while at < len(raw):
+                to = min(at + _SEGMENT, len(raw))
+                while to < len(raw) and raw[to] not in b" \n":
+                    to += 1
+                parts.append(self._scanned([raw[at:to]])[0])
+                at = to
+            each.append(np.concatenate(parts))
+        return np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(x) for x in each], dtype=np.int64)
+
+    def ids(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, with the end id after them if there is one."""
+        flat, n = self.stream(texts)
+        ends = np.cumsum(n)
+        if end is not None:
+            flat, ends = np.insert(flat, ends, end), ends + np.arange(1, len(ends) + 1)
+        return np.split(flat, ends[:-1]) if len(texts) else []
 
 
 _encoders: dict[str, Encoder] = {}
