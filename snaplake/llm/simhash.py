@@ -149,7 +149,7 @@ def near_pairs(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """For each fingerprint its pairs within distance with the nearest one, the one that has most such neighbours, and the first."""
     n, out = len(fps), set()
     degree = np.zeros(n, np.int64)
-    step = max(1, (1 << 22) // n)
+    step = max(1, (1 << 19) // n)
     for turn in (0, 1):
         for i in range(0, n, step):
             d = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :])
