@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows that go to a Python worker at once, where the session has Spark's default: rows here may hold long texts, and workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable on executors that were started elsewhere; once for each application."""
+    """Makes the package importable on executors that were started elsewhere, once for each application; keeps batches for Python workers small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
