@@ -48,6 +48,18 @@ class Frame(InputPartition):
         self.start, self.size = start, size
 
 
+class _Part:
+    """The bytes of one frame, for a reader that would go on to the next."""
+
+    def __init__(self, f, n: int):
+        self.f, self.left = f, n
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.f.read(self.left if n < 0 else min(n, self.left))
+        self.left -= len(data)
+        return data
+
+
 class PackReader(DataSourceReader):
     def __init__(self, options):
         self.uri = options["path"]
@@ -62,7 +74,7 @@ class PackReader(DataSourceReader):
         at = 0
         with where.open_input_file(path) as f:
             f.seek(partition.start)
-            with _decompressor().stream_reader(f, closefd=False) as r:
+            with _decompressor().stream_reader(_Part(f, partition.size), closefd=False) as r:
                 while data := r.read(CHUNK):
                     yield partition.value, at, data
                     at += len(data)
