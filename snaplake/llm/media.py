@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 from .tokens import slices
 
 UNKNOWN = "application/octet-stream"
@@ -213,7 +213,7 @@ def sniff_column(df: DataFrame, id_col: str, content_col: str, declared_col: str
             one = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("declared", pa.string()), ("type", pa.string()), ("agrees", pa.bool_()), ("embedded", pa.list_(one))]))
 
-    return df.select(F.col(id_col).cast("long"), F.col(content_col).cast("binary"), F.col(declared_col).cast("string")).mapInArrow(run, SNIFFED)
+    return df.select(F.col(id_col).cast("long"), F.col(content_col).cast("binary"), F.col(declared_col).cast("string")).mapInArrow(tidied(run), SNIFFED)
 
 
 def carve(content: bytes) -> list[bytes]:
@@ -258,7 +258,7 @@ def features(docs: DataFrame) -> DataFrame:
             raw = [t.encode() for _, t in some]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([store(r) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    stored = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(put, "doc_id long, n_bytes long, media binary"), "media")
+    stored = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(put), "doc_id long, n_bytes long, media binary"), "media")
 
     def read(batches):
         for batch in batches:
@@ -277,4 +277,4 @@ def features(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return stored.mapInArrow(read, FEATURES)
+    return stored.mapInArrow(tidied(read), FEATURES)

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .tokens import encoder, slices
 
 
@@ -118,4 +119,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         if rows:
             yield told()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)

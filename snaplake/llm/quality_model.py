@@ -18,11 +18,11 @@ alike; an empty table gives no rows; other columns are never read, or kept by `k
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .tokens import slices
 from .words import Words, features
 
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
                 model.learn(np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(float), y, weight[y])
         yield pa.RecordBatch.from_pydict({"w": [model.weights(slice(None)).astype("<f4").tobytes()]})
 
-    one = rows.mapInArrow(featured, "h long, doc_id long, y long, at binary, x binary").repartition(1).mapInArrow(train, "w binary").collect()
+    one = rows.mapInArrow(tidied(featured), "h long, doc_id long, y long, at binary, x binary").repartition(1).mapInArrow(tidied(train), "w binary").collect()
     return np.frombuffer(one[0].w, "<f4") if one else np.zeros(size + 1, np.float32)
 
 
@@ -112,21 +112,22 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
             got = score_texts([t.encode() for _, t in some], model.value, bits)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, bits: int = BITS, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores at least `least`, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
+    column = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        out: list[float] = []
-        for i in range(0, len(texts), 256):
-            out += score_texts([(t or "").encode() for t in texts.iloc[i : i + 256]], model.value, bits)
-        return pd.Series(out, dtype=float)
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                got = score_texts([str(t.as_py() or "").encode() for t in part.column(column)], model.value, bits)
+                yield part.filter(pa.array([g >= least for g in got]))
 
-    return docs.filter(scored(F.col("text").cast("string")) >= least)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 from .tokens import slices
 from .words import SPACE, Words, features, grams
 
@@ -86,7 +86,7 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple
             a = at[i : i + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(target[a]), pa.array(raw[a])], names=["at", "target", "raw"])
 
-    summed = rows.mapInArrow(run, "at long, target long, raw long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
+    summed = rows.mapInArrow(tidied(run), "at long, target long, raw long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
     target, raw = np.zeros(1 << bits), np.zeros(1 << bits)
     target[summed["at"]], raw[summed["at"]] = summed["target"], summed["raw"]
     return target, raw
@@ -121,7 +121,7 @@ def measure(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame
             kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), COLUMNS)
 
 
 def threshold(scored: DataFrame, labels: DataFrame, bins: int = 4096, low: float = -4.0, high: float = 4.0) -> float:

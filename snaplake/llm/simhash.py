@@ -24,18 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffles, written
+from .common import shuffles, tidied, written
 from .components import components
 from .tokens import slices
+from .words import Words, mixed, shingles
 
 TILE = 2048
+VIEWS = 2
 
 
-def fingerprint(text: str, size: int = 3, distinct: bool = False) -> int:
-    """Bit i is 1 if set in over half of the XXH64 hashes (seed 42) of the shingles: repeats included, unless distinct."""
+def fingerprint(text: str, size: int = 3, distinct: bool = False, views: int = 1) -> int | list[int]:
+    """Bit i is 1 if set in over half of the XXH64 hashes (seed 42) of the shingles: repeats included, unless distinct. More views: a list, the others over remixed hashes."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return 0 if views == 1 else [0] * views
     n = max(1, len(words) - size + 1)
     line = b" ".join(words)
     if n == 1:
@@ -50,10 +52,15 @@ def fingerprint(text: str, size: int = 3, distinct: bool = False) -> int:
         some = list(set(some))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, 42) for s in some], dtype=np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    out = []
+    for view in range(views):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little"))
+        if view < views - 1:
+            h = mixed(h + np.uint64(0x9E3779B97F4A7C15))
+    return out[0] if views == 1 else out
 
 
 def signed(x: int) -> int:
@@ -68,7 +75,7 @@ def fingerprints(docs: DataFrame, size: int = 3, distinct: bool = False) -> Data
             got = [signed(fingerprint(t, size, distinct)) for _, t in some]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array(got, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def masks(distance: int, n: int) -> list[int]:
@@ -126,7 +133,7 @@ def links(distinct_fps: DataFrame, distance: int, tile: int = TILE, choose=spann
                     z.append(int(fps[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(verify, "a long, b long").distinct()
+    return met.mapInArrow(tidied(verify), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, distance: int = 2, size: int = 3, tile: int = TILE) -> DataFrame:
@@ -170,28 +177,32 @@ def near_pairs(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
     """text_key (xxhash64 of the text) and keep (the doc_id that stays) for every text that is not the only one of its group.
 
-    Candidates: fingerprints over the distinct words within `distance` bits (edits move few of those, so
-    few bits). Verification: the Jaccard similarity of the texts' 5-word shingles is at least `similarity`.
+    Candidates: two independent fingerprints over the distinct words (edits move few of those, so few bits), either
+    within `distance` bits; what one misses by chance the other mostly finds. Verification: the Jaccard similarity of the texts' 5-word shingles is at least `similarity`.
     """
-    from .words import Words, shingles
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
 
     def run(batches):
         for b in batches:
             keys = b.column(1).to_pylist()
-            got = [signed(fingerprint(t.as_py(), 1, True)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(got, pa.int64())], names=["doc_id", "key", "fp"])
-
-    rows = written(keyed.mapInArrow(run, "doc_id long, key long, fp long"), "near-prints")
-    nodes = written(rows.groupBy("key", "fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "near-nodes")
-    once = nodes.groupBy("fp").agg(F.min("key").alias("key"))
-    # texts of one fingerprint, and of fingerprints that are near
-    pairs = nodes.select("fp", F.col("key").alias("b")).join(once.withColumnRenamed("key", "a"), "fp").filter("a <> b").select("a", "b")
-    near = links(once.select("fp"), distance, tile, near_pairs)
-    near = near.join(once.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(once.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    pairs = written(pairs.union(near).distinct(), "near-pairs")
+            got = [[signed(v) for v in fingerprint(t.as_py(), 1, True, VIEWS)] for t in b.column(2)]
+            prints = [pa.array([g[i] for g in got], pa.int64()) for i in range(VIEWS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), *prints], names=["doc_id", "key", *[f"fp{i}" for i in range(VIEWS)]])
+
+    views = [f"fp{i}" for i in range(VIEWS)]
+    rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, " + ", ".join(f"{v} long" for v in views)), "near-prints")
+    nodes = written(rows.groupBy("key", *views).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "near-nodes")
+    pairs = None
+    for v in views:
+        once = nodes.groupBy(F.col(v).alias("fp")).agg(F.min("key").alias("key"))
+        # texts of one fingerprint, and of fingerprints that are near
+        same = nodes.select(F.col(v).alias("fp"), F.col("key").alias("b")).join(once.withColumnRenamed("key", "a"), "fp").filter("a <> b").select("a", "b")
+        near = links(once.select("fp"), distance, tile, near_pairs)
+        near = near.join(once.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(once.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b")
+        both = same.union(near.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")))
+        pairs = both if pairs is None else pairs.union(both)
+    pairs = written(pairs.distinct(), "near-pairs")
     ids = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-ids")
     texts = keyed.join(ids, "key", "left_semi").select("doc_id", "key", "text").join(nodes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi")
 
@@ -204,7 +215,7 @@ def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shi
                 out += [np.unique((shingles(words.hashes[f:t], shingle) >> np.uint64(32)).astype("<u4")).tobytes() for f, t in zip(words.from_.tolist(), words.to.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
 
-    texts = texts.select("doc_id", "key", "text").mapInArrow(sets, "key long, shingles binary")
+    texts = texts.select("doc_id", "key", "text").mapInArrow(tidied(sets), "key long, shingles binary")
     texts = written(texts.dropDuplicates(["key"]), "near-shingles")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -217,7 +228,7 @@ def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shi
                 keep.append(shared >= similarity * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    same = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    same = both.select("a", "b", "sa", "sb").mapInArrow(tidied(verify), "a long, b long")
     parts = components(same)
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("all"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffles, written
+from .common import new_path, shuffles, tidied, written
 from .tokens import encoder, get, put, slices
 
 
@@ -37,7 +37,7 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) ->
                 yield pa.RecordBatch.from_pydict({"place": [place], "at": [at], "n": [n], "found": [len(ends)], "last": [int(ends[-1]) if len(ends) else None], "ends": [ends.tobytes()]}, schema=kind)
 
     kind = pa.schema([("place", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("found", pa.int64()), ("last", pa.int64()), ("ends", pa.binary())])
-    made = blocks.repartition(shuffles(files.sparkSession), "path", "at").mapInArrow(find, "place long, at long, n long, found long, last long, ends binary")
+    made = blocks.repartition(shuffles(files.sparkSession), "path", "at").mapInArrow(tidied(find), "place long, at long, n long, found long, last long, ends binary")
     made = written(made, "token-blocks")
 
     order = Window.orderBy("place", "at")
@@ -59,7 +59,7 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) ->
                 yield pa.RecordBatch.from_arrays([pa.array(docs + np.arange(len(ends))), pa.array(starts), pa.array(ends - starts), pa.array(closed)], names=["ordinal", "start", "n_tokens", "closed"])
 
     joined = made.select("place", "at", "n", "ends").join(small, ["place", "at"]).select("n", "ends", "base", "docs", "open", "final")
-    return joined.mapInArrow(tell, "ordinal long, start long, n_tokens long, closed boolean")
+    return joined.mapInArrow(tidied(tell), "ordinal long, start long, n_tokens long, closed boolean")
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, roll: int = 8 << 20) -> tuple[DataFrame, DataFrame, int]:
@@ -90,7 +90,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, roll: int = 8 << 20
         if held:
             yield flush(held)
 
-    made = written(rows.mapInArrow(write, "part int, seq long, doc_id long, path string, ids long"), "flat-manifest")
+    made = written(rows.mapInArrow(tidied(write), "part int, seq long, doc_id long, path string, ids long"), "flat-manifest")
     files = made.filter("path is not null").select("path", (F.col("part").cast("long") * (1 << 32) + F.col("seq")).alias("place"), "ids")
     keys = made.filter("path is null")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

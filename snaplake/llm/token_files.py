@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffles, written
+from .common import new_path, shuffles, tidied, written
 from .tokens import encoder, get, put, slices
 
 MAGIC = b"SLTK0001"
@@ -135,7 +135,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: i
         if keys:
             yield flush()
 
-    files = written(rows.mapInArrow(write, "path string, part int, seq int, rows long, ids long"), "token-manifest")
+    files = written(rows.mapInArrow(tidied(write), "path string, part int, seq int, rows long, ids long"), "token-manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -153,4 +153,4 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("path", "base").repartition(shuffles(manifest.sparkSession), "path")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
