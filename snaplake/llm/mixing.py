@@ -63,7 +63,7 @@ def takes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with docs' columns."""
-    columns = docs.columns
-    taken = takes(docs, weights, share, epochs, seed, keep=columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))  # one column, so that no name clashes
+    taken = takes(rows, weights, share, epochs, seed, keep=["__row"])
     taken = taken.filter("repeats > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int"))))
-    return taken.select(*columns)
+    return taken.select("__row.*")
