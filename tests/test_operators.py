@@ -1,5 +1,7 @@
 import hashlib
 import random
+from bisect import bisect_right
+from itertools import accumulate, pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,19 +83,17 @@ def test_snapshot_checksum_against_hashlib(spark):
 
 
 def greedy(sizes, n):
-    if not sizes:
+    """Sizes of the runs, by bisection of the running totals."""
+    totals = list(accumulate(sizes))
+    if not totals:
         return []
-    n = max(min(n, len(sizes)), 1)
-    bound, parts, i = sum(sizes) // n, [], 0
+    n = max(1, min(n, len(sizes)))
+    cuts = [0]
     for _ in range(n - 1):
-        run = 0
-        start = i
-        while i < len(sizes) and run + sizes[i] <= bound:
-            run += sizes[i]
-            i += 1
-        if i > start:
-            parts.append(i - start)
-    return parts + ([len(sizes) - i] if i < len(sizes) else [])
+        before = totals[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(bisect_right(totals, before + totals[-1] // n))
+    cuts.append(len(sizes))
+    return [b - a for a, b in pairwise(cuts) if b > a]
 
 
 CASES = [(list(range(1, 10)), 2), ([1, 2, 999], 4), ([1, 1, 1], 4), ([], 3), ([5], 1), ([999, 1, 2], 4), ([0, 0, 3, 0], 2)] + [([random.Random(i).randint(0, 30) for _ in range(i)], i % 5 + 1) for i in range(1, 14)]
