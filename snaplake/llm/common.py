@@ -61,7 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` once all that was made of them is itself written."""
+    for t in tables:
+        remove(t.sparkSession, t._written_at)
 
 
 def tidied(run):

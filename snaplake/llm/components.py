@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import discard, shared_dir, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,6 +31,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # done when every node hangs on one node that hangs on none
         tops = after.groupBy("a").count().filter("count > 1").select("a").union(after.select("b").join(after.select(F.col("a").alias("b")), "b", "left_semi")).limit(1)
         done = not tops.take(1)
+        discard(now)
         now = after
         if done:
             break

@@ -7,8 +7,7 @@ of window sums over one row per source. A source's target is then met by whole r
 documents, and one more repetition of the first documents of a seeded order, until the target is nearest.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own, last in
-order; repeated rows are rows of their own (equal rows are interchangeable: which of them gets the extra
-repetition does not matter); an empty table gives an empty table; other columns are kept by `mix` and
+order; repeated rows are rows of their own, and rows alike in doc_id, source and size share their fate; an empty table gives an empty table; other columns are kept by `mix` and
 never read.
 """
 
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RANK_HEX, WORD, seeded, with_running, written
+from .common import RANK_HEX, WORD, discard, seeded, with_running, written
 
 
 def words(text: Column) -> Column:
@@ -43,22 +42,40 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return s.withColumn("target", target).drop("__w", "__cap", "__at", "__all", "__level")
 
 
-def takes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns named in keep, size, source_size, target, repeats (copies of the document in the mix), taken (words)."""
-    keep = [c for c in (keep or []) if c not in ("doc_id", "source")]
-    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"__keep_{c}") for c in keep], words(F.col("text")).alias("size"))
-    rows = rows.withColumn("__h", seeded(seed, F.col("doc_id")))
-    rows = written(rows, "mix-sizes")
+def _order(seed: int):
+    """What puts a source's rows in their seeded order."""
+    return F.struct(seeded(seed, F.col("doc_id")).alias("h"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), words(F.col("text")).alias("size"))
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:
+    """One row a source: source, source_size, target, whole (repetitions of all its documents), last (the last document of the seeded order that is repeated once more).
+
+    A document is repeated once more if the middle of its words lies within what is left of the target; that
+    holds for the first documents of the order and for none after them, so one place says it all.
+    """
+    rows = written(docs.select("source", _order(seed).alias("__o")).select("source", "__o", F.col("__o.size").alias("size")), "mix-sizes")
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
-    run = with_running(rows, ["source"], F.substring("__h", 1, RANK_HEX), [F.col("__h"), F.col("doc_id"), F.col("size")], {"__before": F.col("size")})
-    per = per.withColumnRenamed("source", "__source")
-    run = run.join(per, run["source"].eqNullSafe(per["__source"])).drop("__source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    run = run.withColumn("__whole", whole)
-    left = F.col("target") - F.col("__whole") * F.col("source_size")
-    once_more = (F.col("__before") + F.col("size") / 2 <= left) & (F.col("__whole") < epochs) & (F.col("size") > 0)
-    run = run.withColumn("repeats", F.col("__whole") + once_more.cast("long"))
-    return run.select("doc_id", "source", *[F.col(f"__keep_{c}").alias(c) for c in keep], "size", F.col("source_size").cast("long").alias("source_size"), "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    per = per.withColumn("whole", whole)
+    run = with_running(rows, ["source"], F.substring("__o.h", 1, RANK_HEX), [F.col("__o")], {"__before": F.col("size")})
+    left = per.select(F.col("source").alias("__source"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("__left"))
+    run = run.join(left, run["source"].eqNullSafe(left["__source"])).filter((F.col("size") > 0) & (F.col("__before") + F.col("size") / 2 <= F.col("__left")))
+    last = run.groupBy(F.col("source").alias("__source")).agg(F.max("__o").alias("last"))
+    out = per.join(last, per["source"].eqNullSafe(last["__source"]), "left").drop("__source")
+    out = written(out.select("source", F.col("source_size").cast("long").alias("source_size"), "target", "whole", "last"), "mix-plan")
+    discard(rows)
+    return out
+
+
+def takes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, the columns named in keep, size, source_size, target, repeats (copies of the document in the mix), taken (words). Texts are not moved: the plan comes to them."""
+    keep = [c for c in (keep or []) if c not in ("doc_id", "source")]
+    per = plan(docs, weights, share, epochs, seed).withColumnRenamed("source", "__source")
+    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"__keep_{c}") for c in keep], _order(seed).alias("__o"))
+    rows = rows.join(per, rows["source"].eqNullSafe(per["__source"]))
+    once_more = F.coalesce(F.col("__o") <= F.col("last"), F.lit(False)) & (F.col("__o.size") > 0)
+    rows = rows.withColumn("repeats", F.least(F.col("whole") + once_more.cast("long"), F.lit(epochs)).cast("long"))
+    return rows.select("doc_id", "source", *[F.col(f"__keep_{c}").alias(c) for c in keep], F.col("__o.size").alias("size"), "source_size", "target", "repeats", (F.col("__o.size") * F.col("repeats")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:

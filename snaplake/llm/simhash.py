@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffles, tidied, written
+from .common import discard, shuffles, tidied, written
 from .components import components
 from .tokens import slices
 from .words import Words, mixed, shingles
@@ -204,7 +204,7 @@ def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shi
         pairs = both if pairs is None else pairs.union(both)
     pairs = written(pairs.distinct(), "near-pairs")
     ids = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-ids")
-    texts = keyed.join(ids, "key", "left_semi").select("doc_id", "key", "text").join(nodes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi")
+    texts = keyed.join(ids.hint("merge"), "key", "left_semi").select("doc_id", "key", "text").join(nodes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi")
 
     def sets(batches):
         for b in batches:
@@ -217,7 +217,7 @@ def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shi
 
     texts = texts.select("doc_id", "key", "text").mapInArrow(tidied(sets), "key long, shingles binary")
     texts = written(texts.dropDuplicates(["key"]), "near-shingles")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = pairs.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").hint("merge").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def verify(batches):
         for batch in batches:
@@ -232,15 +232,17 @@ def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shi
     parts = components(same)
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("all"))
-    return named.join(least, "part").filter("all > 1").select(F.col("key").alias("text_key"), "keep")
+    groups = written(named.join(least, "part").filter("all > 1").select(F.col("key").alias("text_key"), "keep"), "near-groups")
+    discard(rows, nodes, pairs, ids, texts)
+    return groups
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs, all columns, with one document (the smallest doc_id) of each group of exact and near copies."""
     columns = docs.columns
-    groups = written(near_copies(docs, **how), "near-groups").select(F.col("text_key").alias("__key"), "keep").withColumnRenamed("keep", "__keep")
+    groups = near_copies(docs, **how).select(F.col("text_key").alias("__key"), F.col("keep").alias("__keep"))
     held = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    held = held.join(groups, held["__text_key"] == groups["__key"], "left")
+    held = held.join(groups.hint("merge"), held["__text_key"] == groups["__key"], "left")
     held = held.filter(F.col("__key").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
     # the same row several times is a group of copies too; only such rows are brought together
     ids = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))

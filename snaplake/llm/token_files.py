@@ -129,9 +129,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: i
                 keys.append(d)
                 ids.append(x)
                 n += len(x)
-            if n >= roll:
-                yield flush()
-                keys, ids, n, seq = [], [], 0, seq + 1
+                if n >= roll:
+                    yield flush()
+                    keys, ids, n, seq = [], [], 0, seq + 1
         if keys:
             yield flush()
 
