@@ -58,7 +58,7 @@ def test_elias_fano_is_small():
 def documents(spark, n=60):
     rng = random.Random(3)
     rows = [(i * 7 - 30, " ".join(rng.choices(["alpha", "béta", "x\ny", "  ", "gamma!"], k=rng.choice([0, 1, 30, 900])))) for i in range(n)]
-    rows += [(None, "no id"), (5, None), (5, None), (10**15, "")]
+    rows += [(None, "no id"), (6, None), (6, None), (10**15, "")]
     return spark.createDataFrame(rows, KIND).repartition(5), rows
 
 
@@ -121,13 +121,13 @@ def test_packing(spark, plain):
             assert r.offset == at and r.length > 0
             at += r.length
         assert at <= 64
-    texts = {d: [*plain(t), 0] for d, t in rows if d != 5}
+    texts = {d: [*plain(t), 0] for d, t in rows if d != 6}
     for d, ids in texts.items():
         mine = sorted((r for r in got if r.doc_id == d), key=lambda r: r.start)
         assert [r.start for r in mine] == [0, *np.cumsum([r.length for r in mine])[:-1]]
         assert all(r.doc_tokens == len(ids) and zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in mine)
         assert sum(r.length for r in mine) == len(ids)
-    assert sum(r.doc_id == 5 for r in got) == 2
+    assert sum(r.doc_id == 6 for r in got) == 2
 
 
 @pytest.mark.parametrize("seed", range(5))
