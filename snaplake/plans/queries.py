@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -694,3 +695,169 @@ SELECT (p.pack, p.tag) FROM prints p WHERE p.pack LIKE 'loose/%' AND EXISTS (SEL
 def gc(spark, sf):
     m = fixture.multi(spark, sf)
     return catalog.unreferenced(fixture.files(spark, sf).select("checksum").distinct(), m, catalog.redundant_loose(_prints(spark, sf)))
+
+
+# --- files, packs, remotes and commands: written to the shared folder and read back ----------------
+
+
+def _folder(spark, name):
+    """A fresh folder that the driver and all executors see."""
+    import tempfile
+    import uuid
+
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="snaplake-")
+    return f"{top.rstrip('/')}/snaplake-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT path FROM files WHERE seq = 2 AND doc_id % 2 = 0")
+def scan_file_list(spark, sf):
+    from ..sources.worktree import file_list
+
+    at = _folder(spark, "names")
+    doc = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long")
+    lines = _state(spark, sf, 2).select(F.when(doc % 2 == 0, F.col("path")).otherwise("").alias("value"))  # every other name is empty
+    lines.write.option("lineSep", "\0").text(at)
+    return file_list(spark, at, nul=True)
+
+
+@query("SELECT checksum, size, path FROM (SELECT checksum, size, substr(checksum, 1, 2) || '/' || substr(checksum, 3, 2) || '/' || substr(checksum, 5) AS path FROM objects)")
+def explode_pack(spark, sf):
+    packed = create_pack(spark, sf)
+    return packed.select("checksum", "size", S.loose_path(F.col("checksum")).alias("path"))
+
+
+@query("SELECT checksum, size FROM objects")
+def create_pack(spark, sf):
+    """Contents to compressed frames and back: each object read from its frame, checked against its checksum."""
+    from ..sinks.packs import write_frames
+    from ..sources.packs import read_objects
+
+    c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
+    bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
+    placed = layout.frames_by_boundaries(_layout(spark, sf), 4)
+    frames = write_frames(placed.join(bodies, "checksum"), _folder(spark, "pack")).withColumn("pack", F.lit(fixture.BASE))
+    kept = spark.createDataFrame(frames.collect(), frames.schema)  # one row a frame
+    index = layout.assign_frames(placed.select("pack", "checksum", "size", "offset"), kept)
+    return read_objects(index, kept).select("checksum", F.octet_length("content").cast("long").alias("size"))
+
+
+@query("SELECT pack, CAST(sum(size) AS BIGINT) AS bytes, TRUE AS smaller FROM objects GROUP BY pack")
+def compress_frame(spark, sf):
+    from ..sinks.packs import write_frames
+
+    c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
+    bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
+    frames = write_frames(layout.frames_by_boundaries(_layout(spark, sf), 4).join(bodies, "checksum"), _folder(spark, "pack"))
+    total = frames.agg(F.sum("decompressed_size").alias("bytes"), (F.sum("frame_size") < F.sum("decompressed_size")).alias("smaller"))
+    return total.select(F.lit(fixture.BASE).alias("pack"), "bytes", "smaller")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS packs, CAST(sum(size) AS BIGINT) AS bytes FROM objects")
+def scan_pack_frames(spark, sf):
+    from ..sinks.packs import join_frames, write_frames
+    from ..sources.packs import pack_frames
+
+    at = _folder(spark, "pack")
+    c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
+    bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
+    frames = write_frames(layout.frames_by_boundaries(_layout(spark, sf), 4).join(bodies, "checksum"), at).collect()
+    join_frames([(r.path, r.frame_size, r.decompressed_size) for r in sorted(frames, key=lambda r: r.frame)], at + "/all.pack")
+    return pack_frames(spark, at + "/all.pack").agg(F.lit(1).cast("long").alias("packs"), F.sum(F.octet_length("data")).cast("long").alias("bytes"))
+
+
+_INDEX = """SELECT 'r' || (doc_id % 3) AS remote, sha1('i' || doc_id) AS index_checksum, sha1('p' || doc_id) AS pack_checksum,
+CASE doc_id % 4 WHEN 0 THEN 'https://other/' || doc_id || '.pack' WHEN 1 THEN 'http://host' || (doc_id % 3) || '/abs/' || doc_id || '.pack' ELSE 'http://host' || (doc_id % 3) || '/dir/' || source || '/' || doc_id || '.pack' END AS url FROM documents"""
+
+
+@query("SELECT * FROM (" + _INDEX + ")")
+def parse_remote_index(spark, sf):
+    from ..sources.remotes import lines_of, parse_remotes, remote_packs
+
+    d = F.col("doc_id").cast("string")
+    url = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://other/"), d, F.lit(".pack"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("/abs/"), d, F.lit(".pack"))).otherwise(F.concat("source", F.lit("/"), d, F.lit(".pack")))
+    line = F.concat(F.sha1(F.concat(F.lit("i"), d).cast("binary")), F.lit("\t "), F.upper(F.sha1(F.concat(F.lit("p"), d).cast("binary"))), F.lit(" "), url, F.lit("\n"))
+    remote = F.concat(F.lit("r"), F.col("doc_id") % 3)
+    body = fixture.documents(spark, sf).select(remote.alias("remote"), line.alias("line")).groupBy("remote").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    head = F.concat(F.lit("meta v1\nurl http://host"), F.substring("remote", 2, 1), F.lit("/dir/index.esi\n"))
+    whole = body.select("remote", F.concat(head, "lines").alias("value"))
+    return remote_packs(parse_remotes(lines_of(whole))).select("remote", "index_checksum", "pack_checksum", "url")
+
+
+def _commands(spark, sf):
+    """One archive a source, of its documents' objects; one link for each language, of a main object and all archives."""
+    d = fixture.documents(spark, sf)
+    o = F.concat(F.col("doc_id").cast("string"), F.lit(".o"))
+    ar = d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(o)), " ").alias("objs"))
+    ar = ar.select(F.concat(F.lit(": && ar qc lib/"), "source", F.lit(".a "), "objs", F.lit(" && ranlib lib/"), "source", F.lit(".a")).alias("command"), F.concat(F.lit("lib/"), "source", F.lit(".a")).alias("output"))
+    pairs = d.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("lib/"), "source", F.lit(".a")))), " ").alias("libs"))
+    link = pairs.select(F.concat(F.lit("clang++-14 -O2 main-"), "lang", F.lit(".o "), "libs", F.lit(" -lm -o bin/"), "lang").alias("command"), F.concat(F.lit("bin/"), "lang").alias("output"))
+    return ar.union(link)
+
+
+@query("SELECT DISTINCT source AS name, 'archive' AS kind FROM documents UNION ALL SELECT DISTINCT lang, 'link' FROM documents")
+def compdb_parse(spark, sf):
+    from ..operators.contrib import parse_commands
+
+    at = _folder(spark, "compdb")
+    array = _commands(spark, sf).agg(F.to_json(F.collect_list(F.struct("command", "output"))).alias("value"))
+    array.write.text(at)
+    db = spark.read.schema("command string, output string").option("multiLine", True).json(at).withColumn("place", F.monotonically_increasing_id())
+    return parse_commands(db).select(F.regexp_extract("output", "([^/.]+)([.]a)?$", 1).alias("name"), "kind")
+
+
+@query("SELECT DISTINCT doc_id || '.o' AS object FROM documents UNION SELECT DISTINCT 'main-' || lang || '.o' FROM documents")
+def dump_objects(spark, sf):
+    from ..operators.contrib import dump_objects as dump
+    from ..operators.contrib import parse_commands
+
+    return dump(parse_commands(_commands(spark, sf).withColumn("place", F.monotonically_increasing_id())))
+
+
+@query("""SELECT 'bin/' || lang AS output, CAST(3 + (SELECT count(*) FROM documents d WHERE d.source IN (SELECT source FROM documents e WHERE e.lang = l.lang)) + 2 AS BIGINT) AS words FROM (SELECT DISTINCT lang FROM documents) l""")
+def build_lines(spark, sf):
+    from ..operators.contrib import build_lines as build
+    from ..operators.contrib import parse_commands
+
+    lines = build(parse_commands(_commands(spark, sf).withColumn("place", F.monotonically_increasing_id())), ["-l"])
+    return lines.select("output", F.size(F.split("line", " ")).cast("long").alias("words"))
+
+
+@query("SELECT sha, date || '-' || lpad(CAST(n AS VARCHAR), 5, '0') || 'T' || time || '-' || substr(sha, 1, 15) AS line FROM (SELECT sha1('' || event_id) AS sha, row_number() OVER (ORDER BY ts, event_id) AS n, strftime(ts, '%Y%m%d') AS date, strftime(ts, '%H%M%S') AS time FROM events)")
+def commit_list(spark, sf):
+    from ..operators import contrib
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    commits = e.select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), "ts", F.col("event_id").alias("place"))
+    return contrib.commit_list(commits, commits.select("sha"))
+
+
+@query("SELECT pack, CAST(sum(size) AS DOUBLE) / (SELECT sum(size) FROM multi) AS share FROM multi GROUP BY pack")
+def stat_fractions(spark, sf):
+    per = fixture.multi(spark, sf).groupBy("pack").agg(F.sum("size").alias("size"))
+    return per.select("pack", (F.col("size").cast("double") / F.sum("size").over(Window.partitionBy())).alias("share"))
+
+
+@query("SELECT pack || '|' || CAST(count(*) AS VARCHAR) || '|0|0B' AS line FROM (SELECT DISTINCT pack, seq, tag FROM multi) GROUP BY pack")
+def fmt_pack(spark, sf):
+    none = spark.createDataFrame([], "pack string, bytes long")
+    return catalog.list_packs(fixture.multi(spark, sf).select("pack", "seq", "tag").distinct(), none, "%p|%c|%b|%h")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS undecodable FROM files WHERE path IS NULL")
+def integrity(spark, sf):
+    f, paths, objects = _pools(spark, sf)
+    coded = log.encode(log.encode(f, paths, "path", "path_id"), objects, "checksum", "object_id").select("pack", "path_id", "object_id")
+    lost = log.undecodable(coded, paths, "path_id").union(log.undecodable(coded, objects, "object_id").select("pack", "path_id", "object_id"))
+    return lost.agg(F.count(F.lit(1)).alias("undecodable"))
+
+
+@query()
+def trie_brace(spark, sf):
+    from ..operators.contrib import brace
+
+    @F.pandas_udf("string")
+    def braced(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: brace(list(n)))
+
+    per = _state(spark, sf, 0).groupBy(F.split("path", "/")[0].alias("source")).agg(F.collect_list("path").alias("paths"))
+    return per.select("source", braced("paths").alias("line"))
