@@ -861,3 +861,35 @@ def trie_brace(spark, sf):
 
     per = _state(spark, sf, 0).groupBy(F.split("path", "/")[0].alias("source")).agg(F.collect_list("path").alias("paths"))
     return per.select("source", braced("paths").alias("line"))
+
+
+@query("SELECT path, checksum, size, mode FROM files WHERE seq = 0")
+def scan_worktree(spark, sf):
+    """A snapshot written out as files by the executors, and scanned again."""
+    from ..operators.store import hashed
+    from ..sinks.worktree import write_tree
+    from ..sources.worktree import worktree
+
+    at = _folder(spark, "tree").removeprefix("file://")
+    write_tree(fixture.contents(spark, sf).filter("seq = 0").select("path", F.col("content").cast("binary").alias("content"), "mode"), at)
+    return hashed(worktree(spark, at).withColumn("path", F.col("path").cast("string"))).select("path", "checksum", "size", "mode")
+
+
+@query("SELECT pack, seq, op, path, checksum, mode, size FROM changes")
+def streaming_ingest(spark, sf):
+    """The log as it arrives: change files streamed into it, each batch once."""
+    from ..streaming.ingest import append_changes, changes_stream
+
+    at = _folder(spark, "stream")
+    _log(spark, sf).write.parquet(f"{at}/in")
+    append_changes(changes_stream(spark, f"{at}/in"), f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/log").select("pack", "seq", "op", "path", "checksum", "mode", "size")
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS objects FROM (SELECT DISTINCT source, doc_id FROM documents) GROUP BY source")
+def join_archive_expand(spark, sf):
+    from ..operators.contrib import expand_archives, parse_commands
+
+    parsed = parse_commands(_commands(spark, sf).withColumn("place", F.monotonically_increasing_id()))
+    args = expand_archives(parsed).filter("arg rlike '^[0-9]+[.]o$'").select(F.regexp_extract("arg", "^([0-9]+)", 1).cast("long").alias("doc_id")).distinct()
+    return args.join(fixture.documents(spark, sf).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("objects"))
