@@ -42,10 +42,11 @@ class Writer:
             self.fs.delete_file(self.own)
 
 
-def get(uri: str) -> bytes:
+def get(uri: str, at: int = 0, n: int | None = None) -> bytes:
+    """A file's bytes, n of them from at on."""
     where, path = file_system(uri)
-    with where.open_input_stream(path, compression=None) as f:
-        return f.read()
+    with where.open_input_file(path) as f:
+        return f.read_at(f.size() - at if n is None else n, at)
 
 
 def exists(uri: str) -> bool:
