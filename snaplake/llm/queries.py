@@ -88,5 +88,27 @@ WITH rows AS (
   FROM ordered
 )
 SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken, source, repeats FROM counted
+""",
+    # CRC-32 byte by byte over a table made from its polynomial
+    "op10_sharding": r"""
+WITH step AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t
+), raw AS (
+  SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), summed AS (
+  SELECT doc_id, source, CAST(n + 1 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
+                         lambda x, b: xor(x // 256, t[(xor(x, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM raw, step
+), keyed AS (
+  SELECT *, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS h FROM summed
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - 1 + CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS part FROM keyed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY part, source ASC NULLS LAST, h, doc_id, size) - 1 AS g, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * 8 // total AS INTEGER) AS shard,
+       CAST(g - ((g * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM placed
 """,
 }

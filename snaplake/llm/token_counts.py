@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..files import get, put
 from .common import new_path, shuffles, tidied, written
-from .tokens import encoder, get, put, slices
+from .tokens import encoder, slices
 
 
 def scan(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) -> DataFrame:
@@ -76,7 +77,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, roll: int = 8 << 20
 
         def flush(raw):
             path = f"{folder}/part-{part:06d}-{seq:06d}.ids"
-            put(path, [raw])
+            put(path, raw)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "doc_id": [None], "path": [path], "ids": [len(raw) // enc.width]}, schema=kind)
 
         for some in slices(batches):

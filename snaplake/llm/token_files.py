@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..files import get, put
 from .common import new_path, shuffles, tidied, written
-from .tokens import encoder, get, put, slices
+from .tokens import encoder, slices
 
 MAGIC = b"SLTK0001"
 HEAD = struct.Struct("<8sBQQq")
@@ -120,7 +121,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: i
 
         def flush():
             path = f"{folder}/part-{part:06d}-{seq:06d}.tok"
-            put(path, pack(keys, ids, enc.width))
+            put(path, b"".join(pack(keys, ids, enc.width)))
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "rows": [len(keys)], "ids": [n]}, schema=kind)
 
         kind = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("rows", pa.int64()), ("ids", pa.int64())])

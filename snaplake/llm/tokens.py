@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the tokenizers library, and token files on any file system pyarrow can open.
+"""Token ids of whole texts with the tokenizers library.
 
 Byte-level BPE cuts a text before every space that a non-space follows and before a newline between
 non-spaces, so where no white space touches white space the ids of a text are the ids of these pieces one after
@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 
 import numpy as np
 
@@ -231,26 +230,3 @@ def default_tokenizer() -> str:
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
-
-def file_system(uri: str):
-    """(file system, path in it)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
-
-
-def put(uri: str, parts: list[bytes]) -> None:
-    """Writes a file as a whole: under a name of its own first, so that a task that runs twice leaves one whole file."""
-    where, path = file_system(uri)
-    where.create_dir(os.path.dirname(path), recursive=True)
-    own = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
-    with where.open_output_stream(own) as f:
-        for p in parts:
-            f.write(p)
-    where.move(own, path)
-
-
-def get(uri: str, at: int = 0, n: int | None = None) -> bytes:
-    where, path = file_system(uri)
-    with where.open_input_file(path) as f:
-        return f.read_at(f.size() - at if n is None else n, at)

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from snaplake.files import put
 from snaplake.llm import packing, token_counts, token_files, tokens
 from snaplake.llm.token_files import EliasFano
 
@@ -90,7 +91,7 @@ def test_separator_scan_across_blocks_and_files(spark, tmp_path, block):
     for i, n in enumerate([10, 0, 23, 1, 17]):
         x = rng.choice([9, 1, 2, 3], n).astype("<u2")
         if n:
-            tokens.put(f"file://{tmp_path}/{i}.ids", [x.tobytes()])
+            put(f"file://{tmp_path}/{i}.ids", x.tobytes())
             ids += x.tolist()
         files.append((f"file://{tmp_path}/{i}.ids", i, n))
     want, start = [], 0
