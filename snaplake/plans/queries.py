@@ -538,7 +538,11 @@ def greedy_partition(spark, sf):
     return d.select("source", F.size("sizes").cast("long").alias("items"), (F.array_max("parts") + 1).cast("int").alias("parts"))
 
 
-@query()
+@query(""", e AS (SELECT l.*, l."offset" + l.size AS ending, t.bound FROM layout l JOIN (SELECT pack, sum(size) // 4 AS bound FROM objects GROUP BY pack) t USING (pack)),
+b1 AS (SELECT coalesce(max(ending) FILTER (ending <= bound), 0) AS s FROM e),
+b2 AS (SELECT coalesce(max(ending) FILTER (ending <= b1.s + bound), 0) AS s FROM e, b1),
+b3 AS (SELECT coalesce(max(ending) FILTER (ending <= b2.s + bound), 0) AS s FROM e, b2)
+SELECT pack, checksum, "offset", size, CAST(dense_rank() OVER (PARTITION BY pack ORDER BY CASE WHEN "offset" >= b3.s THEN 3 WHEN "offset" >= b2.s THEN 2 WHEN "offset" >= b1.s THEN 1 ELSE 0 END) - 1 AS INTEGER) AS frame FROM e, b1, b2, b3""")
 def greedy_partition_at_scale(spark, sf):
     return layout.frames_by_boundaries(_layout(spark, sf), 4).select("pack", "checksum", "offset", "size", "frame")
 
