@@ -897,3 +897,47 @@ def join_archive_expand(spark, sf):
     parsed = parse_commands(_commands(spark, sf).withColumn("place", F.monotonically_increasing_id()))
     args = expand_archives(parsed).filter("arg rlike '^[0-9]+[.]o$'").select(F.regexp_extract("arg", "^([0-9]+)", 1).cast("long").alias("doc_id")).distinct()
     return args.join(fixture.documents(spark, sf).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("objects"))
+
+
+def _tree(spark, sf, seq):
+    """A snapshot as files in a fresh directory; its path."""
+    from ..sinks.worktree import write_tree
+
+    at = _folder(spark, "tree").removeprefix("file://")
+    write_tree(fixture.contents(spark, sf).filter(F.col("seq") == seq).select("path", F.col("content").cast("binary").alias("content"), "mode"), at)
+    return at
+
+
+@query("SELECT path FROM files WHERE seq = 0 AND path NOT LIKE 'src0/%'")
+def clean_file_list(spark, sf):
+    from ..sources.worktree import clean_file_list as clean
+
+    at = _tree(spark, sf, 0)
+    names = _state(spark, sf, 0).select(F.concat(F.lit("./"), "path").alias("path"))
+    return clean(names, at, f"{at}/src0")
+
+
+@query("SELECT CASE WHEN n = 0 THEN 'archive' ELSE 'link' END AS kind, CAST(CASE WHEN n = 0 THEN (SELECT count(DISTINCT source) FROM documents) ELSE (SELECT count(DISTINCT lang) FROM documents) END AS BIGINT) AS commands FROM range(2) r(n)")
+def scan_compdb(spark, sf):
+    at = _folder(spark, "compdb")
+    _commands(spark, sf).agg(F.to_json(F.collect_list(F.struct("command", "output"))).alias("value")).write.text(at)
+    db = spark.read.schema("command string, output string").option("multiLine", True).json(at)
+    return db.groupBy(F.when(F.startswith("command", F.lit(":")), "archive").otherwise("link").alias("kind")).agg(F.count(F.lit(1)).alias("commands"))
+
+
+@query("SELECT checksum || ' ' || size || ' ' || path AS line FROM files WHERE seq = 3")
+def extract_entries(spark, sf):
+    """A repository over a work tree: stored, packed, its loose parts collected, extracted into another tree, and that tree listed."""
+    from ..operators.store import hashed
+    from ..repo import Repo
+    from ..sources.worktree import worktree
+
+    at = _tree(spark, sf, 3)
+    repo = Repo(spark, at)
+    repo.store("one")
+    repo.pack("all", frames=3)
+    repo.gc(snapshots=True, objects=True)
+    other = Repo(spark, at + "-other", repo.data)
+    other.extract("all:one", reset=True)
+    tree = hashed(worktree(spark, at + "-other").withColumn("path", F.col("path").cast("string")))
+    return catalog.list_files(tree)
