@@ -46,21 +46,27 @@ def frames_by_boundaries(objects: DataFrame, n: int) -> DataFrame:
     """The same partition for a table with offsets (object_layout's), pack by pack: at most n-1 boundary look-ups, none of them sequential over rows.
 
     Sizes ascend along the layout, so a run ends at the last object whose end is within its start plus the
-    bound, and no object above the bound stands before one below it.
+    bound, and no object above the bound stands before one below it. Each look-up is a filtered maximum over
+    objects, which should be a written table; what the driver keeps is one number a frame.
     """
-    total = objects.groupBy("pack").agg(F.sum("size").alias("__total"), F.count(F.lit(1)).alias("__n"))
-    total = total.withColumn("__parts", F.greatest(F.least(F.lit(n).cast("long"), F.col("__n")), F.lit(1)))
-    total = total.select("pack", F.expr("__total div __parts").alias("__bound"), "__parts")
-    rows = objects.join(total, "pack").withColumn("__end", F.col("offset") + F.col("size"))
-    cuts = total.select("pack", F.lit(0).cast("long").alias("__start"))
-    found = cuts
+    spark = objects.sparkSession
+    rows = objects.withColumn("__end", F.col("offset") + F.col("size"))
+    packs = {r.pack: r for r in rows.groupBy("pack").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).collect()}
+    starts = {p: [0] for p in packs}
+    moving = {p: max(min(n, r.n), 1) for p, r in packs.items()}
     for k in range(n - 1):
-        nxt = rows.filter(F.col("__parts") > k + 1).join(cuts, "pack").filter(F.col("__end") <= F.col("__start") + F.col("__bound")).groupBy("pack").agg(F.max("__end").alias("__start"))
-        cuts = nxt
-        found = found.union(nxt)
-    starts = found.groupBy("pack").agg(F.array_sort(F.collect_set("__start")).alias("__starts"))
-    frame = F.size(F.filter("__starts", lambda s: s <= F.col("offset"))) - 1
-    out = objects.join(starts, "pack").withColumn("__f", frame)
+        upto = {p: starts[p][-1] + packs[p].total // parts for p, parts in moving.items() if parts > k + 1}
+        if not upto:
+            break
+        bounds = spark.createDataFrame(list(upto.items()), "pack string, __upto long")
+        found = {r.pack: r.e for r in rows.join(bounds, "pack").filter("__end <= __upto").groupBy("pack").agg(F.max("__end").alias("e")).collect()}
+        for p in upto:
+            if found.get(p, 0) > starts[p][-1]:
+                starts[p].append(found[p])
+            else:
+                moving[p] = 0  # the next object is above the bound: the rest is one run
+    table = spark.createDataFrame(list(starts.items()), "pack string, __starts array<long>")
+    out = objects.join(table, "pack").withColumn("__f", F.size(F.filter("__starts", lambda s: s <= F.col("offset"))) - 1)
     label = F.dense_rank().over(Window.partitionBy("pack").orderBy("__f")) - 1
     names = out.select("pack", "__f").distinct().withColumn("frame", label.cast("int"))
     return out.join(names, ["pack", "__f"]).drop("__f", "__starts")

@@ -738,8 +738,12 @@ def create_pack(spark, sf):
 
     c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
     bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
-    placed = layout.frames_by_boundaries(_layout(spark, sf), 4)
-    frames = write_frames(placed.join(bodies, "checksum"), _folder(spark, "pack")).withColumn("pack", F.lit(fixture.BASE))
+    at = _folder(spark, "pack")
+    _layout(spark, sf).write.parquet(at + "/layout")
+    laid = spark.read.parquet(at + "/layout")
+    placed = layout.frames_by_boundaries(laid, 4)
+    total = laid.agg(F.sum("size")).first()[0]
+    frames = write_frames(placed.join(bodies, "checksum"), at, most=total).withColumn("pack", F.lit(fixture.BASE))
     kept = spark.createDataFrame(frames.collect(), frames.schema)  # one row a frame
     index = layout.assign_frames(placed.select("pack", "checksum", "size", "offset"), kept)
     return read_objects(index, kept).select("checksum", F.octet_length("content").cast("long").alias("size"))

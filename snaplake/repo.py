@@ -212,7 +212,8 @@ class Repo:
         changes = self.spark.read.parquet(f"file://{folder}/deltas")
         sizes = changes.groupBy("pack", "checksum").agg(F.max("size").alias("size"))
         total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        placed = layout.frames_by_boundaries(layout.object_layout(sizes), frames or max(1, -(-total // FRAME_BYTES)))
+        layout.object_layout(sizes).write.parquet(f"file://{folder}/layout")
+        placed = layout.frames_by_boundaries(self.spark.read.parquet(f"file://{folder}/layout"), frames or max(1, -(-total // FRAME_BYTES)))
         placed.write.parquet(f"file://{folder}/placed")
         placed = self.spark.read.parquet(f"file://{folder}/placed")
         unread = F.col("checksum") == "0" * 40
@@ -220,9 +221,9 @@ class Repo:
         missing = held.filter("content is null").select("checksum").limit(1).collect()
         if missing:
             raise ObjectNotFound(missing[0].checksum)
-        made = write_frames(held, f"file://{folder}/data", level).withColumn("pack", F.lit(name))
+        made = write_frames(held, f"file://{folder}/data", level, total).withColumn("pack", F.lit(name))
         self._write_pack(folder, name, [(r.seq, r.tag) for r in numbered.collect()], changes, placed, made)
-        for t in ("deltas", "placed"):
+        for t in ("deltas", "layout", "placed"):
             shutil.rmtree(os.path.join(folder, t))
         size = self.spark.read.parquet(f"file://{folder}/frames").agg(F.coalesce(F.sum("frame_size"), F.lit(0))).first()[0]
         state["packs"][name] = {"dir": folder, "time": time.time(), "bytes": size}

@@ -22,8 +22,8 @@ def compressor(level: int, size: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(level, window_log=window, enable_ldm=True))
 
 
-def write_frames(objects: DataFrame, folder: str, level: int = COMPRESSION_LEVEL) -> DataFrame:
-    """objects: frame, offset, size, checksum, content. Writes folder/frame-<n>.zst and tells each frame's sizes. Contents are checked against their checksums."""
+def write_frames(objects: DataFrame, folder: str, level: int = COMPRESSION_LEVEL, most: int = 1 << WINDOW_LOG) -> DataFrame:
+    """objects: frame, offset, size, checksum, content. Writes folder/frame-<n>.zst and tells each frame's sizes. Contents are checked against their checksums. most: bytes of the largest frame, if known to be few."""
     sized = objects.select("frame", "offset", "checksum", "content")
 
     def write(batches):
@@ -44,7 +44,7 @@ def write_frames(objects: DataFrame, folder: str, level: int = COMPRESSION_LEVEL
                     if now is not None:
                         yield finish()
                     now, total, stored = frame, 0, 0
-                    out, z = Writer(f"{folder}/frame-{frame:06d}.zst"), compressor(level, 1 << WINDOW_LOG).compressobj()
+                    out, z = Writer(f"{folder}/frame-{frame:06d}.zst"), compressor(level, most).compressobj()
                 data = content.as_py()
                 if hashlib.sha1(data).hexdigest() != checksum:
                     raise CorruptPack(f"object {checksum} is damaged")

@@ -21,7 +21,7 @@ def _fields(line: Column) -> Column:
 
 def remote_lines(spark: SparkSession, path: str) -> DataFrame:
     """remote (file name without ending), number (from 1) and text of each line of the index files."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)(\.esi)?$", 1).alias("remote"), F.col("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)(\.esi)?$", 1).alias("remote"), F.col("value"))
     return lines_of(whole)
 
 
