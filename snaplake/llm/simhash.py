@@ -7,6 +7,9 @@ exact copies cost nothing. A bucket of more than `tile` fingerprints is split at
 pair of tiles is a group of its own, so a group's size is bounded and no pair is left out. A group sends a
 spanning set of its verified pairs, not all of them.
 
+`near_copies` does the same with sets of shingles: texts meet in bands of min-hashes, and all pairs of a tile are
+verified by their similarity. No distance of fingerprints stands for a similarity of shingles where a block of words is added.
+
 Defined results: a null text has no words; a text without words has fingerprint 0 and links like any other;
 a null doc_id takes part, as the component's least id only if all its ids are null; repeated rows share
 their fingerprint and component; an empty table gives no rows; other columns are never read, or kept by
@@ -30,14 +33,16 @@ from .tokens import slices
 from .words import Words, mixed, shingles
 
 TILE = 2048
-VIEWS = 2
+SETS = 512  # shingle sets of a tile
+BANDS, ROWS = 20, 4
+_MIX = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str, size: int = 3, distinct: bool = False, views: int = 1) -> int | list[int]:
-    """Bit i is 1 if set in over half of the XXH64 hashes (seed 42) of the shingles: repeats included, unless distinct. More views: a list, the others over remixed hashes."""
+def fingerprint(text: str, size: int = 3, distinct: bool = False) -> int:
+    """Bit i is 1 if set in over half of the XXH64 hashes (seed 42) of the shingles: repeats included, unless distinct."""
     words = text.encode().lower().split()
     if not words:
-        return 0 if views == 1 else [0] * views
+        return 0
     n = max(1, len(words) - size + 1)
     line = b" ".join(words)
     if n == 1:
@@ -52,15 +57,10 @@ def fingerprint(text: str, size: int = 3, distinct: bool = False, views: int = 1
         some = list(set(some))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, 42) for s in some], dtype=np.uint64)
-    out = []
-    for view in range(views):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little"))
-        if view < views - 1:
-            h = mixed(h + np.uint64(0x9E3779B97F4A7C15))
-    return out[0] if views == 1 else out
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def signed(x: int) -> int:
@@ -111,7 +111,7 @@ def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct_fps: DataFrame, distance: int, tile: int = TILE, choose=spanning) -> DataFrame:
+def links(distinct_fps: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
     """distinct_fps: fp. Links a, b between fingerprints within distance, enough to connect all that are linked."""
     spark = distinct_fps.sparkSession
     tables = masks(distance, distinct_fps.count())
@@ -128,7 +128,7 @@ def links(distinct_fps: DataFrame, distance: int, tile: int = TILE, choose=spann
             a, z = [], []
             for row in b.column(0):
                 fps = np.sort(row.values.to_numpy(zero_copy_only=False))
-                for i, j in choose(fps.view(np.uint64), distance):
+                for i, j in spanning(fps.view(np.uint64), distance):
                     a.append(int(fps[i]))
                     z.append(int(fps[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
@@ -152,88 +152,113 @@ def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_pairs(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """For each fingerprint its pairs within distance with the nearest one, the one that has most such neighbours, and the first."""
-    n, out = len(fps), set()
-    degree = np.zeros(n, np.int64)
-    step = max(1, (1 << 19) // n)
-    for turn in (0, 1):
-        for i in range(0, n, step):
-            d = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :])
-            near = d <= distance
-            near[np.arange(len(d)), i + np.arange(len(d))] = False
-            if turn == 0:
-                degree[i : i + step] = near.sum(axis=1)
-                continue
-            rows = np.flatnonzero(near.any(axis=1))
-            if not len(rows):
-                continue
-            near, d = near[rows], d[rows]
-            for picked in (np.where(near, d, 255).argmin(axis=1), np.where(near, degree[None, :], -1).argmax(axis=1), near.argmax(axis=1)):
-                out.update(zip((rows + i).tolist(), picked.tolist(), strict=True))
-    return sorted({(min(p), max(p)) for p in out})
-
-
-def near_copies(docs: DataFrame, distance: int = 6, similarity: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
+def banded(v: np.ndarray) -> np.ndarray:
+    """One hash a band: of ROWS min-hashes of the shingles v. Texts without a shingle share all bands."""
+    least = np.full(len(_MIX), 2**64 - 1, np.uint64)
+    for i in range(0, len(v), 4096):
+        least = np.minimum(least, ((v[i : i + 4096] ^ _MIX[:, :1]) * _MIX[:, 1:]).min(axis=1))
+    return mixed((mixed(least) * _MIX[:, 0]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (positions) of at least this Jaccard similarity that connect all that such pairs connect: what is reached is compared with all that is not."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    _, names, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    some = counts[names] > 1  # what only one set holds is in no intersection
+    names, owner = names[some], owner[some]
+    own, at = names, np.searchsorted(owner, np.arange(n + 1))
+    mark = np.zeros(len(counts), bool)
+    waiting, out = np.ones(n, bool), []
+    for s in range(n):
+        if not waiting[s]:
+            continue
+        waiting[s] = False
+        queue = [s]
+        while queue and waiting.any():
+            i = queue.pop()
+            mine = own[at[i] : at[i + 1]]
+            mark[mine] = True
+            shared = np.bincount(owner[mark[names]], minlength=n)
+            mark[mine] = False
+            near = np.flatnonzero(waiting & (shared >= similarity * (sizes + sizes[i] - shared)))
+            if len(near):
+                out += [(i, j) for j in near.tolist()]
+                queue += near.tolist()
+                waiting[near] = False
+                left = waiting[owner]
+                names, owner = names[left], owner[left]
+    return out
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = SETS) -> DataFrame:
     """text_key (xxhash64 of the text) and keep (the doc_id that stays) for every text that is not the only one of its group.
 
-    Candidates: two independent fingerprints over the distinct words (edits move few of those, so few bits), either
-    within `distance` bits; what one misses by chance the other mostly finds. Verification: the Jaccard similarity of the texts' 5-word shingles is at least `similarity`.
+    Candidates: texts that agree on all min-hashes of one of BANDS bands over their 5-word shingles; two texts of Jaccard
+    similarity J meet in none with probability (1 - J^ROWS)^BANDS, whatever the edits are. Verification: all
+    pairs of a band's texts, tile by tile, by the exact Jaccard similarity of the shingles.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
 
+    def shingle_sets(texts):
+        for i in range(0, len(texts), 256):
+            words = Words([t.as_py().encode().lower() for t in texts[i : i + 256]])
+            for f, t in zip(words.from_.tolist(), words.to.tolist(), strict=True):
+                yield shingles(words.hashes[f:t], shingle)
+
     def run(batches):
         for b in batches:
-            keys = b.column(1).to_pylist()
-            got = [[signed(v) for v in fingerprint(t.as_py(), 1, True, VIEWS)] for t in b.column(2)]
-            prints = [pa.array([g[i] for g in got], pa.int64()) for i in range(VIEWS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), *prints], names=["doc_id", "key", *[f"fp{i}" for i in range(VIEWS)]])
-
-    views = [f"fp{i}" for i in range(VIEWS)]
-    rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, " + ", ".join(f"{v} long" for v in views)), "near-prints")
-    nodes = written(rows.groupBy("key", *views).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "near-nodes")
-    pairs = None
-    for v in views:
-        once = nodes.groupBy(F.col(v).alias("fp")).agg(F.min("key").alias("key"))
-        # texts of one fingerprint, and of fingerprints that are near
-        same = nodes.select(F.col(v).alias("fp"), F.col("key").alias("b")).join(once.withColumnRenamed("key", "a"), "fp").filter("a <> b").select("a", "b")
-        near = links(once.select("fp"), distance, tile, near_pairs)
-        near = near.join(once.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(once.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b")
-        both = same.union(near.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")))
-        pairs = both if pairs is None else pairs.union(both)
-    pairs = written(pairs.distinct(), "near-pairs")
-    ids = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-ids")
-    texts = keyed.join(ids.hint("merge"), "key", "left_semi").select("doc_id", "key", "text").join(nodes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi")
+            got = [banded(v).view(np.int64) for v in shingle_sets(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+
+    rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, bands array<long>"), "near-prints")
+    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    met = nodes.select("key", F.explode("bands").alias("band"))
+    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    met = met.withColumn("mine", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    met = met.groupBy("band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    # the same texts meet in many bands: once is enough
+    met = met.select("keys").filter(F.size("keys") > 1).distinct()
+    met = written(met.select(F.xxhash64("keys").alias("g"), F.explode("keys").alias("key")), "near-tiles")
+    ids = written(met.select("key").distinct().join(nodes.select("key", "first"), "key").withColumnRenamed("key", "__key"), "near-ids")
+    texts = keyed.join(ids.hint("merge"), (keyed["key"] == ids["__key"]) & (keyed["doc_id"] == ids["first"]), "left_semi")
 
     def sets(batches):
         for b in batches:
-            keys, out = b.column(1).to_pylist(), []
-            raw = [t.as_py().encode().lower() for t in b.column(2)]
-            for i in range(0, len(raw), 256):
-                words = Words(raw[i : i + 256])
-                out += [np.unique((shingles(words.hashes[f:t], shingle) >> np.uint64(32)).astype("<u4")).tobytes() for f, t in zip(words.from_.tolist(), words.to.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
-
-    texts = texts.select("doc_id", "key", "text").mapInArrow(tidied(sets), "key long, shingles binary")
+            out = [np.unique((v >> np.uint64(32)).astype("<u4")).tobytes() for v in shingle_sets(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["key", "shingles"])
+
+    texts = texts.mapInArrow(tidied(sets), "key long, shingles binary")
     texts = written(texts.dropDuplicates(["key"]), "near-shingles")
-    both = pairs.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").hint("merge").join(texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = met.hint("merge").join(texts, "key").select("g", "key", "shingles").repartition("g").sortWithinPartitions("g")
 
     def verify(batches):
+        def links(keys, sets):
+            found = alike([np.frombuffer(s, "<u4") for s in sets], similarity) if len(keys) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        now, keys, held = None, [], []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= similarity * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    same = both.select("a", "b", "sa", "sb").mapInArrow(tidied(verify), "a long, b long")
-    parts = components(same)
+            g = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(g)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
+                if e > s and g[s] != now:
+                    if keys:
+                        yield links(keys, held)
+                    now, keys, held = g[s], [], []
+                keys += batch.column(1)[s:e].to_pylist()
+                held += batch.column(2)[s:e].to_pylist()
+        if keys:
+            yield links(keys, held)
+
+    parts = components(both.mapInArrow(tidied(verify), "a long, b long"))
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("all"))
     groups = written(named.join(least, "part").filter("all > 1").select(F.col("key").alias("text_key"), "keep"), "near-groups")
-    discard(rows, nodes, pairs, ids, texts)
+    discard(rows, nodes, met, ids, texts)
     return groups
 
 

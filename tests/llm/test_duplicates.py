@@ -132,6 +132,65 @@ def test_one_of_each_group_stays(spark):
     assert set(range(60)) <= set(kept) and None in kept
 
 
+def test_copies_among_texts_of_one_set_of_words(spark):
+    rng = random.Random(21)
+    vocabulary = prose(rng, 40, "v")
+    texts = [rng.choices(vocabulary, k=400) for _ in range(60)]  # all words in each, in another order
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, " ".join([*t[:200], t[7], *t[201:]])) for i, t in enumerate(texts) if i]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, KIND)).collect()}
+    assert kept == set(range(60))
+
+
+@pytest.mark.parametrize("tile", [7, 512])
+def test_alike_is_all_pairs_in_tiles(spark, tile):
+    rng = random.Random(22)
+    base = [prose(rng, 120, f"b{i}") for i in range(3)]
+    rows = []
+    for i in range(90):
+        w = list(base[i % 3])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.keep for r in simhash.near_copies(spark.createDataFrame(rows, KIND), tile=tile).collect()}
+    root = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert got == {x for x in root if root.count(x) > 1}
+
+
+def test_alike_compares_what_is_reached_with_all_that_is_not():
+    rng = np.random.default_rng(23)
+    for _ in range(20):
+        base = rng.choice(10**6, 60, replace=False)
+        sets = [np.unique(np.where(rng.random(60) < rng.random() * 0.3, rng.integers(10**6, 2 * 10**6, 60), base)).astype("<u4") for _ in range(25)] + [np.zeros(0, "<u4")] * 2
+        parts = []
+        for links in (simhash.alike(sets, 0.8), [(i, j) for i in range(27) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]):
+            root = list(range(27))
+            for i, j in links:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+            parts.append(root)
+        assert parts[0] == parts[1]
+
+
+def test_blocks_added_or_cut(spark):
+    rng = random.Random(24)
+    rows, pairs = [], 0
+    for n in (30, 100, 400):
+        for i in range(40):
+            w = prose(rng, n, f"t{n}x{i}")
+            block = prose(rng, n // 6, f"u{n}x{i}")
+            for k, t in enumerate((w, [*w, *block] if i % 3 else w[: n - n // 7], [*block, *w] if i % 2 else w)):
+                rows.append((n * 1000 + i * 10 + k, " ".join(t)))
+            pairs += 1
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, KIND)).collect()]
+    assert len(kept) == pairs and all(d % 10 == 0 for d in kept)
+
+
 def test_compact_windows_against_all_subsequences():
     rng = np.random.default_rng(5)
     for v in (rng.permutation(30), rng.integers(0, 4, 30), np.zeros(30, int)):
