@@ -236,6 +236,27 @@ def test_passages(spark):
     assert {r.doc_id for r in passages.occurrences(df).collect()} == {3, 8, 20, 5, 11}
 
 
+@pytest.mark.parametrize("n", [60, 80, 96])
+def test_passages_with_a_word_put_in_or_left_out(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(20):
+        p = prose(rng, n, f"p{i}x")
+        q = [*p[: n // 2], "more", *p[n // 2 :]] if i % 2 else [*p[: n // 2], *p[n // 2 + 1 :]]
+        rows += [(k * 100 + i, " ".join([*prose(rng, 70, f"s{i}{k}"), *w, *prose(rng, 70, f"s{i}{k}")])) for k, w in enumerate((p, q))]
+    got = {(r.doc_id, r.source_doc_id): r for r in passages.repeats(spark.createDataFrame(rows, KIND)).collect()}
+    assert len(got) >= 18 and all(a == b + 100 for a, b in got)  # the rest are no candidates: too few functions agree
+    assert all((r.start, r.source_start, r.n_words) == (70, 70, n + (1 if b % 2 else -1)) for (_, b), r in got.items())
+
+
+def test_chained_runs():
+    rng = np.random.default_rng(8)
+    x = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    y = np.concatenate([x[:90], x[95:180], rng.integers(1, 1 << 60, 20).astype(np.uint64), x[180:]])
+    for at, to in ((3, 3), (120, 115), (399, 414)):
+        assert passages.joined(passages.chained(x, y, at, to), 46, 0.8) == [(0, 400, 0)]
+
+
 def test_copies_lose_everything(spark):
     w = " ".join(prose(random.Random(1), 80))
     df = spark.createDataFrame([(1, w, 5), (2, w, 5), (2, w, 5)], KIND + ", n_chars int")
