@@ -257,6 +257,26 @@ def test_chained_runs():
         assert passages.joined(passages.chained(x, y, at, to), 46, 0.8) == [(0, 400, 0)]
 
 
+def test_passages_of_lines_that_stand_earlier(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(20):
+        p, at, lines = prose(rng, 60, f"p{i}x"), 0, []
+        while at < 60:
+            n = rng.randint(10, 20)
+            lines.append(p[at : at + n])
+            at += n
+        rows.append((i, " ".join(w for line in lines for w in [*prose(rng, 30, f"z{i}"), *line])))
+        rows += [(k + i, " ".join([*prose(rng, 60, f"s{i}{k}"), *p, *prose(rng, 60, f"e{i}{k}")])) for k in (100, 200)]
+    docs = spark.createDataFrame(rows, KIND)
+    got = {(r.doc_id, r.source_doc_id, r.n_words) for r in passages.repeats(docs).collect()}
+    assert got == {(200 + i, 100 + i, 60) for i in range(20)}
+    found = passages.windows(docs)
+    for hot in (0, passages.HOT):  # the plan for hot keys finds the same
+        pairs = {(r.a, r.b) for r in passages.candidates(found, hot=hot).collect()}
+        assert {(200 + i, 100 + i) for i in range(20)} <= pairs
+
+
 def test_copies_lose_everything(spark):
     w = " ".join(prose(random.Random(1), 80))
     df = spark.createDataFrame([(1, w, 5), (2, w, 5), (2, w, 5)], KIND + ", n_chars int")
