@@ -224,7 +224,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
     met = met.select("keys").filter(F.size("keys") > 1).distinct()
     met = written(met.select(F.xxhash64("keys").alias("g"), F.explode("keys").alias("key")), "near-tiles")
     ids = written(met.select("key").distinct().join(nodes.select("key", "first"), "key").withColumnRenamed("key", "__key"), "near-ids")
-    texts = keyed.join(ids.hint("merge"), (keyed["key"] == ids["__key"]) & (keyed["doc_id"] == ids["first"]), "left_semi")
+    texts = keyed.join(ids.hint("merge"), (keyed["key"] == ids["__key"]) & keyed["doc_id"].eqNullSafe(ids["first"]), "left_semi")
 
     def sets(batches):
         for b in batches:

@@ -191,6 +191,16 @@ def test_blocks_added_or_cut(spark):
     assert len(kept) == pairs and all(d % 10 == 0 for d in kept)
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(32)
+    rows = []
+    for first, second in ((None, None), (None, 7)):
+        w = prose(rng, 100)
+        rows += [(first, " ".join(w)), (second, " ".join([*w[:50], "edited", *w[51:]]))]
+    groups = simhash.near_copies(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted(r.keep is None for r in groups) == [False, False, True, True] and {r.keep for r in groups} == {None, 7}
+
+
 def test_compact_windows_against_all_subsequences():
     rng = np.random.default_rng(5)
     for v in (rng.permutation(30), rng.integers(0, 4, 30), np.zeros(30, int)):
