@@ -2,9 +2,9 @@
 
 Byte-level BPE cuts a text before every space that a non-space follows and before a newline between
 non-spaces, so where no white space touches white space the ids of a text are the ids of these pieces one after
-another. `Encoder` scans a buffer of many texts at once, names each piece by two 64-bit hashes, looks all
-of them up in a table of bounded size, and sends only new pieces to the tokenizer, many in one call. Other
-texts, and tokenizers with any other pre-tokenizer or with a normaliser, are encoded whole.
+another. `Encoder` scans a buffer of many texts at once, looks all pieces up by a 64-bit hash in a table of
+bounded size, compares their bytes with those in the table, and sends only new pieces to the tokenizer, many in
+one call. Other texts, those that hold two pieces of one hash, and tokenizers with any other pre-tokenizer or with a normaliser, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,24 +15,18 @@ import re
 
 import numpy as np
 
+from .words import run_hashes
+
 #: White space before white space or the end, or after white space: U+180E counts as such, since libraries differ on it.
 _ODD = re.compile("[\\s\u180e](?![^\\s\u180e])")
+_CUT = re.compile(rb"[ \n]")
 _SEGMENT = 1 << 20
-_PLACES = 1 << 16
-_rng = np.random.default_rng(8)
-_BYTE1, _BYTE2 = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER = np.full(_PLACES, 0xD6E8FEB86659FD93, np.uint64)
-_POWER[0] = 1
-_POWER = np.multiply.accumulate(_POWER)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+#: Bytes of the pieces in a table, about: a segment's pieces may be added once it holds fewer.
+_RAW = 32 << 20
 
 
 class _Table:
-    """Ids of pieces by two hashes: open addressing in flat arrays, `most` pieces at most."""
+    """Ids of pieces by their hash and bytes: open addressing in flat arrays, `most` pieces at most."""
 
     def __init__(self, most: int, dtype: np.dtype):
         self.most, self.bits = most, (2 * most - 1).bit_length()
@@ -41,41 +35,55 @@ class _Table:
 
     def clear(self) -> None:
         n = 1 << self.bits
-        self.one, self.two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.at, self.size = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.hash = np.zeros(n, np.uint64)
+        self.at, self.size, self.raw_at, self.raw_size = (np.zeros(n, np.int32) for _ in range(4))
         self.pool, self.used, self.count = np.zeros(1 << 20, self.dtype), 0, 0
+        self.raw, self.raw_used = np.zeros(1 << 20, np.uint8), 0
 
-    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The slot of each piece, -1 where it is new."""
-        slot = (one >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(one), -1, np.int64)
-        left = np.arange(len(one))
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each piece's hash, -1 where it is new."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
         while len(left):
             s = slot[left]
-            k = self.one[s]
-            hit = (k == one[left]) & (self.two[s] == two[left])
+            k = self.hash[s]
+            hit = k == hashes[left]
             out[left[hit]] = s[hit]
             left = left[~hit & (k != 0)]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Distinct new pieces; ids holds theirs one after another."""
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.count += len(one)
-        slot = (one >> np.uint64(64 - self.bits)).astype(np.int64)
-        left = np.arange(len(one))
+    def same(self, slot: np.ndarray, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bool:
+        """Whether the pieces, which make up buf, have the bytes of their slots."""
+        if not np.array_equal(self.raw_size[slot], lengths):
+            return False
+        place = np.repeat(self.raw_at[slot] - starts, lengths)
+        place += np.arange(len(buf))
+        return np.array_equal(self.raw[place], buf)
+
+    @staticmethod
+    def _grown(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        while used + len(more) > len(pool):
+            pool = np.concatenate([pool, np.zeros(len(pool), pool.dtype)])
+        pool[used : used + len(more)] = more
+        return pool
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray) -> None:
+        """New pieces of distinct hashes; ids and raw hold theirs one after another."""
+        self.pool, self.raw = self._grown(self.pool, self.used, ids), self._grown(self.raw, self.raw_used, raw)
+        at, raw_at = self.used + np.cumsum(sizes) - sizes, self.raw_used + np.cumsum(raw_sizes) - raw_sizes
+        self.used, self.raw_used, self.count = self.used + len(ids), self.raw_used + len(raw), self.count + len(hashes)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(hashes))
         while len(left):
             s = slot[left]
-            free = left[self.one[s] == 0]
-            self.one[slot[free]] = one[free]  # where two want one slot, the last gets it
-            won = free[self.one[slot[free]] == one[free]]
-            self.two[slot[won]], self.at[slot[won]], self.size[slot[won]] = two[won], at[won], sizes[won]
-            done = np.zeros(len(one), bool)
+            free = left[self.hash[s] == 0]
+            self.hash[slot[free]] = hashes[free]  # where two want one slot, the last gets it
+            won = free[self.hash[slot[free]] == hashes[free]]
+            w = slot[won]
+            self.at[w], self.size[w], self.raw_at[w], self.raw_size[w] = at[won], sizes[won], raw_at[won], raw_sizes[won]
+            done = np.zeros(len(hashes), bool)
             done[won] = True
             left = left[~done[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
@@ -140,18 +148,15 @@ class Encoder:
         cut[begins[:-1][np.diff(begins) > 0]] = True
         starts = np.flatnonzero(cut)
         lengths = np.diff(starts, append=len(buf))
-        place = (np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lengths)) & (_PLACES - 1)
-        power = _POWER[place]
-        one = _mixed(np.add.reduceat(_BYTE1[buf] * power, starts)) | np.uint64(1)  # 0 marks free slots
-        two = np.add.reduceat(_BYTE2[buf] * power, starts)
-        slot = self.memo.find(one, two)
+        hashes = run_hashes(buf, starts, lengths) | np.uint64(1)  # 0 marks free slots
+        slot = self.memo.find(hashes)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            _, first = np.unique(one[new], return_index=True)
-            if self.memo.count + len(first) > self.memo.most:
+            _, first = np.unique(hashes[new], return_index=True)
+            if self.memo.count + len(first) > self.memo.most or self.memo.raw_used > _RAW:
                 self.memo.clear()
-                new = np.arange(len(one))
-                _, first = np.unique(one, return_index=True)
+                new = np.arange(len(hashes))
+                _, first = np.unique(hashes, return_index=True)
             some = new[first]
             a, b = starts[some].tolist(), (starts + lengths)[some].tolist()
             pieces = [joined[x:y] for x, y in zip(a, b, strict=True)]
@@ -160,12 +165,13 @@ class Encoder:
             for open_ in (True, False):
                 k = np.flatnonzero(opens == open_)
                 if len(k):
-                    ids, sizes = self._encoded([pieces[i] for i in k.tolist()], open_)
-                    self.memo.add(one[some[k]], two[some[k]], ids, sizes)
-            slot[new] = self.memo.find(one[new], two[new])
-            if (slot < 0).any():  # the first hash met twice with different second ones
-                each = self._raw([r.decode() for r in raw])
-                return np.concatenate(each), np.array([len(x) for x in each])
+                    mine = [pieces[i] for i in k.tolist()]
+                    ids, sizes = self._encoded(mine, open_)
+                    self.memo.add(hashes[some[k]], ids, sizes, np.frombuffer(b"".join(mine), np.uint8), lengths[some[k]])
+            slot[new] = self.memo.find(hashes[new])
+        if not self.memo.same(slot, buf, starts, lengths):  # two pieces have one hash
+            each = self._raw([r.decode() for r in raw])
+            return np.concatenate(each), np.array([len(x) for x in each])
         ids, sizes = self.memo.ids(slot)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, np.diff(ends[np.searchsorted(starts, begins)])
@@ -183,9 +189,8 @@ class Encoder:
                 continue
             raw, parts, at = t.encode(), [np.zeros(0, self.dtype)], 0
             while at < len(raw):
-                to = min(at + _SEGMENT, len(raw))
-                while to < len(raw) and raw[to] not in b" \n":
-                    to += 1
+                cut = _CUT.search(raw, min(at + _SEGMENT, len(raw)))
+                to = cut.start() if cut else len(raw)
                 parts.append(self._scanned([raw[at:to]])[0])
                 at = to
             each.append(np.concatenate(parts))

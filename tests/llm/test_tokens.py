@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from snaplake.files import put
 from snaplake.llm import packing, token_counts, token_files, tokens
 from snaplake.llm.token_files import EliasFano
+from snaplake.llm.words import Words, run_hashes
 
 PATH = tokens.default_tokenizer()
 KIND = "doc_id long, text string"
@@ -40,6 +41,49 @@ def test_small_memo_and_long_texts(plain, monkeypatch):
     assert [x.tolist() for x in e.ids(texts, end=7)] == [[*plain(t), 7] for t in texts]
 
 
+def thue_morse(k):
+    """Two words of 2**k letters that any polynomial modulo a power of two gives one hash once they are long."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("k", range(10, 17))
+def test_words_that_polynomials_confuse(plain, k):
+    a, b = thue_morse(k)
+    texts = [f"w {a}", f"w {b}", f"{b} {a}", a, b]
+    assert [x.tolist() for x in tokens.Encoder(PATH).ids(texts)] == [plain(t) for t in texts]
+    h = Words([t.encode() for t in texts]).hashes
+    assert len(set(h.tolist())) == 3 and h[1] == h[5] == h[6] and h[3] == h[4] == h[7]
+
+
+def test_pieces_of_one_hash_are_told_apart(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "run_hashes", lambda buf, starts, lengths: lengths.astype(np.uint64) << np.uint64(40))
+    e = tokens.Encoder(PATH)
+    for texts in (["one two six", "ten"], ["cat dog", "red"], ["one two six"]):
+        assert [x.tolist() for x in e.ids(texts)] == [plain(t) for t in texts]
+
+
+def test_small_pool_of_bytes(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "_RAW", 100)
+    e = tokens.Encoder(PATH)
+    for i in range(20):
+        texts = [f"word{j} other{j} same" for j in range(i, i + 5)]
+        assert [x.tolist() for x in e.ids(texts)] == [plain(t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=40), min_size=1, max_size=20))
+def test_run_hashes_depend_on_the_bytes_alone(runs):
+    def of(runs):
+        joined, n = b"".join(runs), np.array([len(r) for r in runs])
+        return run_hashes(np.frombuffer(joined, np.uint8), np.cumsum(n) - n, n).tolist()
+
+    h = of(runs)
+    assert h == [of([r])[0] for r in runs] and len(set(h)) == len(set(runs))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 1 << 40), max_size=700))
 def test_elias_fano(values):
