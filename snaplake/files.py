@@ -8,8 +8,16 @@ import uuid
 from pyarrow import fs
 
 
+#: Schemes that Hadoop names otherwise than Arrow does.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
+    """The file system of a URI, of Hadoop's names too, and the path there. A name without a scheme is local."""
+    scheme, mark, rest = uri.partition("://")
+    if mark:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri("file://" + os.path.abspath(uri.removeprefix("file:")))
 
 
 def put(uri: str, data: bytes) -> None:
@@ -37,7 +45,13 @@ class Writer:
     def __exit__(self, kind, *_) -> None:
         self.out.close()
         if kind is None:
-            self.fs.move(self.own, self.path)
+            try:
+                self.fs.move(self.own, self.path)
+            except OSError:  # stores that do not replace: a task that runs again finds the file of its first try
+                if self.fs.get_file_info(self.path).type == fs.FileType.NotFound:
+                    raise
+                self.fs.delete_file(self.path)
+                self.fs.move(self.own, self.path)
         else:
             self.fs.delete_file(self.own)
 
@@ -54,6 +68,16 @@ def exists(uri: str) -> bool:
     return where.get_file_info(path).type != fs.FileType.NotFound
 
 
+def delete(uri: str) -> None:
+    """A file, or a folder with all below it; nothing where there is none."""
+    where, path = file_system(uri)
+    kind = where.get_file_info(path).type
+    if kind == fs.FileType.Directory:
+        where.delete_dir(path)
+    elif kind != fs.FileType.NotFound:
+        where.delete_file(path)
+
+
 def create_once(path: str, data: bytes) -> bool:
     """Creates a local file with all of its data if there is none; of many writers one gets True."""
     own = f"{path}.{uuid.uuid4().hex}"
