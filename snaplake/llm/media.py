@@ -9,7 +9,8 @@ further on are embedded and can be carved by offset and length.
 from the stored bytes through the sniffer.
 
 Defined results: null content is empty; an empty or unknown medium has type application/octet-stream; of
-equal offsets the longer match wins; media inside an embedded medium are not reported again; for a table of
+equal offsets the longer match wins; media of another format inside containers (PDF, ZIP, OGG, WAV) are reported beside them, those inside
+images not; a very long text is one medium (a WAV file holds less than 4 GiB: beyond that an error); for a table of
 documents, a null text is an empty payload, padded to 64 zero bytes; a null doc_id stays null; repeated
 rows give repeated rows; an empty table gives no rows; other columns are never read.
 """
@@ -32,7 +33,31 @@ from .tokens import slices
 UNKNOWN = "application/octet-stream"
 
 
-def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
+class Scan:
+    """Content under validation. What one validator has found out is kept for the next: marks that are searched for again and
+    again, and places from which a walk is known to fail; so many signatures without a medium behind them cost one pass, not one each."""
+
+    def __init__(self, content: bytes | memoryview):
+        self.raw = bytes(content)
+        self.b = memoryview(self.raw)
+        self.marks: dict[bytes, tuple[int, int]] = {}
+        self.dead: set[tuple[str, int]] = set()
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of mark at or after `at`, -1 if there is none."""
+        since, place = self.marks.get(mark, (0, -2))
+        if place == -2 or at < since or -1 < place < at:
+            place = self.raw.find(mark, at)
+            self.marks[mark] = (at, place)
+        return place
+
+    def fails(self, kind: str, places: list[int]) -> None:
+        """Notes that walks of this kind fail from these places on."""
+        self.dead.update((kind, p) for p in places)
+
+
+def _riff(scan: Scan, at: int) -> tuple[str, int] | None:
+    b = scan.b
     if len(b) - at < 20:
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -53,28 +78,37 @@ def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
+def _png(scan: Scan, at: int) -> tuple[str, int] | None:
+    b, p, passed = scan.b, at + 8, []
+    while p + 12 <= len(b) and ("png", p) not in scan.dead:
         n, name = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or first != (name == b"IHDR"):
-            return None
+        if p + 12 + n > len(b) or (not passed) != (name == b"IHDR" and n == 13):
+            break
         if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return None
-        p, first = p + 12 + n, False
+            break
+        passed.append(p)
+        p += 12 + n
         if name == b"IEND":
             return "image/png", p - at
+    scan.fails("png", [*passed[1:], p] if passed else [])
     return None
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(scan: Scan, at: int) -> tuple[str, int] | None:
+    b = scan.b
     if len(b) - at < 14 or bytes(b[at + 3 : at + 6]) not in (b"87a", b"89a"):
         return None
     flags = b[at + 10]
     p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
 
+    passed = []
+
     def blocks(p: int) -> int:
+        """Past the sub-blocks that start at p; past the end where they lead to a failure."""
         while p < len(b) and b[p]:
+            if ("gif", p) in scan.dead:
+                return len(b)
+            passed.append(p)
             p += 1 + b[p]
         return p + 1
 
@@ -88,24 +122,28 @@ def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
             own = b[p + 9]
             p = blocks(p + 10 + (3 << (own & 7) + 1 if own & 0x80 else 0) + 1)
         else:
-            return None
+            break
+    scan.fails("gif", passed)
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+def _jpeg(scan: Scan, at: int) -> tuple[str, int] | None:
+    b, p, passed = scan.b, at + 2, []
+    while p + 4 <= len(b) and b[p] == 0xFF and ("jpeg", p) not in scan.dead:
         mark, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
         if n < 2 or mark in (0x00, 0xFF, 0xD8, 0xD9):
-            return None
+            break
+        passed.append(p)
         p += 2 + n
         if mark == 0xDA:
-            end = bytes(b[p:]).find(b"\xff\xd9")
-            return ("image/jpeg", p + end + 2 - at) if end >= 0 else None
+            end = scan.find(b"\xff\xd9", p)
+            return ("image/jpeg", end + 2 - at) if end >= 0 else None
+    scan.fails("jpeg", passed)
     return None
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(scan: Scan, at: int) -> tuple[str, int] | None:
+    b = scan.b
     if len(b) - at < 26:
         return None
     size, _, _, pixels, header = struct.unpack_from("<IHHII", b, at + 2)
@@ -114,13 +152,13 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return "image/bmp", size
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(b[at:]).find(b"%%EOF")
-    return ("application/pdf", end + 5) if end >= 0 and 0x30 <= b[at + 5] <= 0x39 else None
+def _pdf(scan: Scan, at: int) -> tuple[str, int] | None:
+    end = scan.find(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if end >= 0 and 0x30 <= scan.b[at + 5] <= 0x39 else None
 
 
-def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
-    d, p = zlib.decompressobj(31), at
+def _gzip(scan: Scan, at: int) -> tuple[str, int] | None:
+    b, d, p = scan.b, zlib.decompressobj(31), at
     try:
         while p < len(b) and not d.eof:
             d.decompress(b[p : p + 65536], 1 << 20)
@@ -132,26 +170,29 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(p, len(b)) - len(d.unused_data) - at) if d.eof else None
 
 
-def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    raw = bytes(b[at:])
-    p = raw.find(b"PK\x05\x06")
-    if p < 0 or p + 22 > len(raw):
+def _zip(scan: Scan, at: int) -> tuple[str, int] | None:
+    b, p = scan.b, scan.find(b"PK\x05\x06", at)
+    if p < 0 or p + 22 > len(b):
         return None
-    size, start, note = struct.unpack_from("<IIH", raw, p + 12)
-    if start + size != p or p + 22 + note > len(raw) or (size and raw[start : start + 4] != b"PK\x01\x02"):
+    size, start, note = struct.unpack_from("<IIH", b, p + 12)
+    if start + size != p - at or p + 22 + note > len(b) or (size and b[at + start : at + start + 4] != b"PK\x01\x02"):
         return None
-    return "application/zip", p + 22 + note
+    return "application/zip", p + 22 + note - at
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, pages = at, 0
-    while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS" and b[p + 4] == 0:
+def _ogg(scan: Scan, at: int) -> tuple[str, int] | None:
+    b, p, passed = scan.b, at, []
+    while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0 and ("ogg", p) not in scan.dead:
         n = b[p + 26]
         if p + 27 + n > len(b):
-            return None
+            break
+        passed.append(p)
         p += 27 + n + sum(b[p + 27 : p + 27 + n])
-        pages += 1
-    return ("application/ogg", p - at) if pages and p <= len(b) else None
+    else:
+        if passed and p <= len(b) and ("ogg", p) not in scan.dead:
+            return "application/ogg", p - at
+    scan.fails("ogg", passed)
+    return None
 
 
 #: The magic bytes of the formats, as published.
@@ -179,15 +220,22 @@ def _automaton():
     return a
 
 
+#: Types whose inside is searched too; what an image holds (a thumbnail) is part of it.
+CONTAINERS = ("application/pdf", "application/zip", "application/ogg", "audio/wav")
+
+
 def sniff(content: bytes | memoryview) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of the valid media in content, none inside another, in order of offset."""
-    b = memoryview(content)
-    found, past = [], 0
-    for last, (n, check) in _automaton().iter(bytes(content).decode("latin-1")):
+    """(offset, length, type) of the valid media in content, in order of offset: those of other types inside a container too, those inside other media not."""
+    scan = Scan(content)
+    found, past, ends = [], 0, {}  # ends: of the last container that each validator found
+    for last, (n, check) in _automaton().iter(scan.raw.decode("latin-1")):
         at = last - n + 1
-        if at >= past and (got := check(b, at)):
+        if at >= past and at >= ends.get(check, 0) and (got := check(scan, at)):
             found.append((at, got[1], got[0]))
-            past = at + got[1]
+            if got[0] in CONTAINERS:
+                ends[check] = at + got[1]
+            else:
+                past = at + got[1]
     return found
 
 
@@ -217,7 +265,7 @@ def sniff_column(df: DataFrame, id_col: str, content_col: str, declared_col: str
 
 
 def carve(content: bytes) -> list[bytes]:
-    """The bytes of the embedded media."""
+    """The bytes of the embedded media, those in containers included."""
     return [bytes(content[o : o + n]) for o, n, _ in sniff(content) if o]
 
 
@@ -236,7 +284,7 @@ def store(payload: bytes) -> bytes:
 def payload_of(media: bytes) -> memoryview:
     """The samples of a stored medium, found through its signature and structure."""
     b = memoryview(media)
-    got = _riff(b, 0) if bytes(b[:4]) == b"RIFF" else None
+    got = _riff(Scan(media), 0) if bytes(b[:4]) == b"RIFF" else None
     if not got or got[0] != "audio/wav":
         raise ValueError("not a stored payload")
     p = 12
@@ -270,7 +318,7 @@ def features(docs: DataFrame) -> DataFrame:
                 x = np.frombuffer(payload, np.uint8)
                 level = int(x.sum(dtype=np.int64)) // len(x)
                 turns = int(np.count_nonzero(np.diff(x >= 128)))
-                inner = len(carve(payload))
+                inner = len(found) - 1  # media among the samples
                 text = f"{found[0][2]};rate={RATE};samples={len(x)};level={level};turns={turns};embedded={inner}"
                 rows.append((d.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), text))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

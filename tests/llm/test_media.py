@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import zipfile
 import zlib
 
@@ -59,6 +60,23 @@ def test_types(kind):
         assert media.sniff(data[: len(data) - 2]) == []
 
 
+@pytest.mark.parametrize("text", [b"%PDF-1 ", b"PK\x03\x04", b"\xff\xd8\xff\xe0\0\4ab", b"OggS" + bytes(22) + b"\x01\x00", b"GIF89a" + bytes(7) + b"\x21\xfe\x01a", png()[:33]])
+def test_many_signatures_without_a_medium_take_one_pass(text):
+    began = time.process_time()
+    found = media.sniff(text * (10_000_000 // len(text)) + (b"OggS" + bytes(22) + b"\xff" if text[:1] == b"O" else b""))
+    assert time.process_time() - began < 20 and not found
+
+
+def test_media_in_containers():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.png", png())
+        z.writestr("b.gif", gif())
+    pdf = b"%PDF-1.4\nstream\n" + jpeg() + b"\nendstream\n%%EOF"
+    assert [t for _, _, t in media.sniff(out.getvalue())] == ["application/zip", "image/png", "image/gif"] and media.carve(out.getvalue()) == [png(), gif()]
+    assert media.carve(b"x" + pdf) == [pdf, jpeg()] and media.carve(pdf) == [jpeg()] and media.true_type(pdf) == "application/pdf"
+
+
 def test_damage_is_no_medium():
     bad = bytearray(png())
     bad[30] ^= 1
@@ -100,6 +118,15 @@ def test_features(spark):
     assert media.features(df.limit(0)).count() == 0
 
 
+def test_feature_is_what_the_samples_say(spark):
+    texts = ["abc", "é~" * 40, "RIFF" + "x" * 100, "GIF89a" + "\0" * 7 + ";"]
+    got = {r.doc_id: r.feature for r in media.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        x = reference(t)[1]
+        turns = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False))
+        assert got[i] == f"audio/wav;rate=8000;samples={len(x)};level={sum(x) // len(x)};turns={turns};embedded={int(t[:3] == 'GIF')}"
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = QUERIES["op5_media_columns"](spark, "/root/testdata/sf0.001").collect()
