@@ -7,11 +7,13 @@ model has a fixed size. Only whole texts are read.
 
 It is fitted in one task on at most `sample` labelled rows (4,096 unless said otherwise; the bound is what
 keeps fitting from growing with the corpus), chosen by a seeded hash of doc_id among labelled rows outside
-the held-out fold, crc32(doc_id as text) mod 3 = 1.
+the held-out fold, crc32(doc_id as text) mod 3 = 1. The bound holds for the rows of documents too, where an
+id stands there many times.
 
 Defined results: a null text counts as empty, and an empty text scores by the bias alone; a null doc_id is
 scored and not held out; labels other than 0 and 1, and null ones, are not learnt from; a doc_id labelled
-several times is learnt once for each label; without labels the score is 0.5; repeated rows are scored
+several times is learnt once for each label; equal hashes are ordered by doc_id and label; a very long text is
+scanned in segments, whole; without labels the score is 0.5; repeated rows are scored
 alike; an empty table gives no rows; other columns are never read, or kept by `keep_good`.
 """
 
@@ -91,7 +93,9 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
                 model.learn(np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(float), y, weight[y])
         yield pa.RecordBatch.from_pydict({"w": [model.weights(slice(None)).astype("<f4").tobytes()]})
 
-    one = rows.mapInArrow(tidied(featured), "h long, doc_id long, y long, at binary, x binary").repartition(1).mapInArrow(tidied(train), "w binary").collect()
+    made = rows.mapInArrow(tidied(featured), "h long, doc_id long, y long, at binary, x binary")
+    made = made.orderBy("h", "doc_id", "y", "at", "x").limit(sample)
+    one = made.repartition(1).mapInArrow(tidied(train), "w binary").collect()
     return np.frombuffer(one[0].w, "<f4") if one else np.zeros(size + 1, np.float32)
 
 

@@ -3,13 +3,15 @@
 The raw multinomial counts the hashed n-grams of all documents, the target one those of all documents
 trusted (labelled with quality 1). Both are smoothed vectors of 2**bits buckets. A document's score is the mean
 over its n-grams of log(target / raw), so length does not matter; it is kept if no base rule fails and the
-score is at least a threshold. The threshold is set by all labelled documents: the cut between their
-classes with the best balanced accuracy, in the middle of the gap it lies in.
-
-Defined results: a null text has no words; an empty text fails the base rules; a null doc_id is never
-trusted; repeated rows count as often as they stand there; without labels the target is the raw corpus,
-every score is 0 and the threshold -1 (all that pass the base rules are kept); an empty table gives no
-rows; other columns are never read.
+score is at least a threshold. The threshold is set by all labelled documents that pass the base rules: a cut
+between their classes with the best balanced accuracy (see `best_cut`).
+
+Defined results: a null text has no words; an empty text fails the base rules; a very long text is scanned in
+segments, whole; a null doc_id is never trusted; repeated rows count as often as they stand there; a score equal
+to the threshold is kept; of cuts that are equally good the middle of the widest run of neighbouring ones
+counts, of equally wide runs the lowest; without labels of both kinds the threshold is -1; without trusted ones
+the target is the raw corpus and every score is 0 (all that pass the base rules are kept); an empty table gives
+no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -124,20 +126,31 @@ def measure(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), COLUMNS)
 
 
+def best_cut(bad: np.ndarray, good: np.ndarray) -> int:
+    """The number of bins below the best cut, from histograms of both classes: the share of bad ones below it and that of good ones not below it add up to the most.
+
+    Of the best cuts, neighbours without a score between them form runs; the middle of the widest run, rounded down, is taken,
+    of equally wide ones the lowest.
+    """
+    below = np.concatenate([[[0], [0]], np.cumsum([bad, good], axis=1)], axis=1).astype(object)
+    # in whole numbers: both shares times both totals
+    right = below[0] * int(good.sum()) - below[1] * int(bad.sum())
+    edges = np.flatnonzero(np.diff((right == max(right)).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    first, end = max(edges.tolist(), key=lambda e: (e[1] - e[0], -e[0]))
+    return (first + end - 1) // 2
+
+
 def threshold(scored: DataFrame, labels: DataFrame, bins: int = 4096, low: float = -4.0, high: float = 4.0) -> float:
-    """The middle of the best gap between the classes of all labelled documents: a histogram of fixed size, whatever their number."""
+    """The best cut between the classes of all labelled documents: a histogram of fixed size, whatever their number."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("__y")).filter("__y in (0, 1) and doc_id is not null")
     at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("score") - low) / (high - low) * bins)))
     found = scored.filter("not base_failed").join(marked, "doc_id").groupBy(at.cast("int").alias("__at"), "__y").count().collect()
-    n = np.zeros((2, bins))
+    n = np.zeros((2, bins), np.int64)
     for r in found:
         n[r["__y"], r["__at"]] = r["count"]
     if not n[0].sum() or not n[1].sum():
         return -1.0
-    below = np.concatenate([[[0], [0]], np.cumsum(n, axis=1)], axis=1)
-    right = below[0] / n[0].sum() + 1 - below[1] / n[1].sum()
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    return float(low + (best[0] + best[-1]) / 2 * (high - low) / bins)
+    return low + best_cut(n[0], n[1]) * (high - low) / bins
 
 
 def judge(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
