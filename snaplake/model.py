@@ -16,11 +16,14 @@ def _table(**columns) -> T.StructType:
 
 
 SNAPSHOTS = _table(pack=_string, seq=_int, tag=_string)
-#: A row is keyed by path, checksum and mode together; op is 'A' (added) or 'R' (removed) against the snapshot before.
-CHANGES = _table(pack=_string, seq=_int, op=_string, path=_binary, checksum=_binary, mode=_long, size=_long)
-OBJECTS = _table(pack=_string, checksum=_binary, offset=_long, size=_long, frame=_int)
-FRAMES = _table(pack=_string, frame=_int, frame_size=_long, decompressed_size=_long)
-LOOSE = _table(checksum=_binary, size=_long, content=_binary)
+#: A row is keyed by path (any bytes), checksum (lower hex) and mode together; op is 'A' (added) or 'R' (removed) against the snapshot before.
+CHANGES = _table(pack=_string, seq=_int, op=_string, path=_binary, checksum=_string, mode=_long, size=_long)
+OBJECTS = _table(pack=_string, checksum=_string, offset=_long, size=_long)
+FRAMES = _table(pack=_string, frame=_int, frame_size=_long, decompressed_size=_long, path=_string, start=_long)
+#: Fingerprints of snapshots, told once when they are written.
+PRINTS = _table(pack=_string, seq=_int, tag=_string, fingerprint=_string)
+TABLES = {"snapshots": SNAPSHOTS, "changes": CHANGES, "objects": OBJECTS, "frames": FRAMES, "prints": PRINTS}
+LOOSE = _table(checksum=_string, size=_long, content=_binary)
 WORKTREE = _table(path=_binary, content=_binary, size=_long, mode=_long, last_modified=T.TimestampType(), readable=T.BooleanType())
 
 # What stored repositories rely on.
@@ -71,7 +74,7 @@ class CorruptHead(LakeError): ...
 class CorruptLog(LakeError): ...
 
 
-class BadLooseObject(LakeError): ...
+class InUse(LakeError): ...
 
 
 class DirtyWorkDir(LakeError): ...

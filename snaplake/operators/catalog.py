@@ -10,18 +10,17 @@ from ..functions.scalars import format_size, formatted, hexed, is_loose, octal_m
 AMBIGUOUS = "AMBIGUOUS"
 
 
-def list_snapshots(files: DataFrame, template: str = "%s") -> DataFrame:
-    """One line a snapshot. files: pack, seq, tag and, where %h or %b is asked for, size."""
-    aggs = [F.count(F.lit(1)).alias("files")]
-    sized = "%h" in template or "%b" in template
-    if sized:
-        aggs.append(F.sum("size").alias("bytes"))
-    per = files.groupBy("pack", "seq", "tag").agg(*aggs)
-    bytes_ = F.col("bytes") if sized else F.lit(0)
-    fields = [("%s", F.concat_ws(":", "pack", "tag")), ("%t", F.col("tag")), ("%h", format_size(bytes_)), ("%b", bytes_), ("%n", F.col("files"))]
+def snapshot_lines(per: DataFrame, template: str = "%s") -> DataFrame:
+    """per: pack, tag, files, bytes. One line a snapshot."""
+    fields = [("%s", F.concat_ws(":", "pack", "tag")), ("%t", F.col("tag")), ("%h", format_size(F.col("bytes"))), ("%b", F.col("bytes")), ("%n", F.col("files"))]
     return per.select(formatted(template, fields).alias("line"))
 
 
+def list_snapshots(files: DataFrame, template: str = "%s") -> DataFrame:
+    """The same from the snapshots' files: pack, seq, tag, size."""
+    return snapshot_lines(files.groupBy("pack", "seq", "tag").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")), template)
+
+
 def list_packs(snapshots: DataFrame, pack_sizes: DataFrame, template: str = "%p") -> DataFrame:
     """One line a pack; a pack without a file (a loose one) has size 0."""
     per = snapshots.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).join(pack_sizes, "pack", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))

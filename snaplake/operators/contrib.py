@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import shlex
 
 import pyarrow as pa
@@ -12,30 +14,62 @@ from pyspark.sql import functions as F
 from .layout import with_prefix
 
 
-def commit_list(commits: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sha and line of the wanted commits: date, generation number (place among all commits, counted before filtering), time, short sha. commits: sha, ts, place."""
-    grain = F.date_format("ts", "yyyyMMddHH")
-    numbered = with_prefix(commits.withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0)), ["__all"], ["ts", "place"], "__one", "__before", grain)
+def commits_between(commits: DataFrame, since: str, until: str) -> DataFrame:
+    """The mainline commits after the first one of the day `since` and before the day `until` (UTC, yyyy-MM-dd). commits: sha, ts, place (rises from parents to children), mainline.
+
+    Clocks are not trusted to rise along the history, so what opens the range is a place, not a time; if no commit has that day there is no range.
+    """
+    line = commits.filter(F.col("mainline") & (F.col("ts") < F.lit(until).cast("timestamp")))
+    opens = line.filter(F.to_date("ts") == F.lit(since).cast("date")).agg(F.min("place").alias("__opens"))
+    return line.join(F.broadcast(opens), F.col("place") > F.col("__opens")).drop("__opens")  # one row
+
+
+def commit_list(commits: DataFrame, wanted: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+    """sha and line of the wanted commits: date, generation number (place among all commits of the range, counted before filtering), time, short sha. commits: sha, ts, place, and mainline where a range is asked for."""
+    if since and until:
+        commits, order = commits_between(commits, since, until), ["place"]
+        grains = [F.floor(F.col("place") / 65536)]
+    else:
+        order, grains = ["ts", "place"], [F.date_format("ts", "yyyyMM"), F.date_format("ts", "yyyyMMddHH")]
+    numbered = with_prefix(commits.withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0)), ["__all"], order, "__one", "__before", *grains)
     line = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.format_string("%05d", F.col("__before") + 1), F.lit("T"), F.date_format("ts", "HHmmss"), F.lit("-"), F.substring("sha", 1, 15))
     return numbered.join(wanted.select("sha"), "sha", "left_semi").select("sha", line.alias("line"))
 
 
-def every_nth(lines: DataFrame, order: list[str], n: int) -> DataFrame:
-    return lines.withColumn("n", F.row_number().over(Window.orderBy(*order))).filter(F.col("n") % n == 0)
+def _beginnings(text: str) -> list[Column]:
+    """Ever longer beginnings of a text column: grains of its order."""
+    return [F.substring(F.col(text), 1, n) for n in (4, 16, 64)]
+
+
+def numbered_lines(lines: DataFrame, line: str, name: str = "n") -> DataFrame:
+    """lines with their number in order, from 1: a total order, but no task sees all of them."""
+    rows = lines.withColumn("__one", F.lit(1).cast("long")).withColumn("__all", F.lit(0))
+    rows = with_prefix(rows, ["__all"], [line], "__one", name, *_beginnings(line))
+    return rows.withColumn(name, F.col(name) + 1).drop("__one", "__all")
+
+
+def every_nth(lines: DataFrame, line: str, n: int) -> DataFrame:
+    return numbered_lines(lines, line).filter(F.col("n") % n == 0)
 
 
 def split_by_bytes(lines: DataFrame, line: str, parts: int) -> DataFrame:
     """Parts of about equal bytes, lines kept whole: a line goes where its first byte falls."""
     rows = lines.withColumn("__len", F.octet_length(line).cast("long") + 1).withColumn("__all", F.lit(0))
-    rows = with_prefix(rows, ["__all"], [line], "__len", "__before", F.substring(line, 1, 6))
+    rows = with_prefix(rows, ["__all"], [line], "__len", "__before", *_beginnings(line))
     total = rows.agg(F.sum("__len").alias("__total"))
     part = F.least(F.expr(f"__before * {parts} div __total"), F.lit(parts - 1)).cast("int")
     return rows.join(F.broadcast(total)).select(line, part.alias("part"))  # one row
 
 
 COMMANDS = "kind string, output string, args array<string>, place long"
-#: Base names of commands that make archives.
-ARCHIVERS = ("ar", "llvm-ar", "libtool")
+
+# How commands of a build are told by their base names, and where CMake's links lie.
+ARCHIVE_COMMANDS = ("ar", r"llvm-ar.*")
+LIBTOOL_COMMANDS = ("libtool",)
+LINK_COMMANDS = (r"c\+\+.*", r"clang(\+\+)?(-\d+)?")
+SYMLINK_COMMANDS = ("cmake",)
+CMAKE_LINKS = {"cmake_symlink_library": "lib/", "cmake_symlink_executable": "bin/", "create_symlink": "bin/"}
+CMAKE_LINKS_OF_MANY = ("cmake_symlink_library",)
 
 
 def _calls(command: str) -> list[list[str]]:
@@ -52,32 +86,47 @@ def _calls(command: str) -> list[list[str]]:
     return [c for c in calls if c]
 
 
-def _plain(args: list[str]) -> list[str]:
-    return [a for a in args if not a.startswith("-")]
-
-
-def _classified(call: list[str], output: str | None, pwd: str):
-    base = os.path.basename(call[0])
-    stem, dash, number = base.rpartition("-")
-    family = stem if dash and number.isdigit() else base
-    if base == "libtool":
-        to = call[call.index("-o") + 1] if "-o" in call[:-1] else ""
-        skip = call.index("-o") + 1 if "-o" in call[:-1] else -1
-        yield "archive", to, [a for i, a in enumerate(call) if i and i != skip and not a.startswith("-") and a != "libtool"]
-    elif base == "ar" or base.startswith("llvm-ar"):
-        names = _plain(call[2:])
-        if names:
-            yield "archive", names[0], names[1:]
-    elif base.startswith("c++") or (family in ("clang", "clang++") and not base.startswith("cc")):
-        yield "link", output or "", [family, *call[1:]]
-    elif base == "cmake" and len(call) >= 5 and call[1] == "-E":
-        if call[2] == "cmake_symlink_library":
-            for src, dst in zip(call[3:], call[4:], strict=False):
-                if src != dst:
-                    yield "symlink", src.removeprefix("lib/"), [dst]
-        elif call[2] in ("create_symlink", "cmake_symlink_executable"):
-            dst = os.path.relpath(call[4], pwd) if os.path.isabs(call[4]) else call[4]
-            yield "symlink", call[3].removeprefix("bin/"), [dst]
+class _Call:
+    """A simple command: its words after the name, apart from the values that options take."""
+
+    def __init__(self, words: list[str], output: str, pwd: str):
+        self.name, self.words, self.output, self.pwd = os.path.basename(words[0]), words[1:], output, pwd
+
+    def option(self, flag: str) -> tuple[str, list[str]]:
+        """The value of an option, and the words that are neither it nor its value nor other options."""
+        at = self.words.index(flag) if flag in self.words[:-1] else len(self.words)
+        rest = [w for k, w in enumerate(self.words) if k - at not in (0, 1) and w[:1] != "-"]
+        return "".join(self.words[at + 1 : at + 2]), rest
+
+    def archive(self) -> list[tuple]:
+        names = [w for w in self.words[1:] if w[:1] != "-"]  # the first word says what to do
+        return [("archive", names[0], names[1:])] if names else []
+
+    def libtool(self) -> list[tuple]:
+        to, members = self.option("-o")
+        return [("archive", to, [m for m in members if m != self.name])]
+
+    def link(self) -> list[tuple]:
+        return [("link", self.output, [re.sub(r"-\d+$", "", self.name), *self.words])]
+
+    def symlink(self) -> list[tuple]:
+        mode, kind, *names = [*self.words, "", ""][: max(2, len(self.words))]
+        if mode != "-E" or kind not in CMAKE_LINKS or len(names) < 2:
+            return []
+        where = CMAKE_LINKS[kind]
+        if kind in CMAKE_LINKS_OF_MANY:  # a chain of versions, each pointing to the next
+            return [("symlink", a.removeprefix(where), [b]) for a, b in itertools.pairwise(names) if a != b]
+        to = names[1]
+        return [("symlink", names[0].removeprefix(where), [os.path.relpath(to, self.pwd) if os.path.isabs(to) else to])]
+
+
+_RULES = [(re.compile("|".join(f"(?:{n})" for n in names)), read) for names, read in ((LIBTOOL_COMMANDS, _Call.libtool), (ARCHIVE_COMMANDS, _Call.archive), (LINK_COMMANDS, _Call.link), (SYMLINK_COMMANDS, _Call.symlink))]
+
+
+def _classified(words: list[str], output: str | None, pwd: str) -> list[tuple]:
+    """(kind, output, args) of what a simple command makes, by the first rule its name matches; nothing for other commands."""
+    call = _Call(words, output or "", pwd)
+    return next((read(call) for names, read in _RULES if names.fullmatch(call.name)), [])
 
 
 def parse_commands(db: DataFrame, pwd: str = "/") -> DataFrame:
@@ -136,9 +185,7 @@ def dump_objects(commands: DataFrame, outputs: list[str] | None = None) -> DataF
 
 
 def brace(names: list[str]) -> str:
-    """Names as one shell brace expression that shares their beginnings: fooa, foob, bar give {bar,foo{a,b}}."""
-    import itertools
-
+    """Names as one shell brace expression that shares their beginnings: x.o, lib1.a and lib2.a give {lib{1.a,2.a},x.o}."""
     names = sorted(set(names))
     if not names:
         return ""
@@ -149,3 +196,26 @@ def brace(names: list[str]) -> str:
         return out
     parts = [brace(list(g)) for _, g in itertools.groupby(rest, lambda r: r[:1])]
     return out + "{" + ",".join(parts) + "}"
+
+
+def expand_braces(text: str) -> list[str]:
+    """The words that a shell makes of a brace expression as `brace` writes it."""
+
+    def words(at: int) -> tuple[list[str], int]:
+        done, now = [], [""]
+        while at < len(text) and text[at] != "}":
+            if text[at] == ",":
+                done, now, at = done + now, [""], at + 1
+            elif text[at] == "{":
+                inner, at = words(at + 1)
+                now = [a + b for a in now for b in inner]
+                at += 1
+            else:
+                end = at
+                while end < len(text) and text[end] not in "{},":
+                    end += 1
+                now = [a + "".join(shlex.split(text[at:end])) for a in now]
+                at = end
+        return done + now, at
+
+    return words(0)[0]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import hexed
 
@@ -13,11 +18,44 @@ ROW = ["path", "checksum", "mode"]
 def snapshot_checksum(files: DataFrame, keys: list[str]) -> DataFrame:
     """One SHA-1 a snapshot over its rows in order of (checksum, path): path bytes, 20 checksum bytes, mode as 4 big-endian bytes.
 
-    checksum is lower hex here. Rows of one snapshot meet in one aggregate: the hash is defined over all of them in order.
+    checksum is lower hex here. The hash is defined over all rows of a snapshot in order, so one task sees them all, but as a
+    sorted stream (sorting spills): what it holds is one batch of rows and one hash.
     """
-    row = F.struct(F.col("checksum"), F.hex(F.col("path").cast("binary")).alias("p"), F.lpad(F.hex(F.col("mode")), 8, "0").alias("m"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.concat(x["p"], x["checksum"], x["m"])), "")
-    return files.groupBy(*keys).agg(F.sha1(F.unhex(text)).alias("fingerprint"))
+    path = F.col("path").cast("binary")
+    row = F.concat(path, F.unhex("checksum"), F.unhex(F.lpad(F.hex("mode"), 8, "0")))
+    rows = files.select(*keys, F.col("checksum").alias("__checksum"), path.alias("__path"), row.alias("__row"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "__checksum", "__path").select(*keys, "__row")
+    kinds = rows.select(*keys).schema
+
+    def digest(batches):
+        now, hash_, made = None, None, []
+
+        def told():
+            out = pa.RecordBatch.from_arrays([pa.array([m[0][i] for m in made], k) for i, k in enumerate(types)] + [pa.array([m[1] for m in made])], names=[*keys, "fingerprint"])
+            made.clear()
+            return out
+
+        types = None
+        for b in batches:
+            types = [c.type for c in b.columns[:-1]]
+            of = list(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True))
+            at = 0
+            while at < len(of):
+                # keys are sorted: the rows of one snapshot end where its key ends
+                to = bisect.bisect_right(range(len(of)), False, at, key=lambda i, first=of[at]: of[i] != first)
+                if of[at] != now:
+                    if hash_:
+                        made.append((now, hash_.hexdigest()))
+                    now, hash_ = of[at], hashlib.sha1()
+                hash_.update(b"".join(b.column(len(keys)).slice(at, to - at).to_pylist()))
+                at = to
+            if made:
+                yield told()
+        if hash_:
+            made.append((now, hash_.hexdigest()))
+            yield told()
+
+    return rows.mapInArrow(digest, T.StructType([*kinds.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def entry_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,11 +92,13 @@ def empty_dirs(removed: DataFrame, kept: DataFrame) -> DataFrame:
     """Directories that hold nothing once `removed` paths are gone, deepest first by depth."""
 
     def above(paths: DataFrame) -> DataFrame:
-        parts = F.split("path", "/")
-        ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-        return paths.filter(F.size(parts) > 1).select(F.explode(ups).alias("dir")).distinct()
+        # by bytes: names need not be UTF-8
+        text = F.col("path").cast("string")
+        deep = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("/"), F.lit("")))
+        ups = paths.filter(deep > 0).select(text.alias("__p"), F.explode(F.sequence(F.lit(1), deep)).alias("depth"))
+        return ups.select(F.expr("substring_index(__p, '/', depth)").alias("dir"), F.col("depth").cast("int").alias("depth")).distinct()
 
-    return above(removed).join(above(kept), "dir", "left_anti").withColumn("depth", F.size(F.split("dir", "/")))
+    return above(removed).join(above(kept), "dir", "left_anti")
 
 
 def verify(objects: DataFrame) -> DataFrame:

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_prefix(df: DataFrame, group: list[str], order: list[str], value: str, name: str, grain: Column) -> DataFrame:
-    """Exclusive prefix sums in two steps, so that no task sees all rows of a group: grain is a coarse key that does not decrease in the order."""
-    df = df.withColumn("__grain", grain)
-    base = df.groupBy(*group, "__grain").agg(F.sum(value).alias("__sum"))
-    over = Window.partitionBy(*group).orderBy("__grain").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.withColumn("__base", F.coalesce(F.sum("__sum").over(over), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy(*group, "__grain").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(base, [*group, "__grain"])
-    return out.withColumn(name, (F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("__grain", "__base")
+def with_prefix(df: DataFrame, group: list[str], order: list[str], value: str, name: str, *grains: Column) -> DataFrame:
+    """Exclusive prefix sums of `value` in the order, in steps, so that no task sees all rows of a group.
+
+    grains are ever finer keys: each one is constant or rises where the order rises and the grains before it stand still.
+    Sums of the finest grains are added up grain by grain; only rows of one finest grain meet in a window.
+    """
+    names = [f"__g{i}" for i in range(len(grains))]
+    df = df.withColumns(dict(zip(names, grains, strict=True)))
+    per = df.groupBy(*group, *names).agg(F.sum(value).alias("__sum"))
+    base = None
+    for i, g in enumerate(names):
+        coarse = per if i == len(names) - 1 else per.groupBy(*group, *names[: i + 1]).agg(F.sum("__sum").alias("__sum"))
+        over = Window.partitionBy(*group, *names[:i]).orderBy(g).rowsBetween(Window.unboundedPreceding, -1)
+        mine = coarse.withColumn("__before", F.coalesce(F.sum("__sum").over(over), F.lit(0))).drop("__sum")
+        if base is not None:
+            mine = mine.join(base, [*group, *names[:i]]).withColumn("__before", F.col("__before") + F.col("__base")).drop("__base")
+        base = mine.withColumnRenamed("__before", "__base")
+    inside = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(base, [*group, *names])
+    return out.withColumn(name, (F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop(*names, "__base")
+
+
+def size_grain(size: Column) -> Column:
+    """A key of at most about 14,000 values that never falls where size rises: the bits of a size's magnitude and the eight after the first."""
+    magnitude = F.when(size < 1, 0).otherwise(F.length(F.conv(size.cast("string"), 10, 2)))
+    rest = F.when(magnitude <= 9, size).otherwise(F.expr("1").cast("long") * F.floor(size / F.pow(F.lit(2.0), magnitude - 9)))
+    return magnitude.cast("long") * 1024 + rest.cast("long")
 
 
 def object_layout(objects: DataFrame) -> DataFrame:
-    """Offset of each object (pack, checksum, size): smaller ones first, ties by checksum. Sizes of up to 8 bits more a step make the grain."""
-    grain = F.concat(F.lpad(F.col("size").cast("string"), 19, "0"), F.substring("checksum", 1, 2))
-    return with_prefix(objects, ["pack"], ["size", "checksum"], "size", "offset", grain)
+    """Offset of each object (pack, checksum, size): smaller ones first, ties by checksum. A pack's sums are added up over magnitudes, then sizes, then the first hex digits of checksums."""
+    grains = size_grain(F.col("size")), F.col("size"), F.substring("checksum", 1, 3)
+    return with_prefix(objects, ["pack"], ["size", "checksum"], "size", "offset", *grains)
 
 
 def greedy_partition(sizes: Column, n) -> Column:
@@ -42,34 +62,40 @@ def greedy_partition(sizes: Column, n) -> Column:
     return F.transform(raw, lambda p: (F.array_position(names, p) - 1).cast("int"))
 
 
+def run_ends(sizes: np.ndarray, counts: np.ndarray, n: int) -> list[int]:
+    """Where the runs of the partition start: from a histogram of ascending sizes instead of the objects themselves."""
+    ends = np.cumsum(sizes * counts)
+    total, parts = int(ends[-1]), max(min(n, int(counts.sum())), 1)
+    bound, starts = total // parts, [0]
+    while len(starts) < parts:
+        limit = starts[-1] + bound
+        j = int(np.searchsorted(ends, limit, side="right"))  # sizes before the j-th end within the limit, of the j-th some objects
+        if j == len(ends):
+            break
+        before = int(ends[j - 1]) if j else 0
+        to = before + (limit - before) // int(sizes[j]) * int(sizes[j]) if sizes[j] else before
+        if to <= starts[-1]:
+            break  # the next object is above the bound: the rest is one run
+        starts.append(to)
+    return starts
+
+
 def frames_by_boundaries(objects: DataFrame, n: int) -> DataFrame:
-    """The same partition for a table with offsets (object_layout's), pack by pack: at most n-1 boundary look-ups, none of them sequential over rows.
+    """The same partition for a table with offsets (object_layout's), pack by pack.
 
-    Sizes ascend along the layout, so a run ends at the last object whose end is within its start plus the
-    bound, and no object above the bound stands before one below it. Each look-up is a filtered maximum over
-    objects, which should be a written table; what the driver keeps is one number a frame.
+    As sizes ascend along the layout, the runs depend on how many objects have each size and on nothing else. That histogram
+    has at most sqrt(2 * bytes) rows a pack (distinct sizes add up to no more than the bytes: 14 million rows for
+    100 TB), is made with partial sums in one job whatever n is, and is walked in one task a pack.
     """
-    spark = objects.sparkSession
-    rows = objects.withColumn("__end", F.col("offset") + F.col("size"))
-    packs = {r.pack: r for r in rows.groupBy("pack").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).collect()}
-    starts = {p: [0] for p in packs}
-    moving = {p: max(min(n, r.n), 1) for p, r in packs.items()}
-    for k in range(n - 1):
-        upto = {p: starts[p][-1] + packs[p].total // parts for p, parts in moving.items() if parts > k + 1}
-        if not upto:
-            break
-        bounds = spark.createDataFrame(list(upto.items()), "pack string, __upto long")
-        found = {r.pack: r.e for r in rows.join(bounds, "pack").filter("__end <= __upto").groupBy("pack").agg(F.max("__end").alias("e")).collect()}
-        for p in upto:
-            if found.get(p, 0) > starts[p][-1]:
-                starts[p].append(found[p])
-            else:
-                moving[p] = 0  # the next object is above the bound: the rest is one run
-    table = spark.createDataFrame(list(starts.items()), "pack string, __starts array<long>")
-    out = objects.join(table, "pack").withColumn("__f", F.size(F.filter("__starts", lambda s: s <= F.col("offset"))) - 1)
-    label = F.dense_rank().over(Window.partitionBy("pack").orderBy("__f")) - 1
-    names = out.select("pack", "__f").distinct().withColumn("frame", label.cast("int"))
-    return out.join(names, ["pack", "__f"]).drop("__f", "__starts")
+    sizes = objects.groupBy("pack", "size").agg(F.count(F.lit(1)).alias("n"))
+
+    def walk(h: pd.DataFrame) -> pd.DataFrame:
+        h = h.sort_values("size")
+        starts = run_ends(h["size"].to_numpy(np.int64), h["n"].to_numpy(np.int64), n)
+        return pd.DataFrame({"pack": h["pack"].iloc[0], "data_start": starts, "frame": np.arange(len(starts), dtype=np.int32)})
+
+    starts = sizes.groupBy("pack").applyInPandas(walk, "pack string, data_start long, frame int")
+    return _within(objects, starts).drop("local_offset")
 
 
 def frame_offsets(frames: DataFrame) -> DataFrame:
@@ -81,14 +107,30 @@ def frame_offsets(frames: DataFrame) -> DataFrame:
     return out
 
 
-def assign_frames(entries: DataFrame, frames: DataFrame) -> DataFrame:
-    """As-of join of entries (pack, offset) with the last frame that starts at or before the offset, of equal starts the last; adds frame and local_offset.
+def _within(entries: DataFrame, starts: DataFrame) -> DataFrame:
+    """entries (pack, offset) with frame and local_offset of the last of starts (pack, frame, data_start) at or before their offset, of equal starts the last.
 
-    Frames are few (one per half gibibyte), so each pack's starts travel as one sorted array; nothing is compared pair by pair.
+    A pack is cut into as many stretches as it has frames. A frame is told to each stretch that it reaches, an entry asks in
+    its own: the join is by equality of (pack, stretch), so neither a pack nor a long list of frames meets in one task.
     """
-    marks = frame_offsets(frames).groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("data_start", "frame"))).alias("__marks"))
-    met = entries.join(marks, "pack").withColumn("__m", F.element_at(F.filter("__marks", lambda m: m["data_start"] <= F.col("offset")), -1))
-    return met.withColumn("frame", F.col("__m.frame")).withColumn("local_offset", F.col("offset") - F.col("__m.data_start")).drop("__marks", "__m")
+    following = Window.partitionBy("pack").orderBy("data_start", "frame")
+    all_ = Window.partitionBy("pack")
+    per = starts.select("pack", "frame", "data_start", F.lead("data_start").over(following).alias("__end"), (F.expr("max(data_start) OVER (PARTITION BY pack)")).alias("__top"), F.count(F.lit(1)).over(all_).alias("__n"))
+    per = per.withColumn("__width", F.greatest(F.expr("__top div __n"), F.lit(1)))
+    widths = per.groupBy("pack").agg(F.first("__width").alias("__width"), F.first("__top").alias("__top"))
+    # a frame ends where the next one starts; the last one goes on
+    per = per.filter("__end is null or __end > data_start")
+    reach = F.sequence(F.expr("data_start div __width"), F.expr("coalesce(__end - 1, __top) div __width"))
+    per = per.select("pack", "frame", "data_start", "__end", F.explode(reach).alias("__at"))
+    # one row a pack
+    asked = entries.join(widths, "pack").withColumn("__at", F.expr("least(offset, __top) div __width")).drop("__width", "__top")
+    met = asked.join(per, ["pack", "__at"]).filter((F.col("data_start") <= F.col("offset")) & (F.col("__end").isNull() | (F.col("offset") < F.col("__end"))))
+    return met.withColumn("local_offset", F.col("offset") - F.col("data_start")).drop("__at", "__end", "data_start")
+
+
+def assign_frames(entries: DataFrame, frames: DataFrame) -> DataFrame:
+    """As-of join of entries (pack, offset) with the last frame that starts at or before the offset, of equal starts the last; adds frame and local_offset."""
+    return _within(entries.drop("frame"), frame_offsets(frames).select("pack", "frame", "data_start"))
 
 
 def decompress_extent(entries: DataFrame) -> DataFrame:

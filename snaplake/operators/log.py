@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import with_prefix
+
 ROW = ["path", "checksum", "mode"]
+CORRUPT = "corrupt log: "
 
 
 def _sign():
@@ -39,16 +42,25 @@ def violations(changes: DataFrame) -> DataFrame:
     return running_rows(changes).filter(~F.col("running").isin(0, 1))
 
 
+def _stop(what: str, *cols: str):
+    """An error where a log is corrupt: it removes what is absent or adds what is present."""
+    return F.raise_error(F.concat(F.lit(CORRUPT + what), *[x for c in cols for x in (F.lit(" "), F.coalesce(F.col(c).cast("string"), F.lit("-")))]))
+
+
 def resolve(changes: DataFrame, seq) -> DataFrame:
-    """The files (pack and row) as of seq: a number, or a column of snapshots joined to the log. The cut reaches the scan."""
+    """The files (pack and row) as of seq: a number, or a column of snapshots joined to the log. The cut reaches the scan. A log whose rows add up to anything but 0 or 1 is an error."""
     upto = changes.filter(F.col("seq") <= F.lit(seq))
-    return upto.groupBy("pack", *ROW).agg(F.max("size").alias("size"), F.sum(_sign()).alias("__n")).filter("__n = 1").drop("__n")
+    per = upto.groupBy("pack", *ROW).agg(F.max("size").alias("size"), F.sum(_sign()).alias("__n"))
+    there = F.when(F.col("__n").isin(0, 1), F.col("__n") == 1).otherwise(_stop("unbalanced row", "pack", "checksum").cast("boolean"))
+    return per.filter(there).drop("__n")
 
 
 def intervals(changes: DataFrame) -> DataFrame:
-    """Validity of each row, seq_from to seq_to (excluded; null while it lasts): a checkpoint table for time travel by one range filter."""
+    """Validity of each row, seq_from to seq_to (excluded; null while it lasts): a checkpoint table for time travel by one range filter. A row added twice, or removed while it is absent, is an error."""
     row = Window.partitionBy("pack", *ROW).orderBy("seq", F.col("op") == "A")
-    out = changes.withColumn("seq_to", F.lead("seq").over(row)).filter("op = 'A'")
+    out = changes.withColumns({"seq_to": F.lead("seq").over(row), "__next": F.lead("op").over(row), "__last": F.lag("op").over(row)})
+    good = F.when(F.col("op") == "A", F.coalesce(F.col("__next") == "R", F.lit(True))).otherwise(F.coalesce(F.col("__last") == "A", F.lit(False)))
+    out = out.filter(F.when(good, F.col("op") == "A").otherwise(_stop("unbalanced row", "pack", "checksum").cast("boolean")))
     return out.select("pack", F.col("seq").alias("seq_from"), "seq_to", *ROW, "size")
 
 
@@ -71,6 +83,15 @@ def running_file_count(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     return snapshots.join(per, ["pack", "seq"], "left").withColumn("files", F.sum(F.coalesce("__n", F.lit(0).cast("long"))).over(run)).select("pack", "seq", "tag", "files")
 
 
+def running_totals(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Files and bytes of each snapshot, as running signed sums of the log: no snapshot is unrolled."""
+    per = changes.groupBy("pack", "seq").agg(F.sum(_sign()).alias("__n"), F.sum(_sign() * F.col("size")).alias("__b"))
+    run = Window.partitionBy("pack").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    met = snapshots.join(per, ["pack", "seq"], "left")
+    none = F.lit(0).cast("long")
+    return met.select("pack", "seq", "tag", F.sum(F.coalesce("__n", none)).over(run).alias("files"), F.sum(F.coalesce("__b", none)).over(run).alias("bytes"))
+
+
 def push_snapshot(files: DataFrame, snapshots: DataFrame, new: DataFrame, pack: str, tag: str) -> tuple[DataFrame, DataFrame]:
     """(log rows, snapshot row) that append new (path, checksum, mode, size) to the pack whose last state is files."""
     last = snapshots.filter(F.col("pack") == pack).agg(F.max("seq").alias("seq"), F.max((F.col("tag") == tag).cast("int")).alias("there")).first()
@@ -87,10 +108,12 @@ def push_snapshot(files: DataFrame, snapshots: DataFrame, new: DataFrame, pack:
 
 
 def intern(rows: DataFrame, value: str, order: list[str], pack: str = "pack") -> DataFrame:
-    """A dictionary: each value's handle is its rank by first appearance. Values are reduced to one row each before they are ranked."""
-    first = rows.groupBy(pack, value).agg(F.min(F.struct(*order)).alias("__first"))
-    handle = F.row_number().over(Window.partitionBy(pack).orderBy("__first", value)) - 1
-    return first.select(pack, handle.cast("long").alias("handle"), value)
+    """A dictionary: each value's handle is its rank by first appearance, ties by value. Values are reduced to one row each before they are ranked,
+    and ranks are added up over first appearances and ever longer beginnings of the value, so no task sees all values of a pack."""
+    first = rows.groupBy(pack, value).agg(F.min(F.struct(*order)).alias("__first")).withColumn("__one", F.lit(1).cast("long"))
+    grains = [F.col("__first"), *[F.substring(F.col(value), 1, n) for n in (4, 16, 64)]]
+    out = with_prefix(first, [pack], ["__first", value], "__one", "handle", *grains)
+    return out.select(pack, "handle", value)
 
 
 def encode(rows: DataFrame, pool: DataFrame, value: str, handle: str, pack: str = "pack") -> DataFrame:

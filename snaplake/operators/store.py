@@ -15,8 +15,8 @@ def hashed(tree: DataFrame) -> DataFrame:
 
 
 def new_objects(contents: DataFrame, have: DataFrame) -> DataFrame:
-    """checksum, size, content of each object that the store lacks, once. Only checksums meet the store; contents of known objects are not moved twice."""
-    rows = contents.select(F.sha1("content").alias("checksum"), F.octet_length("content").cast("long").alias("size"), "content")
+    """checksum, size, content of each object (checksum, size, content) that the store lacks, once. Only checksums meet the store; contents of known objects are not moved."""
+    rows = contents.select("checksum", "size", "content")
     return rows.join(have.select("checksum"), "checksum", "left_anti").dropDuplicates(["checksum"])
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..model import LakeError
 from ..operators import catalog, diff, layout, log
 from . import fixture
 from .fixture import FILES_SQL
@@ -63,57 +65,6 @@ def _state(spark, sf, seq):
 # --- scans and sinks -------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT pack FROM multi")
-def scan_packs(spark, sf):
-    return fixture.multi(spark, sf).select("pack").distinct()
-
-
-@query("""SELECT pack, CAST(row_number() OVER (ORDER BY mtime, pack) AS INTEGER) AS place FROM
-(SELECT DISTINCT pack, CASE WHEN pack = 'loose/snap-4' THEN 0 ELSE 9 - CAST(substr(pack, 12) AS INTEGER) END AS mtime FROM multi WHERE pack LIKE 'loose/%')""")
-def scan_loose_packs(spark, sf):
-    packs = fixture.multi(spark, sf).select("pack").distinct().filter(S.is_loose(F.col("pack")))
-    mtime = F.when(F.col("pack") != "loose/snap-4", F.timestamp_seconds(9 - F.substring("pack", 12, 9).cast("int")))  # one has no time: the epoch
-    order = Window.orderBy(F.coalesce(mtime, F.timestamp_seconds(F.lit(0))), "pack")
-    return packs.select("pack", F.row_number().over(order).alias("place"))
-
-
-@query("SELECT pack, seq, op, path, checksum, mode, size FROM changes")
-def scan_index(spark, sf):
-    return _log(spark, sf)
-
-
-@query("SELECT DISTINCT pack, seq, tag FROM multi")
-def scan_index_tags(spark, sf):
-    return fixture.multi(spark, sf).select("pack", "seq", "tag").distinct()
-
-
-@query("""SELECT DISTINCT checksum, size FROM files""")
-def scan_loose_objects(spark, sf):
-    paths = fixture.files(spark, sf).select(F.concat(F.lit("data/loose/"), S.loose_path(F.col("checksum"))).alias("at"), "size").distinct()
-    return paths.select(S.loose_checksum(F.col("at")).alias("checksum"), "size")
-
-
-@query("SELECT 'loose/snap-5' AS pack, 'snap-5' AS tag, CAST(count(*) AS BIGINT) AS files FROM multi WHERE pack = 'loose/snap-5' AND tag = 'snap-5'")
-def scan_head(spark, sf):
-    head = spark.range(1).select(S.snapshot_id(F.lit("loose/snap-5:snap-5\n")).alias("id")).select("id.pack", "id.tag")
-    return fixture.multi(spark, sf).join(head, ["pack", "tag"]).groupBy("pack", "tag").agg(F.count(F.lit(1)).alias("files"))
-
-
-@query("SELECT checksum, max(size) AS size FROM files WHERE seq = 5 AND checksum NOT IN (SELECT checksum FROM files WHERE seq <= 3) GROUP BY checksum")
-def store_snapshot(spark, sf):
-    from ..operators.store import new_objects
-
-    c = fixture.contents(spark, sf)
-    have = fixture.files(spark, sf).filter("seq <= 3").select("checksum").distinct()
-    return new_objects(c.filter("seq = 5").select(F.col("content").cast("binary").alias("content")), have).select("checksum", "size")
-
-
-@query("SELECT checksum, max(size) AS size FROM files WHERE seq = 1 AND checksum NOT IN (SELECT checksum FROM files WHERE seq = 0) GROUP BY checksum")
-def write_loose_object(spark, sf):
-    have, new = _state(spark, sf, 0).select("checksum"), _state(spark, sf, 1)
-    return new.join(have, "checksum", "left_anti").groupBy("checksum").agg(F.max("size").alias("size"))
-
-
 @query("""SELECT path, CASE WHEN doc_id % 3 = 0 THEN repeat('0', 40) ELSE checksum END AS checksum, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE size END AS size FROM files WHERE seq = 1""")
 def store_unreadable_empty(spark, sf):
     from ..operators.store import hashed
@@ -123,31 +74,6 @@ def store_unreadable_empty(spark, sf):
     return hashed(tree).select("path", "checksum", "size")
 
 
-@query("SELECT pack, checksum, size, \"offset\" FROM layout")
-def save_index(spark, sf):
-    return _layout(spark, sf).select("pack", "checksum", "size", "offset")
-
-
-@query("""SELECT pack, frame, checksum, local_offset, CAST(row_number() OVER (PARTITION BY pack, frame ORDER BY local_offset, checksum) AS INTEGER) AS step FROM placed""")
-def extract_files(spark, sf):
-    step = F.row_number().over(Window.partitionBy("pack", "frame").orderBy("local_offset", "checksum"))
-    return _placed(spark, sf).select("pack", "frame", "checksum", "local_offset", step.alias("step"))
-
-
-@query("""SELECT f.path, f.checksum, f.mode, o.size FROM (SELECT * FROM files WHERE seq = 2) f JOIN (SELECT DISTINCT checksum, size FROM files) o USING (checksum)""")
-def copy_loose_entries(spark, sf):
-    have = fixture.files(spark, sf).select("checksum", "size").distinct()
-    return _state(spark, sf, 2).select("path", "checksum", "mode").join(have, "checksum").select("path", "checksum", "mode", "size")
-
-
-@query("""SELECT CAST(n AS INTEGER) AS place, checksum FROM (SELECT row_number() OVER (ORDER BY path DESC) - 1 AS n, path FROM files WHERE seq = 1) w JOIN (SELECT path, checksum FROM files WHERE seq = 4) USING (path)""")
-def show_files(spark, sf):
-    wanted = _state(spark, sf, 1).select("path")
-    # arguments come in some order, which the output keeps: here the reverse of the alphabet
-    args = wanted.agg(F.reverse(F.array_sort(F.collect_list("path"))).alias("p")).select(F.posexplode("p").alias("place", "path"))
-    return args.join(_state(spark, sf, 4).select("path", "checksum"), "path").select("place", "checksum")
-
-
 @query("""SELECT dir, CAST(len(string_split(dir, '/')) AS INTEGER) AS depth FROM (
 SELECT DISTINCT unnest([string_split(path, '/')[1], string_split(path, '/')[1] || '/' || string_split(path, '/')[2]]) AS dir FROM files WHERE seq = 0 AND doc_id % 10 < 9
 EXCEPT SELECT DISTINCT unnest([string_split(path, '/')[1], string_split(path, '/')[1] || '/' || string_split(path, '/')[2]]) FROM files WHERE seq = 0 AND doc_id % 10 = 9)""")
@@ -277,12 +203,6 @@ def are_snapshots_equal(spark, sf):
 # --- columns ---------------------------------------------------------------------------------------
 
 
-@query("""SELECT replace(replace(replace(replace(replace('%s|%t|%h|%b|%n', '%s', pack || ':' || tag), '%t', tag), '%h', 'h'), '%b', CAST(sum(size) AS VARCHAR)), '%n', CAST(count(*) AS VARCHAR)) AS line FROM multi GROUP BY pack, seq, tag""")
-def fmt_snapshot(spark, sf):
-    per = fixture.multi(spark, sf).groupBy("pack", "seq", "tag").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
-    return per.select(S.formatted("%s|%t|%h|%b|%n", [("%s", F.concat_ws(":", "pack", "tag")), ("%t", F.col("tag")), ("%h", F.lit("h")), ("%b", F.col("bytes")), ("%n", F.col("files"))]).alias("line"))
-
-
 @query("""SELECT 'x ' || checksum || ' ' || CAST(size AS VARCHAR) || ' ' || replace(path || '%b', '%b', CAST(size AS VARCHAR)) || ' ' || printf('%o', mode) AS line FROM files WHERE seq = 0""")
 def fmt_file(spark, sf):
     f = _state(spark, sf, 0).withColumn("path", F.concat("path", F.lit("%b")))  # a path that spells a key is replaced again
@@ -401,13 +321,6 @@ def filter_loose(spark, sf):
     return fixture.multi(spark, sf).filter(S.is_loose(F.col("pack"))).select("pack").distinct()
 
 
-@query("SELECT pack, pack IN (SELECT pack FROM multi) AS there FROM (VALUES ('p0'), ('p1'), ('p9'), ('loose/snap-4')) v(pack)")
-def is_pack(spark, sf):
-    asked = spark.createDataFrame([("p0",), ("p1",), ("p9",), ("loose/snap-4",)], "pack string")
-    have = fixture.multi(spark, sf).select("pack").distinct().withColumn("t", F.lit(True))
-    return asked.join(have, "pack", "left").select("pack", F.coalesce("t", F.lit(False)).alias("there"))
-
-
 @query("SELECT path, checksum FROM files WHERE seq = 3 AND path IN (SELECT path FROM files WHERE seq = 0)")
 def path_in_set(spark, sf):
     return _state(spark, sf, 3).join(_state(spark, sf, 0).select("path"), "path", "left_semi").select("path", "checksum")
@@ -522,22 +435,6 @@ def object_layout(spark, sf):
     return _layout(spark, sf).select("pack", "checksum", "size", "offset")
 
 
-@query("""SELECT source, CAST(sum(n) AS BIGINT) AS items, CAST(max(part) + 1 AS INTEGER) AS parts FROM (
-WITH RECURSIVE items AS (SELECT source, n_chars AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
-tot AS (SELECT source, least(5, count(*)) AS k, sum(v) // least(5, count(*)) AS bound, count(*) AS m FROM items GROUP BY source),
-walk AS (
-  SELECT t.source, CAST(1 AS BIGINT) AS i, CASE WHEN x.v <= t.bound THEN 0 ELSE t.k - 1 END AS part, CAST(x.v AS HUGEINT) AS load, t.k, t.bound, t.m FROM tot t JOIN items x ON x.source = t.source AND x.i = 1
-  UNION ALL
-  SELECT w.source, w.i + 1, CASE WHEN w.part >= w.k - 1 OR w.load + x.v <= w.bound THEN w.part WHEN x.v <= w.bound THEN w.part + 1 ELSE w.k - 1 END,
-         CASE WHEN w.part >= w.k - 1 OR w.load + x.v <= w.bound THEN w.load + x.v ELSE x.v END, w.k, w.bound, w.m
-  FROM walk w JOIN items x ON x.source = w.source AND x.i = w.i + 1)
-SELECT source, dense_rank() OVER (PARTITION BY source ORDER BY part) - 1 AS part, 1 AS n FROM walk) GROUP BY source""")
-def greedy_partition(spark, sf):
-    d = fixture.documents(spark, sf).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))), lambda x: x["n_chars"]).alias("sizes"))
-    d = d.withColumn("parts", layout.greedy_partition(F.col("sizes"), 5))
-    return d.select("source", F.size("sizes").cast("long").alias("items"), (F.array_max("parts") + 1).cast("int").alias("parts"))
-
-
 @query(""", e AS (SELECT l.*, l."offset" + l.size AS ending, t.bound FROM layout l JOIN (SELECT pack, sum(size) // 4 AS bound FROM objects GROUP BY pack) t USING (pack)),
 b1 AS (SELECT coalesce(max(ending) FILTER (ending <= bound), 0) AS s FROM e),
 b2 AS (SELECT coalesce(max(ending) FILTER (ending <= b1.s + bound), 0) AS s FROM e, b1),
@@ -577,13 +474,6 @@ def sort_removed_paths(spark, sf):
     return gone.select(F.row_number().over(Window.orderBy("path")).alias("place"), "path")
 
 
-@query("SELECT path, CAST(n AS INTEGER) AS n FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM files WHERE seq = 0) WHERE n % 3 = 0")
-def every_nth_line(spark, sf):
-    from ..operators.contrib import every_nth
-
-    return every_nth(_state(spark, sf, 0).select("path"), ["path"], 3)
-
-
 @query("SELECT path FROM files WHERE seq = 0 ORDER BY path LIMIT 50")
 def limit_lines(spark, sf):
     return _state(spark, sf, 0).select("path").orderBy("path").limit(50)
@@ -599,11 +489,6 @@ def split_lines(spark, sf):
 # --- aggregates ------------------------------------------------------------------------------------
 
 
-@query(f"SELECT pack || ':' || tag || ' ' || CAST(count(*) AS VARCHAR) || ' ' || CAST(sum(size) AS VARCHAR) || ' ' || {_SIZE.format(x='sum(size)')} AS line FROM multi GROUP BY pack, seq, tag")
-def list_snapshots(spark, sf):
-    return catalog.list_snapshots(fixture.multi(spark, sf), "%s %n %b %h")
-
-
 @query("SELECT pack || ' ' || CAST(count(*) AS VARCHAR) || ' ' || CASE WHEN pack = 'p0' THEN '123456' ELSE '0' END AS line FROM (SELECT DISTINCT pack, seq, tag FROM multi) GROUP BY pack")
 def list_packs(spark, sf):
     sizes = spark.createDataFrame([("p0", 123456)], "pack string, bytes long")
@@ -683,17 +568,6 @@ def find_snapshot(spark, sf):
     return asked.join(known, "asked", "left").select("asked", F.coalesce(S.snapshot_id(F.col("asked"))["pack"], "found").alias("pack"))
 
 
-@query("SELECT DISTINCT pack, tag FROM multi WHERE pack LIKE 'loose/%'")
-def select_for_pack(spark, sf):
-    return fixture.multi(spark, sf).filter(S.is_loose(F.col("pack"))).select("pack", "tag").distinct()
-
-
-@query("SELECT tag, CASE WHEN pack LIKE 'loose/%' THEN 'packed' ELSE pack END AS pack FROM (SELECT DISTINCT pack, tag FROM multi)")
-def head_after_pack(spark, sf):
-    heads = fixture.multi(spark, sf).select("pack", "tag").distinct()
-    return heads.select("tag", F.when(S.is_loose(F.col("pack")), F.lit("packed")).otherwise(F.col("pack")).alias("pack"))
-
-
 @query("""SELECT DISTINCT checksum FROM files WHERE checksum NOT IN (SELECT m.checksum FROM multi m WHERE m.pack LIKE 'loose/%' AND (m.pack, m.tag) NOT IN (
 SELECT (p.pack, p.tag) FROM prints p WHERE p.pack LIKE 'loose/%' AND EXISTS (SELECT 1 FROM prints q WHERE q.fingerprint = p.fingerprint AND q.pack NOT LIKE 'loose/%')))""")
 def gc(spark, sf):
@@ -704,32 +578,31 @@ def gc(spark, sf):
 # --- files, packs, remotes and commands: written to the shared folder and read back ----------------
 
 
-def _folder(spark, name):
-    """A fresh folder that the driver and all executors see."""
-    import tempfile
-    import uuid
-
+def folder(spark, name):
+    """A fresh folder that the driver and all executors see; the temporary one is for tests on one machine, where spark.checkpoint.dir is unset."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="snaplake-")
     return f"{top.rstrip('/')}/snaplake-{name}-{uuid.uuid4().hex}"
 
 
+def local_folder(spark, name):
+    """The same as a POSIX path, which work trees need; an error where the shared folder is not one."""
+    at = folder(spark, name)
+    if not at.startswith(("file:", "/")):
+        raise LakeError(f"a work tree needs a shared POSIX folder, not {at}")
+    return "/" + at.removeprefix("file:").lstrip("/")
+
+
 @query("SELECT path FROM files WHERE seq = 2 AND doc_id % 2 = 0")
 def scan_file_list(spark, sf):
     from ..sources.worktree import file_list
 
-    at = _folder(spark, "names")
+    at = folder(spark, "names")
     doc = F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long")
     lines = _state(spark, sf, 2).select(F.when(doc % 2 == 0, F.col("path")).otherwise("").alias("value"))  # every other name is empty
     lines.write.option("lineSep", "\0").text(at)
     return file_list(spark, at, nul=True)
 
 
-@query("SELECT checksum, size, path FROM (SELECT checksum, size, substr(checksum, 1, 2) || '/' || substr(checksum, 3, 2) || '/' || substr(checksum, 5) AS path FROM objects)")
-def explode_pack(spark, sf):
-    packed = create_pack(spark, sf)
-    return packed.select("checksum", "size", S.loose_path(F.col("checksum")).alias("path"))
-
-
 @query("SELECT checksum, size FROM objects")
 def create_pack(spark, sf):
     """Contents to compressed frames and back: each object read from its frame, checked against its checksum."""
@@ -738,7 +611,7 @@ def create_pack(spark, sf):
 
     c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
     bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
-    at = _folder(spark, "pack")
+    at = folder(spark, "pack")
     _layout(spark, sf).write.parquet(at + "/layout")
     laid = spark.read.parquet(at + "/layout")
     placed = layout.frames_by_boundaries(laid, 4)
@@ -749,30 +622,6 @@ def create_pack(spark, sf):
     return read_objects(index, kept).select("checksum", F.octet_length("content").cast("long").alias("size"))
 
 
-@query("SELECT pack, CAST(sum(size) AS BIGINT) AS bytes, TRUE AS smaller FROM objects GROUP BY pack")
-def compress_frame(spark, sf):
-    from ..sinks.packs import write_frames
-
-    c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
-    bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
-    frames = write_frames(layout.frames_by_boundaries(_layout(spark, sf), 4).join(bodies, "checksum"), _folder(spark, "pack"))
-    total = frames.agg(F.sum("decompressed_size").alias("bytes"), (F.sum("frame_size") < F.sum("decompressed_size")).alias("smaller"))
-    return total.select(F.lit(fixture.BASE).alias("pack"), "bytes", "smaller")
-
-
-@query("SELECT CAST(1 AS BIGINT) AS packs, CAST(sum(size) AS BIGINT) AS bytes FROM objects")
-def scan_pack_frames(spark, sf):
-    from ..sinks.packs import join_frames, write_frames
-    from ..sources.packs import pack_frames
-
-    at = _folder(spark, "pack")
-    c = fixture.contents(spark, sf).select(F.col("content").cast("binary").alias("content"))
-    bodies = c.withColumn("checksum", F.sha1("content")).dropDuplicates(["checksum"])
-    frames = write_frames(layout.frames_by_boundaries(_layout(spark, sf), 4).join(bodies, "checksum"), at).collect()
-    join_frames([(r.path, r.frame_size, r.decompressed_size) for r in sorted(frames, key=lambda r: r.frame)], at + "/all.pack")
-    return pack_frames(spark, at + "/all.pack").agg(F.lit(1).cast("long").alias("packs"), F.sum(F.octet_length("data")).cast("long").alias("bytes"))
-
-
 _INDEX = """SELECT 'r' || (doc_id % 3) AS remote, sha1('i' || doc_id) AS index_checksum, sha1('p' || doc_id) AS pack_checksum,
 CASE doc_id % 4 WHEN 0 THEN 'https://other/' || doc_id || '.pack' WHEN 1 THEN 'http://host' || (doc_id % 3) || '/abs/' || doc_id || '.pack' ELSE 'http://host' || (doc_id % 3) || '/dir/' || source || '/' || doc_id || '.pack' END AS url FROM documents"""
 
@@ -802,17 +651,6 @@ def _commands(spark, sf):
     return ar.union(link)
 
 
-@query("SELECT DISTINCT source AS name, 'archive' AS kind FROM documents UNION ALL SELECT DISTINCT lang, 'link' FROM documents")
-def compdb_parse(spark, sf):
-    from ..operators.contrib import parse_commands
-
-    at = _folder(spark, "compdb")
-    array = _commands(spark, sf).agg(F.to_json(F.collect_list(F.struct("command", "output"))).alias("value"))
-    array.write.text(at)
-    db = spark.read.schema("command string, output string").option("multiLine", True).json(at).withColumn("place", F.monotonically_increasing_id())
-    return parse_commands(db).select(F.regexp_extract("output", "([^/.]+)([.]a)?$", 1).alias("name"), "kind")
-
-
 @query("SELECT DISTINCT doc_id || '.o' AS object FROM documents UNION SELECT DISTINCT 'main-' || lang || '.o' FROM documents")
 def dump_objects(spark, sf):
     from ..operators.contrib import dump_objects as dump
@@ -821,56 +659,12 @@ def dump_objects(spark, sf):
     return dump(parse_commands(_commands(spark, sf).withColumn("place", F.monotonically_increasing_id())))
 
 
-@query("""SELECT 'bin/' || lang AS output, CAST(3 + (SELECT count(*) FROM documents d WHERE d.source IN (SELECT source FROM documents e WHERE e.lang = l.lang)) + 2 AS BIGINT) AS words FROM (SELECT DISTINCT lang FROM documents) l""")
-def build_lines(spark, sf):
-    from ..operators.contrib import build_lines as build
-    from ..operators.contrib import parse_commands
-
-    lines = build(parse_commands(_commands(spark, sf).withColumn("place", F.monotonically_increasing_id())), ["-l"])
-    return lines.select("output", F.size(F.split("line", " ")).cast("long").alias("words"))
-
-
-@query("SELECT sha, date || '-' || lpad(CAST(n AS VARCHAR), 5, '0') || 'T' || time || '-' || substr(sha, 1, 15) AS line FROM (SELECT sha1('' || event_id) AS sha, row_number() OVER (ORDER BY ts, event_id) AS n, strftime(ts, '%Y%m%d') AS date, strftime(ts, '%H%M%S') AS time FROM events)")
-def commit_list(spark, sf):
-    from ..operators import contrib
-
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    commits = e.select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), "ts", F.col("event_id").alias("place"))
-    return contrib.commit_list(commits, commits.select("sha"))
-
-
-@query("SELECT pack, CAST(sum(size) AS DOUBLE) / (SELECT sum(size) FROM multi) AS share FROM multi GROUP BY pack")
-def stat_fractions(spark, sf):
-    per = fixture.multi(spark, sf).groupBy("pack").agg(F.sum("size").alias("size"))
-    return per.select("pack", (F.col("size").cast("double") / F.sum("size").over(Window.partitionBy())).alias("share"))
-
-
 @query("SELECT pack || '|' || CAST(count(*) AS VARCHAR) || '|0|0B' AS line FROM (SELECT DISTINCT pack, seq, tag FROM multi) GROUP BY pack")
 def fmt_pack(spark, sf):
     none = spark.createDataFrame([], "pack string, bytes long")
     return catalog.list_packs(fixture.multi(spark, sf).select("pack", "seq", "tag").distinct(), none, "%p|%c|%b|%h")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS undecodable FROM files WHERE path IS NULL")
-def integrity(spark, sf):
-    f, paths, objects = _pools(spark, sf)
-    coded = log.encode(log.encode(f, paths, "path", "path_id"), objects, "checksum", "object_id").select("pack", "path_id", "object_id")
-    lost = log.undecodable(coded, paths, "path_id").union(log.undecodable(coded, objects, "object_id").select("pack", "path_id", "object_id"))
-    return lost.agg(F.count(F.lit(1)).alias("undecodable"))
-
-
-@query()
-def trie_brace(spark, sf):
-    from ..operators.contrib import brace
-
-    @F.pandas_udf("string")
-    def braced(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: brace(list(n)))
-
-    per = _state(spark, sf, 0).groupBy(F.split("path", "/")[0].alias("source")).agg(F.collect_list("path").alias("paths"))
-    return per.select("source", braced("paths").alias("line"))
-
-
 @query("SELECT path, checksum, size, mode FROM files WHERE seq = 0")
 def scan_worktree(spark, sf):
     """A snapshot written out as files by the executors, and scanned again."""
@@ -878,7 +672,7 @@ def scan_worktree(spark, sf):
     from ..sinks.worktree import write_tree
     from ..sources.worktree import worktree
 
-    at = _folder(spark, "tree").removeprefix("file://")
+    at = local_folder(spark, "tree")
     write_tree(fixture.contents(spark, sf).filter("seq = 0").select("path", F.col("content").cast("binary").alias("content"), "mode"), at)
     return hashed(worktree(spark, at).withColumn("path", F.col("path").cast("string"))).select("path", "checksum", "size", "mode")
 
@@ -888,7 +682,7 @@ def streaming_ingest(spark, sf):
     """The log as it arrives: change files streamed into it, each batch once."""
     from ..streaming.ingest import append_changes, changes_stream
 
-    at = _folder(spark, "stream")
+    at = folder(spark, "stream")
     _log(spark, sf).write.parquet(f"{at}/in")
     append_changes(changes_stream(spark, f"{at}/in"), f"{at}/log", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/log").select("pack", "seq", "op", "path", "checksum", "mode", "size")
@@ -903,11 +697,11 @@ def join_archive_expand(spark, sf):
     return args.join(fixture.documents(spark, sf).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("objects"))
 
 
-def _tree(spark, sf, seq):
+def tree(spark, sf, seq):
     """A snapshot as files in a fresh directory; its path."""
     from ..sinks.worktree import write_tree
 
-    at = _folder(spark, "tree").removeprefix("file://")
+    at = local_folder(spark, "tree")
     write_tree(fixture.contents(spark, sf).filter(F.col("seq") == seq).select("path", F.col("content").cast("binary").alias("content"), "mode"), at)
     return at
 
@@ -916,32 +710,8 @@ def _tree(spark, sf, seq):
 def clean_file_list(spark, sf):
     from ..sources.worktree import clean_file_list as clean
 
-    at = _tree(spark, sf, 0)
+    at = tree(spark, sf, 0)
     names = _state(spark, sf, 0).select(F.concat(F.lit("./"), "path").alias("path"))
     return clean(names, at, f"{at}/src0")
 
 
-@query("SELECT CASE WHEN n = 0 THEN 'archive' ELSE 'link' END AS kind, CAST(CASE WHEN n = 0 THEN (SELECT count(DISTINCT source) FROM documents) ELSE (SELECT count(DISTINCT lang) FROM documents) END AS BIGINT) AS commands FROM range(2) r(n)")
-def scan_compdb(spark, sf):
-    at = _folder(spark, "compdb")
-    _commands(spark, sf).agg(F.to_json(F.collect_list(F.struct("command", "output"))).alias("value")).write.text(at)
-    db = spark.read.schema("command string, output string").option("multiLine", True).json(at)
-    return db.groupBy(F.when(F.startswith("command", F.lit(":")), "archive").otherwise("link").alias("kind")).agg(F.count(F.lit(1)).alias("commands"))
-
-
-@query("SELECT checksum || ' ' || size || ' ' || path AS line FROM files WHERE seq = 3")
-def extract_entries(spark, sf):
-    """A repository over a work tree: stored, packed, its loose parts collected, extracted into another tree, and that tree listed."""
-    from ..operators.store import hashed
-    from ..repo import Repo
-    from ..sources.worktree import worktree
-
-    at = _tree(spark, sf, 3)
-    repo = Repo(spark, at)
-    repo.store("one")
-    repo.pack("all", frames=3)
-    repo.gc(snapshots=True, objects=True)
-    other = Repo(spark, at + "-other", repo.data)
-    other.extract("all:one", reset=True)
-    tree = hashed(worktree(spark, at + "-other").withColumn("path", F.col("path").cast("string")))
-    return catalog.list_files(tree)

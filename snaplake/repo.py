@@ -3,10 +3,16 @@
 The data directory holds numbered commits; each is a small JSON file that names the tables in force, created
 by one writer only (a second writer of the same number fails). Tables are written before the commit that
 names them, so readers see a whole state or the one before.
+
+What deletes folders (gc, delete_*, remove_loose_all) needs the data directory for itself: others hold it shared while
+they run, and `reading` holds it for as long as a caller works with the DataFrames of a repository. Paths are any
+bytes; where a line or a view shows them they are text.
 """
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import hashlib
 import io
 import json
@@ -21,15 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import create_once, get
-from .functions.scalars import formatted, id_valid, is_loose, loose_path, snapshot_id
+from .functions.scalars import id_valid, is_loose, loose_path, snapshot_id
 from .model import (
+    CHANGES,
     COMPRESSION_LEVEL,
     FRAME_BYTES,
+    LOOSE,
     LOOSE_PREFIX,
+    NO_OBJECT,
+    TABLES,
     AmbiguousSnapshot,
     BadIdentifier,
     CorruptHead,
+    CorruptLog,
     DirtyWorkDir,
+    InUse,
     LakeError,
     ObjectNotFound,
     PackNotFound,
@@ -42,11 +54,12 @@ from .operators import catalog, diff, layout, log, store
 from .session import ship
 from .sinks.packs import join_frames, write_frames
 from .sinks.worktree import remove_paths, write_file, write_tree
-from .sources.packs import header, read_objects
+from .sources.packs import header, read_objects, read_times
 from .sources.remotes import INDEX_TIMEOUT, Transport, fetch_checked, http_get, read_index, url_open
-from .sources.worktree import clean_file_list, worktree
+from .sources.worktree import clean_file_list, listed_files, worktree
 
-TABLES = ("snapshots", "changes", "objects", "frames")
+#: Tables that an exported index holds.
+INDEX = ("snapshots", "changes", "objects", "prints")
 
 
 class Repo:
@@ -87,6 +100,24 @@ class Repo:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         return path
 
+    @contextlib.contextmanager
+    def _held(self, alone: bool):
+        """The data directory, shared or alone. Those who come too late are told, they do not wait."""
+        if self.read_only:
+            yield
+            return
+        os.makedirs(self.data, exist_ok=True)
+        with open(os.path.join(self.data, "lock"), "ab") as f:
+            try:
+                fcntl.flock(f, (fcntl.LOCK_EX if alone else fcntl.LOCK_SH) | fcntl.LOCK_NB)
+            except OSError as e:
+                raise InUse(self.data) from e
+            yield
+
+    def reading(self):
+        """A context in which nothing that is read here can be deleted."""
+        return self._held(False)
+
     # --- tables ----------------------------------------------------------------------------------
 
     def _pack(self, name: str, state: dict | None = None) -> dict:
@@ -99,10 +130,9 @@ class Repo:
         """A table of all packs, or of those named: only their folders are opened."""
         state = self.state()
         paths = [f"file://{self._pack(p, state)['dir']}/{table}" for p in (sorted(state["packs"]) if packs is None else packs)]
-        kinds = {"snapshots": "pack string, seq int, tag string", "changes": "pack string, seq int, op string, path string, checksum string, mode long, size long", "objects": "pack string, checksum string, offset long, size long", "frames": "pack string, frame int, frame_size long, decompressed_size long, path string, start long"}
         if not paths:
-            return self.spark.createDataFrame([], kinds[table])
-        return self.spark.read.schema(kinds[table]).parquet(*paths)
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
     def snapshots(self, packs: list[str] | None = None) -> DataFrame:
         return self._read("snapshots", packs)
@@ -112,21 +142,37 @@ class Repo:
 
     def loose_objects(self) -> DataFrame:
         paths = [f"file://{p}" for p in self.state()["loose_objects"]]
-        kind = "checksum string, size long, content binary"
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(LOOSE).parquet(*paths) if paths else self.spark.createDataFrame([], LOOSE)
 
     def files(self, packs: list[str] | None = None) -> DataFrame:
         """Every snapshot's files."""
         return log.materialise_all(self.changes(packs), self.snapshots(packs))
 
     def fingerprints(self, packs: list[str] | None = None) -> DataFrame:
-        return diff.snapshot_checksum(self.files(packs), ["pack", "seq", "tag"])
+        """As they were told when the snapshots were written; computed for packs that tell none."""
+        state = self.state()
+        names = sorted(state["packs"]) if packs is None else packs
+        told = [p for p in names if os.path.isdir(os.path.join(self._pack(p, state)["dir"], "prints"))]
+        rest = [p for p in names if p not in set(told)]
+        out = self._read("prints", told)
+        return out.unionByName(diff.snapshot_checksum(self.files(rest), ["pack", "seq", "tag"])) if rest else out
 
     def register(self) -> None:
-        """Temporary views snapshots, changes, files, objects, frames for SQL."""
-        for name, df in (("snapshots", self.snapshots()), ("changes", self.changes()), ("files", self.files()), ("objects", self._read("objects")), ("frames", self._read("frames"))):
+        """Temporary views snapshots, changes, files, objects, frames for SQL. Their paths are text."""
+        text = F.col("path").cast("string")
+        for name, df in (("snapshots", self.snapshots()), ("changes", self.changes().withColumn("path", text)), ("files", self.files().withColumn("path", text)), ("objects", self._read("objects")), ("frames", self._read("frames"))):
             df.createOrReplaceTempView(name)
 
+    def verify(self, packs: list[str] | None = None) -> None:
+        """An error if a log removes what is absent or adds what is present."""
+        self._verified(self.changes(packs))
+
+    @staticmethod
+    def _verified(changes: DataFrame) -> None:
+        bad = log.violations(changes).limit(1).collect()
+        if bad:
+            raise CorruptLog(f"{bad[0].pack} {bad[0].seq} {bad[0].op} {os.fsdecode(bytes(bad[0].path))}")
+
     # --- names -----------------------------------------------------------------------------------
 
     def find_snapshot(self, text: str) -> tuple[str, str]:
@@ -161,44 +207,66 @@ class Repo:
     # --- writing ---------------------------------------------------------------------------------
 
     def store(self, tag: str, names: DataFrame | None = None) -> str:
-        """Stores the work tree (or the names in a list) as loose/<tag>; an existing one is replaced."""
+        """Stores the work tree (or the names in a list) as loose/<tag>; an existing one is replaced.
+
+        Every file is read once: the rows that name objects and the objects themselves are made from what that one reading wrote.
+        """
         self._check_id(self.spark, tag)
-        state, pack = self.state(), LOOSE_PREFIX + tag
-        tree = worktree(self.spark, self.root, self.data).withColumn("path", F.col("path").cast("string"))
-        if names is not None:
-            tree = tree.join(clean_file_list(names, self.root, self.data), "path", "left_semi")
-        hashed = store.hashed(tree)
-        objects, folder = self._new("loose_objects"), self._new("packs")
-        fresh = hashed.filter("readable").select("checksum", "size", "content").join(self.loose_objects().select("checksum"), "checksum", "left_anti").dropDuplicates(["checksum"])
-        fresh.write.parquet(f"file://{objects}")
-        rows = hashed.select(F.lit(pack).alias("pack"), F.lit(0).alias("seq"), F.lit("A").alias("op"), "path", "checksum", "mode", "size")
-        self._write_pack(folder, pack, [(0, tag)], rows, None, None)
-        state["packs"][pack] = {"dir": folder, "time": time.time(), "bytes": 0}
-        state["loose_objects"].append(objects)
-        state["head"] = {"pack": pack, "tag": tag, "time": time.time()}
-        self._commit(state)
+        with self._held(False):
+            state, pack = self.state(), LOOSE_PREFIX + tag
+            tree = worktree(self.spark, self.root, self.data) if names is None else listed_files(clean_file_list(names, self.root, self.data), self.root)
+            objects, folder = self._new("loose_objects"), self._new("packs")
+            store.hashed(tree).write.parquet(f"file://{folder}/tree")
+            hashed = self.spark.read.parquet(f"file://{folder}/tree")
+            store.new_objects(hashed.filter("readable"), self.loose_objects()).write.parquet(f"file://{objects}")
+            rows = hashed.select(F.lit(pack).alias("pack"), F.lit(0).alias("seq"), F.lit("A").alias("op"), "path", "checksum", "mode", "size")
+            prints = diff.snapshot_checksum(rows.select("pack", "seq", F.lit(tag).alias("tag"), "path", "checksum", "mode"), ["pack", "seq", "tag"])
+            self._write_pack(folder, pack, [(0, tag)], rows, None, None, prints)
+            shutil.rmtree(os.path.join(folder, "tree"))
+            state["packs"][pack] = {"dir": folder, "time": time.time(), "bytes": 0}
+            state["loose_objects"].append(objects)
+            state["head"] = {"pack": pack, "tag": tag, "time": time.time()}
+            self._commit(state)
         return pack
 
-    def _write_pack(self, folder, pack, snapshots, changes, objects, frames) -> None:
-        snaps = self.spark.createDataFrame([(pack, s, t) for s, t in snapshots], "pack string, seq int, tag string")
-        changes.write.parquet(f"file://{folder}/changes")
+    def _write_pack(self, folder, pack, snapshots, changes, objects, frames, prints) -> None:
+        snaps = self.spark.createDataFrame([(pack, s, t) for s, t in snapshots], TABLES["snapshots"])
+        changes.select(*CHANGES.names).write.parquet(f"file://{folder}/changes")
         snaps.coalesce(1).write.parquet(f"file://{folder}/snapshots")
         if objects is None:
             rows = self.spark.read.parquet(f"file://{folder}/changes").groupBy("pack", "checksum").agg(F.max("size").alias("size"))
             objects = rows.select("pack", "checksum", F.lit(None).cast("long").alias("offset"), "size")
         objects.select("pack", "checksum", "offset", "size").write.parquet(f"file://{folder}/objects")
-        frames = frames if frames is not None else self.spark.createDataFrame([], "pack string, frame int, frame_size long, decompressed_size long, path string, start long")
-        frames.select("pack", "frame", "frame_size", "decompressed_size", "path", "start").coalesce(1).write.parquet(f"file://{folder}/frames")
+        frames = frames if frames is not None else self.spark.createDataFrame([], TABLES["frames"])
+        frames.select(*TABLES["frames"].names).coalesce(1).write.parquet(f"file://{folder}/frames")
+        prints.select(*TABLES["prints"].names).coalesce(1).write.parquet(f"file://{folder}/prints")
+
+    def is_pack(self, name: str) -> bool:
+        return name in self.state()["packs"]
+
+    def loose_packs(self) -> list[str]:
+        """The loose packs, oldest first."""
+        packs = self.state()["packs"]
+        return sorted((p for p in packs if p.startswith(LOOSE_PREFIX)), key=lambda p: (packs[p]["time"], p))
+
+    def chosen(self, packs: list[str] | None = None) -> list[str]:
+        """What would be packed: the loose packs named, or all of them, oldest first."""
+        found = self.loose_packs() if packs is None else packs
+        if not found:
+            raise LakeError("nothing to pack")
+        if any(not p.startswith(LOOSE_PREFIX) for p in found):
+            raise LakeError("only loose snapshots can be packed")
+        return found
 
     def pack(self, name: str, packs: list[str] | None = None, frames: int = 0, level: int = COMPRESSION_LEVEL) -> None:
         """Packs loose snapshots (all, oldest first, unless named) into one series of deltas and compressed frames."""
         self._check_id(self.spark, name)
+        with self._held(False):
+            self._pack_all(name, packs, frames, level)
+
+    def _pack_all(self, name: str, packs: list[str] | None, frames: int, level: int) -> None:
         state = self.state()
-        chosen = packs if packs is not None else [p for p, _ in sorted(((p, v["time"]) for p, v in state["packs"].items() if p.startswith(LOOSE_PREFIX)), key=lambda x: (x[1], x[0]))]
-        if not chosen:
-            raise LakeError("nothing to pack")
-        if any(not p.startswith(LOOSE_PREFIX) for p in chosen):
-            raise LakeError("only loose snapshots can be packed")
+        chosen = self.chosen(packs)
         order = self.spark.createDataFrame([(p, i) for i, p in enumerate(chosen)], "pack string, place int")
         snaps = store.union_packs(self.snapshots(chosen), order)
         twice = store.duplicate_tags(snaps).limit(1).collect()
@@ -216,13 +284,16 @@ class Repo:
         placed = layout.frames_by_boundaries(self.spark.read.parquet(f"file://{folder}/layout"), frames or max(1, -(-total // FRAME_BYTES)))
         placed.write.parquet(f"file://{folder}/placed")
         placed = self.spark.read.parquet(f"file://{folder}/placed")
-        unread = F.col("checksum") == "0" * 40
+        unread = F.col("checksum") == NO_OBJECT
         held = placed.filter(~unread).join(self.loose_objects().select("checksum", "content"), "checksum", "left")
         missing = held.filter("content is null").select("checksum").limit(1).collect()
         if missing:
             raise ObjectNotFound(missing[0].checksum)
         made = write_frames(held, f"file://{folder}/data", level, total).withColumn("pack", F.lit(name))
-        self._write_pack(folder, name, [(r.seq, r.tag) for r in numbered.collect()], changes, placed, made)
+        # contents are what they were: so are their fingerprints
+        prints = self.fingerprints(chosen).select("pack", F.col("seq").alias("old_seq"), "fingerprint").join(snaps, ["pack", "old_seq"])
+        prints = prints.select(F.lit(name).alias("pack"), "seq", "tag", "fingerprint")
+        self._write_pack(folder, name, [(r.seq, r.tag) for r in numbered.collect()], changes, placed, made, prints)
         for t in ("deltas", "layout", "placed"):
             shutil.rmtree(os.path.join(folder, t))
         size = self.spark.read.parquet(f"file://{folder}/frames").agg(F.coalesce(F.sum("frame_size"), F.lit(0))).first()[0]
@@ -255,6 +326,10 @@ class Repo:
                 raise
             self.update()
             pack, tag = self.find_snapshot(text)
+        with self._held(False):
+            return self._extract(pack, tag, reset, force, verify)
+
+    def _extract(self, pack: str, tag: str, reset: bool, force: bool, verify: bool) -> dict[str, int]:
         state, head = self.state(), self.state()["head"]
         if head and (head["pack"], head["tag"]) == (pack, tag) and not reset:
             return {"A": 0, "D": 0, "M": 0}
@@ -269,16 +344,15 @@ class Repo:
         plan = diff.extract_plan(old, new)
         counts = {"A": 0, "D": 0, "M": 0} | {r.kind: r.files for r in diff.extract_counts(plan).collect()}
         if not force and not reset:
-            tree = worktree(self.spark, self.root, self.data).select(F.col("path").cast("string").alias("path"), "last_modified")
+            tree = worktree(self.spark, self.root, self.data, content=False).select("path", "last_modified")
             bad = diff.dirty(old, plan, tree, F.lit(datetime.fromtimestamp(head["time"], UTC)) if head else F.lit(None).cast("timestamp")).limit(1).collect()
             if bad:
-                raise DirtyWorkDir(f"{bad[0].path}: {bad[0].reason}")
+                raise DirtyWorkDir(f"{os.fsdecode(bytes(bad[0].path))}: {bad[0].reason}")
         gone = plan.filter("kind = 'D'").select("path")
-        dirs = diff.empty_dirs(gone, new.select("path")).select("dir")
-        remove_paths(self.root, [r.path for r in gone.toLocalIterator()], [r.dir for r in dirs.toLocalIterator()])
+        remove_paths(gone, diff.empty_dirs(gone, new.select("path")), self.root)
         entries = changes.filter("change = 'added'").select("path", "checksum", "mode")
-        empty = entries.filter(F.col("checksum") == "0" * 40).select("path", F.lit(None).cast("binary").alias("content"), "mode")
-        real = entries.filter(F.col("checksum") != "0" * 40)
+        empty = entries.filter(F.col("checksum") == NO_OBJECT).select("path", F.lit(None).cast("binary").alias("content"), "mode")
+        real = entries.filter(F.col("checksum") != NO_OBJECT)
         full = real.join(self.contents(pack, real, verify), "checksum", "left")
         lost = F.raise_error(F.concat(F.lit("object not found: "), F.col("checksum"))).cast("binary")
         full = full.select("path", F.coalesce("content", lost).alias("content"), "mode")
@@ -290,11 +364,7 @@ class Repo:
     # --- reading ---------------------------------------------------------------------------------
 
     def list(self, packs: list[str] | None = None, template: str = "%s") -> DataFrame:
-        if "%h" in template or "%b" in template:
-            return catalog.list_snapshots(self.files(packs), template).orderBy("line")
-        per = log.running_file_count(self.changes(packs), self.snapshots(packs))  # no decoding where sizes are not asked for
-        fields = [("%s", F.concat_ws(":", "pack", "tag")), ("%t", F.col("tag")), ("%n", F.col("files"))]
-        return per.select(formatted(template, fields).alias("line")).orderBy("line")
+        return catalog.snapshot_lines(log.running_totals(self.changes(packs), self.snapshots(packs)), template).orderBy("line")
 
     def list_packs(self, template: str = "%p") -> DataFrame:
         sizes = [(p, v["bytes"]) for p, v in self.state()["packs"].items()]
@@ -306,23 +376,38 @@ class Repo:
     def find(self, term: str = "") -> DataFrame:
         return catalog.find_snapshots(self.snapshots(), term).orderBy("pack", "seq").select("tag", "pack")
 
-    def show(self, text: str, paths: list[str]) -> bytes:
-        """The files' bytes, one after another in the order given."""
+    def show_rows(self, text: str, args: DataFrame) -> DataFrame:
+        """args: place, path. place, path, checksum and content of each, as a table; a path that the snapshot lacks is an error."""
         pack, _ = self.find_snapshot(text)
-        args = self.spark.createDataFrame(list(enumerate(paths)), "place int, path string")
+        args = args.select("place", F.col("path").cast("binary").alias("path"))
         met = args.join(self.snapshot_files(text).select("path", "checksum"), "path", "left")
-        missing = met.filter("checksum is null").select("path").collect()
+        missing = met.filter("checksum is null").select("path").limit(1).collect()
         if missing:
-            raise PathNotFound(missing[0].path)
-        rows = met.join(self.contents(pack, met), "checksum", "left").orderBy("place").select("content").collect()  # what the caller asked to hold
+            raise PathNotFound(os.fsdecode(bytes(missing[0].path)))
+        return met.join(self.contents(pack, met), "checksum", "left").select("place", "path", "checksum", "content")
+
+    def show(self, text: str, paths: list[str]) -> bytes:
+        """The files' bytes, one after another in the order given."""
+        args = self.spark.createDataFrame([(i, os.fsencode(p)) for i, p in enumerate(paths)], "place int, path binary")
+        rows = self.show_rows(text, args).orderBy("place").select("content").collect()  # what the caller asked to hold
         return b"".join(bytes(r.content or b"") for r in rows)
 
+    def read_times(self, pack: str, wanted: DataFrame) -> DataFrame:
+        """Where the time goes when wanted checksums are read from a pack: phase, seconds, share."""
+        self._fetch(pack)
+        frames = self._read("frames", [pack])
+        return read_times(layout.assign_frames(self._read("objects", [pack]).join(wanted.select("checksum").distinct(), "checksum", "left_semi"), frames), frames)
+
     # --- garbage ---------------------------------------------------------------------------------
 
     def gc(self, snapshots: bool = False, objects: bool = False, dry_run: bool = False, parity: bool = False) -> dict:
         """Removes redundant loose snapshots (of the same tag, unless parity), then loose objects no remaining loose snapshot names."""
         if not snapshots and not objects:
             raise LakeError("say what to collect")
+        with self._held(not dry_run):
+            return self._gc(snapshots, objects, dry_run, parity)
+
+    def _gc(self, snapshots: bool, objects: bool, dry_run: bool, parity: bool) -> dict:
         state = self.state()
         gone: list[tuple[str, str]] = []
         if snapshots:
@@ -348,14 +433,57 @@ class Repo:
                 same = self.snapshots([p for p in state["packs"]]).filter((F.col("tag") == head["tag"]) & ~is_loose(F.col("pack"))).limit(1).collect() if state["packs"] else []
                 if same:
                     state["head"] = {**head, "pack": same[0].pack}
-            before = self.state()
-            self._commit(state)
-            keep = set(state["loose_objects"]) | {v["dir"] for v in state["packs"].values()}
-            for path in [*before["loose_objects"], *[v["dir"] for v in before["packs"].values()]]:
-                if path not in keep:
-                    shutil.rmtree(path, ignore_errors=True)
+            self._replace(state)
         return out
 
+    def _replace(self, state: dict) -> None:
+        """Commits the state, then deletes the folders that it no longer names."""
+        before = self.state()
+        self._commit(state)
+        keep = set(state["loose_objects"]) | {v["dir"] for v in state["packs"].values()}
+        for path in [*before["loose_objects"], *[v["dir"] for v in before["packs"].values()]]:
+            if path not in keep:
+                shutil.rmtree(path, ignore_errors=True)
+
+    def delete_pack(self, pack: str) -> None:
+        """Removes a pack, loose or not. HEAD, if it is in it, is unset. Loose objects stay (see gc)."""
+        with self._held(True):
+            state = self.state()
+            self._pack(pack, state)
+            del state["packs"][pack]
+            if state["head"] and state["head"]["pack"] == pack:
+                state["head"] = None
+            self._replace(state)
+
+    def delete_objects(self, checksums: DataFrame) -> int:
+        """Removes loose objects (checksum), whoever names them; how many there were."""
+        with self._held(True):
+            state, have = self.state(), self.loose_objects()
+            gone = have.join(checksums.select("checksum").distinct(), "checksum", "left_semi").count()
+            if gone:
+                kept = self._new("loose_objects")
+                have.join(checksums.select("checksum").distinct(), "checksum", "left_anti").write.parquet(f"file://{kept}")
+                self._replace({**state, "loose_objects": [kept]})
+        return gone
+
+    def remove_loose_all(self) -> None:
+        """Removes all loose snapshots and objects. HEAD, if it is one of them, is unset."""
+        with self._held(True):
+            state = self.state()
+            head = state["head"]
+            packs = {p: v for p, v in state["packs"].items() if not p.startswith(LOOSE_PREFIX)}
+            self._replace({**state, "packs": packs, "loose_objects": [], "head": head if head and head["pack"] in packs else None})
+
+    def head(self) -> str | None:
+        """pack:tag of what was stored or extracted last."""
+        head = self.state()["head"]
+        return f"{head['pack']}:{head['tag']}" if head else None
+
+    def update_head(self, text: str) -> None:
+        """Says that the work tree is this snapshot, as of now."""
+        pack, tag = self.find_snapshot(text)
+        self._commit({**self.state(), "head": {"pack": pack, "tag": tag, "time": time.time()}})
+
     def explode(self, pack: str, to: str) -> int:
         """Every object of a pack as a file ab/cd/rest below to."""
         objects = self.contents(pack, self._read("objects", [pack]))
@@ -370,7 +498,7 @@ class Repo:
         join_frames([(r.path, r.frame_size, r.decompressed_size) for r in frames], stem + ".pack")
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w") as z:
-            for t in TABLES[:3]:
+            for t in INDEX:
                 for n in sorted(os.listdir(os.path.join(info["dir"], t))):
                     if n.endswith(".parquet"):
                         z.writestr(zipfile.ZipInfo(f"{t}/{n}"), get(os.path.join(info["dir"], t, n)))
@@ -417,6 +545,7 @@ class Repo:
                     raise LakeError(f"{pack}: bad index")
             z.extractall(folder)
             frames = json.loads(z.read("frames.json"))
+        self._verified(self.spark.read.schema(CHANGES).parquet(f"file://{folder}/changes"))
         return {"dir": folder, "time": time.time(), "bytes": sum(f[1] for f in frames), "frames": frames}
 
     def _fetch(self, pack: str) -> None:
@@ -428,7 +557,7 @@ class Repo:
         to = os.path.join(info["dir"], pack + ".pack")
         write_file(os.fsencode(to), fetch_checked(info["url"], info["sha1"], self.transport), 0o644)
         rows = [(pack, i, size, data, f"file://{to}", start) for i, (start, size, data) in enumerate(header(to))]
-        frames = self.spark.createDataFrame(rows, "pack string, frame int, frame_size long, decompressed_size long, path string, start long")
+        frames = self.spark.createDataFrame(rows, TABLES["frames"])
         frames.coalesce(1).write.parquet(f"file://{info['dir']}/frames")
 
     @classmethod

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_file(path: bytes, data: bytes, mode: int) -> None:
@@ -34,30 +36,40 @@ def write_file(path: bytes, data: bytes, mode: int) -> None:
 
 
 def write_tree(entries: DataFrame, to: str) -> int:
-    """entries: path, content, mode. Returns the number of files written."""
+    """entries: path (any bytes), content, mode. Returns the number of files written."""
     top = os.fsencode(os.path.abspath(to))
 
     def write(batches):
         n = 0
         for b in batches:
             for path, content, mode in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
-                name = path.as_py()
-                write_file(os.path.join(top, name.encode() if isinstance(name, str) else name), content.as_py() or b"", mode)
+                write_file(os.path.join(top, path.as_py()), content.as_py() or b"", mode)
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return sum(r.n for r in entries.select("path", "content", "mode").mapInArrow(write, "n long").collect())
-
-
-def remove_paths(top: str, paths: list[str], dirs: list[str]) -> None:
-    """Deletes files, then the directories they leave empty, deepest first."""
-    for p in paths:
-        try:
-            os.unlink(os.path.join(top, p))
-        except (FileNotFoundError, NotADirectoryError):
-            pass
-    for d in sorted(dirs, key=lambda d: -d.count("/")):
-        try:
-            os.rmdir(os.path.join(top, d))
-        except OSError:
-            pass
+    return sum(r.n for r in entries.select(F.col("path").cast("binary").alias("path"), "content", "mode").mapInArrow(write, "n long").collect())
+
+
+def remove_paths(paths: DataFrame, dirs: DataFrame, to: str) -> None:
+    """Deletes files (path), then the directories (dir, depth) they leave empty, deepest first, by the executors: a task takes all directories below one at the top."""
+    top = os.fsencode(os.path.abspath(to))
+
+    def drop(remove):
+        def run(batches):
+            for b in batches:
+                for p in b.column(0).to_pylist():
+                    try:
+                        remove(os.path.join(top, p))
+                    except OSError as e:
+                        if e.errno not in (errno.ENOENT, errno.ENOTDIR, errno.EISDIR, errno.ENOTEMPTY, errno.EEXIST):
+                            raise
+            yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64())})
+
+        return run
+
+    n = max(1, paths.sparkSession.sparkContext.defaultParallelism)
+    files = paths.select(F.col("path").cast("binary").alias("path")).repartition(n, "path")
+    files.mapInArrow(drop(os.unlink), "n long").count()
+    first = F.substring_index(F.col("dir").cast("string"), "/", 1)
+    deep = dirs.select(F.col("dir").cast("binary").alias("dir"), "depth", first.alias("first")).repartition(n, "first").sortWithinPartitions(F.col("depth").desc())
+    deep.select("dir").mapInArrow(drop(os.rmdir), "n long").count()

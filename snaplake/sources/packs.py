@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -138,6 +139,50 @@ def read_objects(index: DataFrame, frames: DataFrame, verify: bool = True) -> Da
     return spread.mapInArrow(read, "checksum string, size long, content binary")
 
 
+PHASES = ("open", "skip", "read", "check")
+
+
+def read_times(index: DataFrame, frames: DataFrame) -> DataFrame:
+    """phase, seconds and share of the whole: where the time goes when the objects in index are read, as read_objects reads them."""
+    want = index.select("frame", "local_offset", "size", "checksum").distinct()
+    want = want.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("local_offset", "size", "checksum"))).alias("objects"))
+    met = want.join(frames.select("frame", "path", "start"), "frame").select("path", "start", "objects")
+
+    def read(batches):
+        took = dict.fromkeys(PHASES, 0.0)
+        for batch in batches:
+            for path, start, objects in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                clock = time.perf_counter()
+
+                def told(phase):
+                    nonlocal clock
+                    now = time.perf_counter()
+                    took[phase] += now - clock
+                    clock = now
+
+                where, name = file_system(path)
+                with where.open_input_file(name) as f, _decompressor().stream_reader(f) as r:
+                    f.seek(start)
+                    told("open")
+                    at = 0
+                    for o in objects:
+                        offset, size, checksum = (o[k].as_py() for k in ("local_offset", "size", "checksum"))
+                        while at < offset:
+                            at += len(_some(r, min(CHUNK, offset - at), path))
+                        told("skip")
+                        data = _exactly(r, size, path)
+                        at += size
+                        told("read")
+                        if hashlib.sha1(data).hexdigest() != checksum:
+                            raise CorruptPack(f"{path}: object {checksum} is damaged")
+                        told("check")
+        yield pa.RecordBatch.from_pydict({"phase": list(took), "seconds": list(took.values())})
+
+    spread = met.repartition(max(1, index.sparkSession.sparkContext.defaultParallelism), "path", "start")
+    per = spread.mapInArrow(read, "phase string, seconds double").groupBy("phase").agg(F.sum("seconds").alias("seconds"))
+    return per.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy()))  # one row a phase
+
+
 def _some(r, n: int, path: str) -> bytes:
     data = r.read(n)
     if not data:

@@ -41,13 +41,13 @@ def parse_remotes(lines: DataFrame) -> DataFrame:
     at = lambda i: F.get("f", F.lit(i))
     first = F.col("kind") != "pack"
     error = (
-        F.when(first & ((F.col("n") < 1) | (at(0) != F.col("kind"))), F.concat(F.lit("expected "), F.col("kind")))
-        .when(first & (F.col("n") < 2), F.concat(F.lit("no value after "), F.col("kind")))
-        .when(first & (F.col("n") > 2), F.lit("too many values"))
-        .when(~first & (F.col("n") < 3), F.lit("expected two checksums and a URL"))
-        .when(~first & (F.col("n") > 3), F.lit("too many values"))
-        .when(~first & ~at(0).rlike(HEX), F.lit("bad index checksum"))
-        .when(~first & ~at(1).rlike(HEX), F.lit("bad pack checksum"))
+        F.when(first & ((F.col("n") < 1) | (at(0) != F.col("kind"))), F.concat(F.lit("the line must begin with "), F.col("kind")))
+        .when(first & (F.col("n") < 2), F.concat(F.lit("nothing follows "), F.col("kind")))
+        .when(first & (F.col("n") > 2), F.lit("the line goes on after its last field"))
+        .when(~first & (F.col("n") < 3), F.lit("a pack line is index checksum, pack checksum, URL"))
+        .when(~first & (F.col("n") > 3), F.lit("the line goes on after its last field"))
+        .when(~first & ~at(0).rlike(HEX), F.lit("the first field is no checksum"))
+        .when(~first & ~at(1).rlike(HEX), F.lit("the second field is no checksum"))
     )
     value = F.when(first, at(1)).otherwise(at(2))
     return rows.select("remote", "number", "kind", value.alias("value"), F.when(~first, F.lower(at(0))).alias("index_checksum"), F.when(~first, F.lower(at(1))).alias("pack_checksum"), error.alias("error"))
@@ -110,7 +110,7 @@ def read_index(text: str, source: str = "") -> tuple[str, str, list[tuple[str, s
     for number, key in enumerate(("meta", "url")):
         f = lines[number].split() if number < len(lines) else []
         if len(f) != 2 or f[0] != key:
-            raise BadRemoteIndex(f"{source} line {number + 1}: expected '{key} ...'")
+            raise BadRemoteIndex(f"{source} line {number + 1}: must be {key} and one value")
         head.append(f[1])
     if not urlsplit(head[1]).scheme:
         raise BadRemoteIndex(f"{source} line 2: not a URL: {head[1]}")
@@ -120,6 +120,6 @@ def read_index(text: str, source: str = "") -> tuple[str, str, list[tuple[str, s
         if not f:
             continue
         if len(f) != 3 or any(len(x) != 40 or not all(c in "0123456789abcdefABCDEF" for c in x) for x in f[:2]):
-            raise BadRemoteIndex(f"{source} line {number}: expected two checksums and a URL")
+            raise BadRemoteIndex(f"{source} line {number}: a pack line is index checksum, pack checksum, URL")
         packs.append((f[0].lower(), f[1].lower(), urljoin(head[1], f[2])))
     return head[0], head[1], packs

@@ -1,9 +1,12 @@
+import datetime
 import hashlib
 import random
 from bisect import bisect_right
 from itertools import accumulate, pairwise
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from snaplake.operators import catalog, contrib, diff, layout, log
@@ -96,7 +99,7 @@ def greedy(sizes, n):
     return [b - a for a, b in pairwise(cuts) if b > a]
 
 
-CASES = [(list(range(1, 10)), 2), ([1, 2, 999], 4), ([1, 1, 1], 4), ([], 3), ([5], 1), ([999, 1, 2], 4), ([0, 0, 3, 0], 2)] + [([random.Random(i).randint(0, 30) for _ in range(i)], i % 5 + 1) for i in range(1, 14)]
+CASES = [([4, 4, 5, 6, 7, 11, 12], 3), ([3, 8, 500], 5), ([7, 7], 6), ([], 3), ([5], 1), ([640, 3, 9, 4], 3), ([0, 0, 3, 0], 2)] + [([random.Random(i).randint(0, 30) for _ in range(i)], i % 5 + 1) for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("sizes,n", CASES)
@@ -171,13 +174,88 @@ def test_compilation_database(spark):
     assert [r.object for r in contrib.dump_objects(parsed).collect()] == ["main.o", "x.o", "y.o"]
 
 
-@pytest.mark.parametrize("names,want", [(["fooa", "foob", "bar"], "{bar,foo{a,b}}"), (["x"], "x"), ([], ""), (["ab", "abc"], "ab{,c}")])
+@pytest.mark.parametrize("names,want", [(["x.o", "lib2.a", "lib1.a"], "{lib{1.a,2.a},x.o}"), (["x"], "x"), ([], ""), (["ab", "abc"], "ab{,c}")])
 def test_brace(names, want):
     assert contrib.brace(names) == want
 
 
+@given(st.lists(st.text("ab/_ '", min_size=1, max_size=6), min_size=1, max_size=12))
+def test_braces_expand_to_the_names(names):
+    assert contrib.expand_braces(contrib.brace(names)) == sorted(set(names))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_prefix_sums_over_grains(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"g{rng.randint(0, 2)}", rng.choice([0, 1, 255, 256, 257, rng.randint(0, 1 << rng.randint(1, 50))]), f"{rng.randint(0, 40):04x}{i:03x}") for i in range(200)]
+    got = layout.object_layout(spark.createDataFrame(rows, "pack string, size long, checksum string")).collect()
+    for g in {r[0] for r in rows}:
+        at = 0
+        for r in sorted((r for r in got if r.pack == g), key=lambda r: (r.size, r.checksum)):
+            assert r.offset == at
+            at += r.size
+
+
+def test_size_grain_rises(spark):
+    sizes = sorted({0, 1, 2, *(x + d for k in range(1, 62) for x in (1 << k, 3 << k - 1) for d in (-1, 0, 1))})
+    got = [r.g for r in spark.createDataFrame([(n,) for n in sizes], "size long").orderBy("size").select(layout.size_grain(F.col("size")).alias("g")).collect()]
+    assert got == sorted(got) and len(set(got)) > 150
+
+
+def test_many_frames_and_jobs(spark):
+    """As many frames as objects, and more; a boundary look-up is no job of its own."""
+    rows = [("p", f"{i:05x}", 1 + i // 10) for i in range(2000)] + [("q", f"{i:05x}", 5) for i in range(10)]
+    placed = layout.object_layout(spark.createDataFrame(rows, "pack string, checksum string, size long")).cache()
+    for n in (1, 7, 400, 5000):
+        for pack in ("p", "q"):
+            got = [r.frame for r in layout.frames_by_boundaries(placed, n).filter(F.col("pack") == pack).orderBy("offset", "size", "checksum").collect()]
+            assert got == [k for k, count in enumerate(greedy([r[2] for r in rows if r[0] == pack], n)) for _ in range(count)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_frame_asof_against_bisection(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([0, 0, 1, rng.randint(1, 50), 5000]) for _ in range(rng.randint(1, 40))]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    frames = spark.createDataFrame([("p", i, 1, n) for i, n in enumerate(sizes)], "pack string, frame int, frame_size long, decompressed_size long")
+    asked = sorted({0, *starts, sum(sizes), *(rng.randint(0, sum(sizes) + 10) for _ in range(30))})
+    got = {r.offset: (r.frame, r.local_offset) for r in layout.assign_frames(spark.createDataFrame([("p", o) for o in asked], "pack string, offset long"), frames).collect()}
+    assert got == {o: ((k := bisect_right(starts, o) - 1), o - starts[k]) for o in asked}
+
+
+def test_corrupt_logs_are_errors(spark):
+    kind = "pack string, seq int, op string, path string, checksum string, mode long, size long"
+    row = lambda seq, op: ("p", seq, op, "a", "c", 1, 5)
+    for rows in ([row(0, "A"), row(1, "A")], [row(0, "R")], [row(0, "A"), row(1, "R"), row(2, "R")]):
+        changes = spark.createDataFrame(rows, kind)
+        assert log.violations(changes).count() == 1
+        for read in (lambda c=changes: log.resolve(c, 5), lambda c=changes: log.intervals(c)):
+            with pytest.raises(Exception, match="corrupt log"):
+                read().collect()
+    good = spark.createDataFrame([row(0, "A"), row(1, "R"), row(3, "A")], kind)
+    assert log.resolve(good, 2).count() == 0 and log.resolve(good, 3).count() == 1 and log.intervals(good).count() == 2
+
+
+def test_long_and_repeated_values_are_interned(spark):
+    rng = random.Random(2)
+    seen = [("x/" * rng.randint(0, 50) + rng.choice("abc"), i) for i in range(300)]
+    got = {r.path: r.handle for r in log.intern(spark.createDataFrame([("p", *s) for s in seen], "pack string, path string, seq int"), "path", ["seq"]).collect()}
+    first = list(dict.fromkeys(s for s, _ in seen))
+    assert got == {s: i for i, s in enumerate(first)}
+
+
+def test_mainline_between_days(spark):
+    rows = [(f"s{i}", datetime.datetime(2024, 1, 1 + i // 4, i % 4), i, i % 5 != 2) for i in range(24)] + [("late", datetime.datetime(2023, 12, 1), 24, True)]
+    commits = spark.createDataFrame(rows, "sha string, ts timestamp, place long, mainline boolean")
+    got = [r.sha for r in contrib.commits_between(commits, "2024-01-03", "2024-01-05").orderBy("place").collect()]
+    assert got == ["s9", "s10", "s11", "s13", "s14", "s15", "late"]  # a clock that goes back keeps its place
+    assert contrib.commits_between(commits, "2025-01-03", "2025-01-05").count() == 0
+    lines = {r.sha: r.line for r in contrib.commit_list(commits, commits, "2024-01-03", "2024-01-05").collect()}
+    assert lines["s9"] == "20240103-00001T010000-s9" and lines["late"] == "20231201-00007T000000-late"
+
+
 def test_split_and_sample(spark):
     lines = spark.createDataFrame([(f"line{i:03d}" + "x" * (i % 7),) for i in range(40)], "path string")
     parts = contrib.split_by_bytes(lines, "path", 4)
     assert {r.part for r in parts.collect()} == {0, 1, 2, 3} and parts.count() == 40
-    assert [r.path[:7] for r in contrib.every_nth(lines, ["path"], 10).orderBy("path").collect()] == ["line009", "line019", "line029", "line039"]
+    assert [r.path[:7] for r in contrib.every_nth(lines, "path", 10).orderBy("path").collect()] == ["line009", "line019", "line029", "line039"]
