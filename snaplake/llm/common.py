@@ -43,11 +43,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def _clean() -> None:
+    """Deletes what is left at the end: through Spark while the session lives, else through the file system alone."""
+    from ..files import delete
+
     for spark, path in _written:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+        except Exception:  # noqa: BLE001  the session is gone
+            try:
+                delete(path)
+            except Exception:  # noqa: BLE001  a store that only Spark reaches
+                continue
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -92,8 +98,13 @@ def tidied(run):
     return tidy
 
 
-def slots(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, 1)
+#: Rows of a table of a few numbers that may be broadcast: a few MB at most.
+FEW = 100_000
+
+
+def small_or_merged(table: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table of a few numbers a row, to be joined: broadcast if its rows are few by count, else merged. The join gives the same rows."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
 
 
 def shuffles(spark: SparkSession) -> int:
@@ -125,3 +136,17 @@ def with_running(df: DataFrame, group: list[str], bucket: Column, order: list[Co
     for k, c in sums.items():
         df = df.withColumn(k, F.col(f"__base_{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
     return df.drop("__bucket", *[f"__base_{k}" for k in sums])
+
+
+def running_over_parts(df: DataFrame, part: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Exclusive running sums over all rows in the order of (part, *order): windows within each part, and one over a row a part.
+
+    sums: new column by summed column. df is read twice; parts are what tasks have written, so a part's rows are one task's.
+    """
+    per = df.groupBy(part).agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col(part).alias("__part"), *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(per, df[part] == per["__part"])
+    out = out.withColumns({k: F.col(f"__{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()})
+    return out.drop("__part", *[f"__{k}" for k in sums])
