@@ -10,7 +10,8 @@ spanning set of its verified pairs, not all of them.
 `near_copies` does the same with sets of shingles: texts meet in bands of min-hashes, and all pairs of a tile are
 verified by their similarity. No distance of fingerprints stands for a similarity of shingles where a block of words is added.
 
-Defined results: a null text has no words; a text without words has fingerprint 0 and links like any other;
+Defined results: a null text has no words; a very long text is hashed shingle by shingle, whole; a bit set in exactly half of
+the hashes is 0; a text without words has fingerprint 0 and links like any other;
 a null doc_id takes part, as the component's least id only if all its ids are null; repeated rows share
 their fingerprint and component; an empty table gives no rows; other columns are never read, or kept by
 `keep_one`.
@@ -24,10 +25,10 @@ from math import comb, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import discard, shuffles, tidied, written
+from .common import discard, small_or_merged, tidied, written
 from .components import components
 from .tokens import slices
 from .words import Words, mixed, shingles
@@ -111,22 +112,37 @@ def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def _tiled(met: DataFrame, bucket: list[str], item: str, tile: int) -> GroupedData:
+    """Rows of buckets grouped so that the items of a bucket of up to `tile` rows meet in one group, and any two of a larger one in some group of about two tiles.
+
+    Only counts of the buckets (partial sums) tell which are large; their rows are parted before they are brought together.
+    """
+    large = written(met.groupBy(*bucket).count().filter(F.col("count") > tile).select(*[F.col(c).alias(f"__{c}") for c in bucket], F.ceil(F.col("count") / tile).cast("int").alias("__tiles")), "large-buckets")
+    if large.take(1):
+        few = small_or_merged(large)
+        on = [met[c] == few[f"__{c}"] for c in bucket]
+        met = met.join(few, on, "left").select(*met.columns, F.coalesce("__tiles", F.lit(1)).alias("__tiles"))
+        met = met.withColumn("__mine", F.pmod(F.xxhash64(item), F.col("__tiles")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+        met = met.select(*bucket, item, F.least("__mine", "__other").alias("__lo"), F.greatest("__mine", "__other").alias("__hi"))
+    else:
+        met = met.select(*bucket, item, F.lit(0).alias("__lo"), F.lit(0).alias("__hi"))
+    return met.groupBy(*bucket, "__lo", "__hi")
+
+
 def links(distinct_fps: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
     """distinct_fps: fp. Links a, b between fingerprints within distance, enough to connect all that are linked."""
     spark = distinct_fps.sparkSession
     tables = masks(distance, distinct_fps.count())
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(tables)])).alias("k")
     met = distinct_fps.select("fp", keys).select("fp", "k.t", "k.key")
-    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).filter("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), tiles).cast("int")
-    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    met = met.groupBy("t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list("fp").alias("fps")).select("fps")
+    met = _tiled(met, ["t", "key"], "fp", tile).agg(F.collect_list("fp").alias("fps")).select("fps")
 
     def verify(batches):
         for b in batches:
             a, z = [], []
             for row in b.column(0):
+                if len(row.values) < 2:
+                    continue
                 fps = np.sort(row.values.to_numpy(zero_copy_only=False))
                 for i, j in spanning(fps.view(np.uint64), distance):
                     a.append(int(fps[i]))
@@ -216,10 +232,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
     rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, bands array<long>"), "near-prints")
     nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
     met = nodes.select("key", F.explode("bands").alias("band"))
-    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    met = met.withColumn("mine", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    met = met.groupBy("band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    met = _tiled(met, ["band"], "key", tile).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     # the same texts meet in many bands: once is enough
     met = met.select("keys").filter(F.size("keys") > 1).distinct()
     met = written(met.select(F.xxhash64("keys").alias("g"), F.explode("keys").alias("key")), "near-tiles")
