@@ -7,7 +7,7 @@ the mixture of the whole. Cuts are by row count, at most one apart (law `rows`).
 
 Defined results: a null text has no bytes, so size 1 and crc32 0; a null source is a source of its own;
 rows with a null doc_id are sharded like any other; equal rows are interchangeable and each gets its own
-slot; an empty table gives an empty table; other columns are never read. Groups of equal texts are not
+slot; a very long text counts as one row; an empty table gives an empty table; other columns are never read. Groups of equal texts are not
 kept together: the law is about rows.
 """
 

@@ -3,10 +3,12 @@
 Files are cut into blocks of ids. Each block is searched for the end-of-document id with one vectorised
 comparison. A block knows its length and the places of its first and last separators; a prefix scan over
 one small row a block gives the ids and documents before it and the last separator before it, which
-stitches documents that cross blocks and files.
+stitches documents that cross blocks and files. The scan has two levels, blocks within a part and parts, so one
+task sees a row a part (a part is what one writing task wrote) and no more.
 
 Defined results: ids after the last separator are one more document, not closed; empty files and blocks
-add nothing; two separators side by side enclose a document of no ids. For a table of documents, a null
+add nothing; two separators side by side enclose a document of no ids; a document may fill many blocks and
+files; blocks of equal place and offset do not occur, as a file has one place. For a table of documents, a null
 text is a document of no ids, repeated rows are documents of their own, a null doc_id stays null, an
 empty table gives no rows, other columns are never read.
 """
@@ -20,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..files import get, put
-from .common import new_path, shuffles, tidied, written
+from .common import new_path, running_over_parts, shuffles, tidied, written
 from .tokens import encoder, slices
 
 
 def scan(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) -> DataFrame:
-    """files: path, place (orders them), ids. Per document: ordinal, start, n_tokens (without the separator), closed."""
+    """files: path, place (orders them; its upper 32 bits name a part), ids. Per document: ordinal, start, n_tokens (without the separator), closed."""
     dtype = np.dtype(f"<u{width}")
     steps = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("ids") - 1, F.lit(0)), F.lit(block).cast("long"))
     blocks = files.filter("ids > 0").select("path", "place", "ids", F.explode(steps).alias("at"))
@@ -41,12 +43,17 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block: int = 1 << 20) ->
     made = blocks.repartition(shuffles(files.sparkSession), "path", "at").mapInArrow(tidied(find), "place long, at long, n long, found long, last long, ends binary")
     made = written(made, "token-blocks")
 
-    order = Window.orderBy("place", "at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    small = made.select("place", "at", "n", "found", "last").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    small = small.withColumn("docs", F.coalesce(F.sum("found").over(before), F.lit(0)))
-    small = small.withColumn("open", F.coalesce(F.max(F.col("base") + F.col("last")).over(before) + 1, F.lit(0)))
-    small = small.withColumn("final", F.lead("n").over(order).isNull()).select("place", "at", "base", "docs", "open", "final")
+    small = made.select("place", "at", "n", "found", "last", F.shiftright("place", 32).alias("part"))
+    small = running_over_parts(small, "part", ["place", "at"], {"base": "n", "docs": "found"})
+    small = small.withColumn("after", F.col("base") + F.col("last") + 1)
+    # the last separator before a block: in its part, or in the parts before
+    per = small.groupBy(F.col("part").alias("__part")).agg(F.max("after").alias("__open"), F.max(F.struct("place", "at")).alias("__end"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__part", "__end", F.coalesce(F.max("__open").over(before), F.lit(0)).alias("__open"), F.lead("__part").over(Window.orderBy("__part")).isNull().alias("__final"))
+    inside = Window.partitionBy("part").orderBy("place", "at").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.join(per, small["part"] == per["__part"]).withColumn("open", F.coalesce(F.max("after").over(inside), F.col("__open")))
+    final = F.col("__final") & (F.struct("place", "at") == F.col("__end"))
+    small = small.select("place", "at", "base", "docs", "open", final.alias("final"))
 
     def tell(batches):
         for b in batches:

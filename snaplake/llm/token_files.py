@@ -4,8 +4,8 @@ A file holds ascending documents. Header (little-endian): magic, id width, rows,
 smallest doc_id; then the Elias-Fano sequences of the document ends and of the doc_ids (less the
 smallest), then the ids. An Elias-Fano sequence of n non-decreasing values below u takes about
 n * (2 + log2(u / n)) bits: the low bits of each packed, the high bits in unary, and a sample of the
-positions of every 256th one, so that `select` reads one short stretch. No 64-bit offsets are stored; a
-file's first id has a place in the whole given by the prefix sum over the manifest (one row a file).
+positions of every 256th one, so that `select` reads one short stretch. No 64-bit offsets are stored or made;
+readers go from stretch to stretch; a file's first id has a place in the whole given by the prefix sum over the manifest (one row a file).
 
 Defined results: a null text is empty, so a document of the end id alone; a null doc_id sorts first;
 repeated rows are documents of their own, side by side; a table without rows has no files and gives no
@@ -21,11 +21,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..files import get, put
-from .common import new_path, shuffles, tidied, written
+from .common import new_path, running_over_parts, shuffles, tidied, written
 from .tokens import encoder, slices
 
 MAGIC = b"SLTK0001"
@@ -76,6 +76,16 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)) << self.low_bits) | self._lows(0, self.n)
 
+    def stretch(self, k: int) -> np.ndarray:
+        """The values of ranks k * SAMPLE and on, SAMPLE of them or what is left: from the sample's place, reading on until they are found."""
+        a, b = k * SAMPLE, min((k + 1) * SAMPLE, self.n)
+        at = int(self.samples[k])
+        # the next sample ends the search, where there is one
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at // 8 : -(-end // 8)], bitorder="little")[at % 8 :]
+        ones = np.flatnonzero(bits)[: b - a] + at
+        return ((ones - np.arange(a, b)) << self.low_bits) | self._lows(a, b)
+
     def select(self, i: int) -> int:
         """The i-th value, from the sample before it on."""
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
@@ -98,14 +108,33 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> list[b
     return [HEAD.pack(MAGIC, width, len(ids), nulls, least), EliasFano.of(ends).to_bytes(), EliasFano.of((there - least).astype(np.uint64)).to_bytes(), np.concatenate(ids).astype(f"<u{width}").tobytes()]
 
 
-def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, ends and ids of a file."""
-    magic, width, n, nulls, least = HEAD.unpack_from(raw)
-    if magic != MAGIC:
-        raise ValueError("not a token file")
-    ends, at = EliasFano.from_bytes(raw, HEAD.size)
-    keys, at = EliasFano.from_bytes(raw, at)
-    return [None] * nulls + (keys.values() + least).tolist(), ends.values(), np.frombuffer(raw, f"<u{width}", offset=at)
+class TokenFile:
+    """A file as it was written: its boundaries and doc_ids stay encoded and are found by select."""
+
+    def __init__(self, raw: bytes):
+        magic, width, self.rows, self.nulls, self.least = HEAD.unpack_from(raw)
+        if magic != MAGIC:
+            raise ValueError("not a token file")
+        self.ends, at = EliasFano.from_bytes(raw, HEAD.size)
+        self.keys, at = EliasFano.from_bytes(raw, at)
+        self.ids = np.frombuffer(raw, f"<u{width}", offset=at)
+
+    def document(self, i: int) -> tuple[int | None, int, int]:
+        """doc_id, start and end of the i-th document."""
+        key = None if i < self.nulls else self.keys.select(i - self.nulls) + self.least
+        return key, self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
+    def stretches(self):
+        """(doc_ids, starts, ends) of all documents, a stretch of the sampled ranks at a time: no table of all offsets is made."""
+        last, keys, k = 0, [None] * self.nulls, 0
+        for j in range(-(-self.rows // SAMPLE)):
+            ends = self.ends.stretch(j)
+            while len(keys) < len(ends):
+                keys += (self.keys.stretch(k) + self.least).tolist()
+                k += 1
+            starts = np.concatenate([[last], ends[:-1]])
+            yield keys[: len(ends)], starts, ends
+            last, keys = int(ends[-1]), keys[len(ends) :]
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: int = 4 << 20) -> DataFrame:
@@ -137,8 +166,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, roll: i
             yield flush()
 
     files = written(rows.mapInArrow(tidied(write), "path string, part int, seq int, rows long, ids long"), "token-manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    return running_over_parts(files, "part", ["seq"], {"base": "ids"})
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
@@ -147,11 +175,12 @@ def read_files(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys, ends, ids = unpack(get(path))
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = memoryview(ids.astype("<u4")).cast("B")
-                crc = [zlib.crc32(wide[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                file = TokenFile(get(path))
+                for keys, starts, ends in file.stretches():
+                    at = int(starts[0])
+                    wide = memoryview(file.ids[at : int(ends[-1])].astype("<u4")).cast("B")
+                    crc = [zlib.crc32(wide[4 * (a - at) : 4 * (e - at)]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("path", "base").repartition(shuffles(manifest.sparkSession), "path")
     return spread.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

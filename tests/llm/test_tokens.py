@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from snaplake.files import put
-from snaplake.llm import packing, token_counts, token_files, tokens
+from snaplake.llm import packing, passages, sharding, simhash, token_counts, token_files, tokens
+from snaplake.llm.queries import QUERIES
 from snaplake.llm.token_files import EliasFano
 from snaplake.llm.words import Words, run_hashes
 
@@ -201,3 +202,60 @@ def test_query_columns(spark):
     lengths = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert max(r.n for r in lengths) <= 1024
     assert 1 - sum(r.n for r in lengths) / (1024 * len(lengths)) < 0.02
+
+
+def test_op1_against_all_texts(spark, plain):
+    """Starts and counts of every document, from the flat files in the order they were written."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = sorted(QUERIES["op1_token_counts"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.start)
+    assert {r.doc_id: r.n_tokens for r in got} == {d: len(plain(t)) for d, t in text.items()} and len(got) == len(text)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens + 1
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_parts_and_blocks_are_stitched(spark, tmp_path, block):
+    rng, flat, rows = np.random.default_rng(block), [], []
+    for part in range(4):
+        for seq in range(3):
+            ids = rng.integers(0, 5, rng.integers(0, 40)).astype("<u2") if part != 2 else np.ones(20, "<u2")
+            put(f"{tmp_path}/{part}-{seq}", ids.tobytes())
+            rows.append((f"{tmp_path}/{part}-{seq}", (part << 32) + seq, len(ids)))
+            flat += ids.tolist()
+    got = token_counts.scan(spark.createDataFrame(rows, "path string, place long, ids long"), 0, 2, block).orderBy("ordinal").collect()
+    ends = [i for i, x in enumerate(flat) if x == 0]
+    starts = [0, *[e + 1 for e in ends]]
+    want = [(k, s, e - s, True) for k, (s, e) in enumerate(zip(starts, ends, strict=False))]
+    if starts[-1] < len(flat):
+        want.append((len(ends), starts[-1], len(flat) - starts[-1], False))
+    assert [tuple(r) for r in got] == want
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns that operators use inside may be in the table already."""
+    rows = [(i, f"some words of text {i} " * 3, "s", i, "x", 1.0, 2) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, ids long, part string, start double, n long")
+    for c in ("seq", "ordinal", "base", "key", "fp", "size", "place", "at", "b", "c", "l", "r", "shard", "slot", "h", "component"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    assert token_counts.count_documents(docs, PATH).count() == 6
+    assert token_files.read_files(token_files.write_files(docs, PATH)).count() == 6
+    assert {r.doc_id for r in packing.pack(docs, PATH).collect()} == set(range(6))
+    assert {r.doc_id for r in simhash.linked(docs).collect()} == set(range(6))
+    assert sharding.interleave(docs, 3).count() == 6
+    assert passages.repeats(docs).count() == 0 and passages.without_repeats(docs).columns == docs.columns
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_files_are_read_by_select(plain):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "bc", "déf"], k=rng.randint(0, 9))) for _ in range(700)]
+    keys = sorted([None] * 300 + rng.sample(range(10**6), 400), key=lambda d: (d is not None, d or 0))
+    ids = [np.array([*plain(t), 2]) for t in texts]
+    file = token_files.TokenFile(b"".join(token_files.pack(keys, ids, 2)))
+    ends = np.cumsum([len(x) for x in ids]).tolist()
+    want = list(zip(keys, [0, *ends[:-1]], ends, strict=True))
+    assert [file.document(i) for i in range(700)] == want
+    assert [row for k, s, e in file.stretches() for row in zip(k, s.tolist(), e.tolist(), strict=True)] == want
