@@ -25,7 +25,7 @@ def commits_between(commits: DataFrame, since: str, until: str) -> DataFrame:
 
 
 def commit_list(commits: DataFrame, wanted: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """sha and line of the wanted commits: date, generation number (place among all commits of the range, counted before filtering), time, short sha. commits: sha, ts, place, and mainline where a range is asked for."""
+    """sha, line and n of the wanted commits. A line has the date, generation number (place among all commits of the range, counted before filtering), time, short sha. commits: sha, ts, place, and mainline where a range is asked for."""
     if since and until:
         commits, order = commits_between(commits, since, until), ["place"]
         grains = [F.floor(F.col("place") / 65536)]
@@ -33,7 +33,7 @@ def commit_list(commits: DataFrame, wanted: DataFrame, since: str | None = None,
         order, grains = ["ts", "place"], [F.date_format("ts", "yyyyMM"), F.date_format("ts", "yyyyMMddHH")]
     numbered = with_prefix(commits.withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0)), ["__all"], order, "__one", "__before", *grains)
     line = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.format_string("%05d", F.col("__before") + 1), F.lit("T"), F.date_format("ts", "HHmmss"), F.lit("-"), F.substring("sha", 1, 15))
-    return numbered.join(wanted.select("sha"), "sha", "left_semi").select("sha", line.alias("line"))
+    return numbered.join(wanted.select("sha"), "sha", "left_semi").select("sha", line.alias("line"), (F.col("__before") + 1).alias("n"))
 
 
 def _beginnings(text: str) -> list[Column]:
@@ -61,6 +61,18 @@ def split_by_bytes(lines: DataFrame, line: str, parts: int) -> DataFrame:
     return rows.join(F.broadcast(total)).select(line, part.alias("part"))  # one row
 
 
+def month_plan(commits: DataFrame, since: str, until: str, every: int = 1, parts: int = 20, most: int | None = None) -> DataFrame:
+    """The commits of a range that are built: sha, line, n and part. Of the first `most` ones (if there is a limit) each `every`-th, in parts of about equal bytes of list."""
+    listed = commit_list(commits, commits, since, until)
+    if most is not None:
+        listed = listed.filter(F.col("n") <= most)
+    listed = listed.filter(F.col("n") % every == 0).withColumn("__len", F.octet_length("line").cast("long") + F.octet_length("sha") + 2).withColumn("__all", F.lit(0))
+    rows = with_prefix(listed, ["__all"], ["n"], "__len", "__before", F.floor(F.col("n") / 65536))
+    total = listed.agg(F.sum("__len").alias("__total"))
+    part = F.least(F.expr(f"__before * {parts} div __total"), F.lit(parts - 1)).cast("int")
+    return rows.join(F.broadcast(total)).select("sha", "line", "n", part.alias("part"))  # one row
+
+
 COMMANDS = "kind string, output string, args array<string>, place long"
 
 # How commands of a build are told by their base names, and where CMake's links lie.

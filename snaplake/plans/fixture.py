@@ -56,6 +56,22 @@ def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("p", F.explode(packs)).select("p.pack", "p.seq", "p.tag", "path", "checksum", "size", "mode")
 
 
+#: The letters of names in random trees.
+LETTERS = "abcd1234"
+
+
+def random_tree(spark: SparkSession, seed: int, files: int = 64) -> DataFrame:
+    """path, content, mode of a tree of short names in one or two levels, so that names clash: of equal paths the last one stays, and a directory wins over a file. The same for a seed in any engine."""
+    digit = lambda k: F.conv(F.substring("h", k, 1), 16, 10).cast("int")
+    letter = lambda k: F.substring(F.lit(LETTERS), digit(k) % 8 + 1, F.lit(1))
+    rows = spark.range(files).select("id", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")).alias("h"))
+    folder = F.when(digit(1) % 2 == 0, letter(2)).otherwise(F.concat(letter(2), F.lit("/"), letter(3), letter(4)))
+    rows = rows.select("id", "h", folder.alias("dir"), F.concat(folder, F.lit("/"), letter(5), letter(6)).alias("path"), digit(7).alias("n"))
+    last = rows.groupBy("path").agg(F.max_by("h", "id").alias("h"), F.max_by("n", "id").alias("n"))
+    last = last.join(rows.select(F.col("dir").alias("path")).distinct(), "path", "left_anti")
+    return last.select("path", F.repeat(F.col("h"), F.col("n") + 1).cast("binary").alias("content"), F.lit(DEFAULT_MODE).alias("mode"))
+
+
 FILES_SQL = """
 WITH snaps AS (SELECT 'main' AS pack, CAST(range AS INTEGER) AS seq, 'snap-' || range AS tag FROM range(6)),
 files AS (

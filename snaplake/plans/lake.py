@@ -144,7 +144,40 @@ def commit_list(spark, sf):
     """Between two days, on the mainline: a third of the commits, numbered among all of the range."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     commits = e.select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), "ts", F.col("event_id").alias("place"), (F.col("event_id") % 7 != 0).alias("mainline"))
-    return contrib.commit_list(commits, commits.filter("place % 3 = 1").select("sha"), "2024-01-03", "2024-01-12")
+    return contrib.commit_list(commits, commits.filter("place % 3 = 1").select("sha"), "2024-01-03", "2024-01-12").select("sha", "line")
+
+
+@query(_EVENTS + """, lines AS (SELECT sha, n, strftime(ts, '%Y%m%d') || '-' || lpad(CAST(n AS VARCHAR), 5, '0') || 'T' || strftime(ts, '%H%M%S') || '-' || substr(sha, 1, 15) AS line FROM ranged WHERE n <= 900 AND n % 4 = 0)
+SELECT sha, line, n, CAST(least(before * 7 // total, 6) AS INTEGER) AS part FROM (SELECT *, coalesce(sum(len(line) + 42) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len(line) + 42) OVER () AS total FROM lines)""")
+def month_pipeline(spark, sf):
+    """What a month's build takes: commits between two days, the first 900, each fourth, in seven parts."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    commits = e.select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), "ts", F.col("event_id").alias("place"), (F.col("event_id") % 7 != 0).alias("mainline"))
+    return contrib.month_plan(commits, "2024-01-03", "2024-01-12", every=4, parts=7, most=900)
+
+
+_RANDOM = """, letters AS (SELECT seed, i, md5(seed || ':' || i) AS h, list_transform(range(1, 8), lambda k: CAST(('0x' || substr(md5(seed || ':' || i), k, 1)) AS INTEGER)) AS d FROM range(64) r(i), (VALUES (1), (2), (3)) s(seed)),
+named AS (SELECT seed, i, h, d[7] AS n, substr('abcd1234', d[2] % 8 + 1, 1) || CASE WHEN d[1] % 2 = 0 THEN '' ELSE '/' || substr('abcd1234', d[3] % 8 + 1, 1) || substr('abcd1234', d[4] % 8 + 1, 1) END AS dir,
+  substr('abcd1234', d[5] % 8 + 1, 1) || substr('abcd1234', d[6] % 8 + 1, 1) AS name FROM letters),
+random AS (SELECT seed, dir || '/' || name AS path, max_by(h, i) AS h, max_by(n, i) AS n FROM named GROUP BY seed, dir || '/' || name)
+"""
+
+
+@query(_RANDOM + "SELECT 's' || seed AS tag, path, sha1(repeat(h, n + 1)) AS checksum, CAST(32 * (n + 1) AS BIGINT) AS size FROM random r WHERE NOT EXISTS (SELECT 1 FROM named m WHERE m.seed = r.seed AND m.dir = r.path)")
+def random_pack(spark, sf):
+    """Three random trees stored and packed in two frames; the pack's snapshots listed, with all of their objects there."""
+    from ..sinks.worktree import write_tree
+
+    data = local_folder(spark, "random")
+    for seed in (1, 2, 3):
+        at = local_folder(spark, "tree")
+        write_tree(fixture.random_tree(spark, seed), at)
+        repo = Repo(spark, at, data)
+        repo.store(f"s{seed}")
+    repo.pack("verification", frames=2)
+    files = repo.files(["verification"])
+    whole = repo.contents("verification", files).select("checksum", F.octet_length("content").cast("long").alias("size"))
+    return _text(files.drop("size").join(whole, "checksum")).select("tag", "path", "checksum", "size")
 
 
 @query("SELECT path, CAST(n AS BIGINT) AS n FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM files WHERE seq = 0) WHERE n % 3 = 0")
