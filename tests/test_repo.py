@@ -10,7 +10,7 @@ import pytest
 
 from snaplake import cli
 from snaplake.files import create_once
-from snaplake.model import AmbiguousSnapshot, BadIdentifier, CorruptPack, DirtyWorkDir, LakeError, PathNotFound, SnapshotAlreadyExists, SnapshotNotFound
+from snaplake.model import AmbiguousSnapshot, BadIdentifier, CorruptLog, CorruptPack, DirtyWorkDir, InUse, LakeError, PackNotFound, PathNotFound, SnapshotAlreadyExists, SnapshotNotFound
 from snaplake.repo import Repo
 
 
@@ -204,3 +204,99 @@ def test_one_writer_wins(tmp_path):
         [t.join() for t in threads]
         assert len(won) == 1 and (tmp_path / f"f{i}").read_text() == str(won[0])
     assert len(os.listdir(tmp_path)) == 20
+
+
+def test_names_of_any_bytes(spark, tmp_path):
+    """Names that are not UTF-8 through store, pack, diff, show and extract, in directories that come and go."""
+    root = os.fsencode(str(tmp_path / "w"))
+    names = [b"d\xff/\xfe.txt", b"d\xff/sub\x80/x", b"caf\xc3\xa9", b"\xc3", b"plain"]
+    for i, n in enumerate(names):
+        at = os.path.join(root, n)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "wb") as f:
+            f.write(b"body%d" % i)
+    repo = Repo(spark, os.fsdecode(root))
+    repo.store("full")
+    assert {bytes(r.path) for r in repo.snapshot_files("full").collect()} == set(names)
+    for n in names[:2]:
+        os.unlink(os.path.join(root, n))
+    repo.store("less")
+    repo.pack("p")
+    assert repo.show("p:full", [os.fsdecode(n) for n in names[:2]]) == b"body0body1"
+    other = Repo(spark, str(tmp_path / "other"), repo.data)
+    for tag in ("full", "less", "full"):
+        other.extract(f"p:{tag}", force=True, reset=tag == "full")
+        held = {os.path.relpath(os.path.join(h, n), os.fsencode(other.root)) for h, _, f in os.walk(os.fsencode(other.root)) for n in f}
+        assert held == (set(names) if tag == "full" else set(names[2:]))
+        assert os.path.isdir(os.path.join(os.fsencode(other.root), b"d\xff")) == (tag == "full")
+    names_file = tmp_path / "names"
+    names_file.write_bytes(b"\0".join(names[2:4]) + b"\0")
+    from snaplake.sources.worktree import file_list
+
+    repo.store("some", file_list(spark, str(names_file), nul=True))
+    assert {bytes(r.path) for r in repo.snapshot_files("loose/some:some").collect()} == set(names[2:4])
+
+
+def test_files_that_change_while_they_are_stored(spark, tmp_path, monkeypatch):
+    """What a snapshot names is what was read: a change after that is no part of it."""
+    root = str(tmp_path / "w")
+    put(root, "a", b"before")
+    repo = Repo(spark, root)
+    whole = repo._write_pack
+
+    def late(*args):
+        put(root, "a", b"after, and longer")
+        return whole(*args)
+
+    monkeypatch.setattr(repo, "_write_pack", late)
+    repo.store("s")
+    monkeypatch.undo()
+    assert repo.show("s", ["a"]) == b"before"
+    objects = {r.checksum: r.size for r in repo.loose_objects().collect()}
+    assert {(r.checksum, r.size) for r in repo.snapshot_files("s").collect()} == set(objects.items())
+
+
+def test_deletes_and_locks(repo):
+    repo.pack("p", ["loose/one"])
+    assert repo.head() == "loose/two:two"
+    other = Repo(repo.spark, repo.root, repo.data)
+    with repo.reading(), repo.reading():
+        for f in (lambda: other.gc(snapshots=True), lambda: other.delete_pack("p"), other.remove_loose_all, lambda: other.delete_objects(repo.loose_objects())):
+            with pytest.raises(InUse):
+                f()
+        assert other.gc(snapshots=True, dry_run=True)["snapshots"] == ["loose/one:one"]
+    x = hashlib.sha1(b"changed").hexdigest()
+    assert other.delete_objects(repo.loose_objects().filter(f"checksum = '{x}'")) == 1
+    assert other.delete_objects(repo.loose_objects().filter(f"checksum = '{x}'")) == 0
+    with pytest.raises(Exception, match="object not found"):
+        Repo(repo.spark, repo.root + "2", repo.data).extract("two", reset=True)
+    other.update_head("p:one")
+    other.remove_loose_all()
+    assert other.head() == "p:one" and [r.line for r in other.list().collect()] == ["p:one"]
+    assert other.extract("p:one", reset=True)["A"] == 4 and tree(repo.root)["a/x"][0] == b"1" * 1000
+    other.delete_pack("p")
+    assert other.head() is None and other.list().count() == 0
+    with pytest.raises(PackNotFound):
+        other.delete_pack("p")
+
+
+def test_fingerprints_are_told_once(repo):
+    from snaplake.operators.diff import snapshot_checksum
+
+    repo.pack("p")
+    told = {(r.pack, r.tag): r.fingerprint for r in repo.fingerprints().collect()}
+    assert told == {(r.pack, r.tag): r.fingerprint for r in snapshot_checksum(repo.files(), ["pack", "seq", "tag"]).collect()} and len(told) == 4
+    shutil.rmtree(repo.state()["packs"]["loose/one"]["dir"] + "/prints")
+    assert told == {(r.pack, r.tag): r.fingerprint for r in repo.fingerprints().collect()}
+
+
+def test_a_corrupt_log_is_told(spark, repo):
+    repo.pack("p")
+    repo.verify()
+    folder = repo.state()["packs"]["p"]["dir"] + "/changes"
+    twice = repo.changes(["p"]).filter("op = 'A'").limit(1).collect()
+    spark.createDataFrame(twice, repo.changes(["p"]).schema).write.mode("append").parquet(f"file://{folder}")
+    with pytest.raises(CorruptLog):
+        repo.verify(["p"])
+    with pytest.raises(Exception, match="corrupt log"):
+        repo.list_files("p:two").collect()
