@@ -316,3 +316,77 @@ def test_repetitive_text(spark):
     df = spark.createDataFrame([(1, "the " * 20000), (2, "the " * 5000 + "end"), (3, "x y " * 3000)], KIND)
     assert {(r.doc_id, r.source_doc_id) for r in passages.repeats(df).collect()} == {(2, 1)}
     assert df.select(F.count("*")).first()[0] == 3
+
+
+def exact_repeats(docs, words=50):
+    """Of each document, the words that lie in runs of `words` words which an earlier or later document has too (A-Z lower-cased)."""
+    split = {d: (t or "").encode().lower().split() for d, t in docs.items()}
+    owners = {}
+    for d, w in split.items():
+        for i in range(len(w) - words + 1):
+            owners.setdefault(hash(tuple(w[i : i + words])), set()).add(d)
+    out = {}
+    for d, w in split.items():
+        for i in range(len(w) - words + 1):
+            first = min(owners[hash(tuple(w[i : i + words]))])
+            if first < d:
+                out.setdefault(d, set()).update(range(i, i + words))
+    return out, split
+
+
+def test_op6_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want, split = exact_repeats(docs)
+    got = QUERIES["op6_substring_dedup"](spark, SF).collect()
+    found = {}
+    for r in got:
+        if (r.doc_id, r.start) != (r.first_doc_id, r.first_start):
+            found.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    total, missed = sum(map(len, want.values())), sum(len(w - found.get(d, set())) for d, w in want.items())
+    assert total > 500 and missed <= 0.01 * total
+    # every occurrence is one: its shingles are like those of a stretch of the first document, from the place told on
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for r in got:
+        assert r.first_doc_id <= r.doc_id and r.n_words >= 50
+        mine, theirs = grams(split[r.doc_id][r.start : r.start + r.n_words]), split[r.first_doc_id][r.first_start :]
+        like = max(len(mine & (o := grams(theirs[:n]))) / len(mine | o) for n in range(int(r.n_words * 0.75), int(r.n_words * 1.35) + 1))
+        assert like >= 0.79
+
+
+@pytest.mark.parametrize("hub", [2, 256])
+def test_texts_of_hubs_are_parted(spark, hub):
+    pairs = spark.createDataFrame([(i, 0, [i]) for i in range(1, 40)] + [(50, i, [0]) for i in range(1, 10)], "a long, b long, anchors array<int>")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in [*range(40), 50]], "id long, text string")
+    got = passages._with_texts(pairs, texts, hub).collect()
+    assert len(got) == 48 and all((r.at, r.bt) == (f"text {r.a}", f"text {r.b}") for r in got)
+
+
+def test_a_document_that_holds_the_anchors_only(spark):
+    """An earlier document with the least shingles of a passage, but not the passage, hides it from none."""
+    rng = random.Random(77)
+    rows = []
+    for i in range(12):
+        p = prose(rng, 60, f"k{i}x")
+        h = passages.shingled([" ".join(p)])[0]
+        least = {int(((h ^ m[0]) * m[1]).argmin()) for m in passages._MIX}
+        lure = [w for c in least for w in [*prose(rng, 30, f"l{i}"), *p[c : c + 5], *prose(rng, 30, f"l{i}")]]
+        rows += [(i, " ".join(lure))] + [(k + i, " ".join([*prose(rng, 60, f"s{i}{k}"), *p, *prose(rng, 60, f"e{i}{k}")])) for k in (100, 200)]
+    got = {(r.doc_id, r.source_doc_id) for r in passages.repeats(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {(200 + i, 100 + i) for i in range(12)}
+
+
+def test_words_in_another_order_and_many_pairs_nearby(spark):
+    """Pairs over nearly one vocabulary, whose fingerprints are all close, and reordered texts of one set of words: each pair is one group."""
+    rng = random.Random(41)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        w = rng.choices(vocabulary, k=300)
+        e = list(w)
+        e[150] = "edited"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(e))]
+    for i in range(40, 50):
+        w = rng.sample(vocabulary, 300)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:140], *w[141:], w[140]]))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, KIND)).collect()}
+    assert kept == {2 * i for i in range(50)}
