@@ -244,6 +244,13 @@ def true_type(content: bytes) -> str:
     return found[0][2] if found and found[0][0] == 0 else UNKNOWN
 
 
+def described(content: bytes, declared: str | None) -> tuple[str, bool, list[tuple[int, int, str]]]:
+    """The true type, whether it is the declared one, and the embedded media (offset, length, type)."""
+    found = sniff(content)
+    kind = found[0][2] if found and found[0][0] == 0 else UNKNOWN
+    return kind, kind == declared, [f for f in found if f[0]]
+
+
 SNIFFED = "id long, declared string, type string, agrees boolean, embedded array<struct<offset:long,length:long,type:string>>"
 
 
@@ -254,10 +261,9 @@ def sniff_column(df: DataFrame, id_col: str, content_col: str, declared_col: str
         for batch in batches:
             rows = []
             for d, c, t in zip(*[batch.column(i) for i in range(3)], strict=True):
-                found = sniff(c.as_py() or b"")
-                kind = found[0][2] if found and found[0][0] == 0 else UNKNOWN
-                inner = [{"offset": o, "length": n, "type": k} for o, n, k in found if o]
-                rows.append({"id": d.as_py(), "declared": t.as_py(), "type": kind, "agrees": t.as_py() == kind, "embedded": inner})
+                kind, agrees, inner = described(c.as_py() or b"", t.as_py())
+                embedded = [{"offset": o, "length": n, "type": k} for o, n, k in inner]
+                rows.append({"id": d.as_py(), "declared": t.as_py(), "type": kind, "agrees": agrees, "embedded": embedded})
             one = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("declared", pa.string()), ("type", pa.string()), ("agrees", pa.bool_()), ("embedded", pa.list_(one))]))
 
@@ -270,6 +276,7 @@ def carve(content: bytes) -> list[bytes]:
 
 
 RATE = 8000
+DECLARED = "audio/wav"
 
 
 def store(payload: bytes) -> bytes:
@@ -295,34 +302,33 @@ def payload_of(media: bytes) -> memoryview:
         p += 8 + n + n % 2
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, type string, agrees boolean"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Stores every whole text as a medium in a table in the shared folder, reads it back, and computes its features."""
+    """Stores every whole text as a medium of a declared type in a table in the shared folder, reads it back, checks the type by the bytes, and computes features."""
 
     def put(batches):
         for some in slices(batches):
             raw = [t.encode() for _, t in some]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([store(r) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([DECLARED] * len(some)), pa.array([store(r) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
-    stored = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(put), "doc_id long, n_bytes long, media binary"), "media")
+    stored = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(put), "doc_id long, n_bytes long, declared string, media binary"), "media")
 
     def read(batches):
         for batch in batches:
             rows = []
-            for d, n, m in zip(*batch.columns, strict=True):
+            for d, n, t, m in zip(*batch.columns, strict=True):
                 media = m.as_py()
-                found = sniff(media)
+                kind, agrees, inner = described(media, t.as_py())
                 payload = payload_of(media)
                 x = np.frombuffer(payload, np.uint8)
                 level = int(x.sum(dtype=np.int64)) // len(x)
                 turns = int(np.count_nonzero(np.diff(x >= 128)))
-                inner = len(found) - 1  # media among the samples
-                text = f"{found[0][2]};rate={RATE};samples={len(x)};level={level};turns={turns};embedded={inner}"
-                rows.append((d.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), text))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
+                text = f"{kind};rate={RATE};samples={len(x)};level={level};turns={turns};embedded={len(inner)}"
+                rows.append((d.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), text, kind, agrees))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            cols = list(zip(*rows, strict=True)) or [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
     return stored.mapInArrow(tidied(read), FEATURES)

@@ -113,7 +113,7 @@ def test_features(spark):
         raw, padded = reference(t)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        assert r.media_bytes == len(padded) + 44 and r.feature.startswith("audio/wav;")
+        assert r.media_bytes == len(padded) + 44 and r.feature.startswith("audio/wav;") and r.type == "audio/wav" and r.agrees
     assert got[0][1:] == got[1][1:] and got[2][1:] == got[7][1:]
     assert media.features(df.limit(0)).count() == 0
 
