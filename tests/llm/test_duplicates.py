@@ -255,7 +255,7 @@ def test_passages_with_a_word_put_in_or_left_out(spark, n):
         q = [*p[: n // 2], "more", *p[n // 2 :]] if i % 2 else [*p[: n // 2], *p[n // 2 + 1 :]]
         rows += [(k * 100 + i, " ".join([*prose(rng, 70, f"s{i}{k}"), *w, *prose(rng, 70, f"s{i}{k}")])) for k, w in enumerate((p, q))]
     got = {(r.doc_id, r.source_doc_id): r for r in passages.repeats(spark.createDataFrame(rows, KIND)).collect()}
-    assert len(got) >= 18 and all(a == b + 100 for a, b in got)  # 18 of 20 at n = 60
+    assert len(got) == 20 and all(a == b + 100 for a, b in got)
     assert all((r.start, r.source_start, r.n_words) == (70, 70, n + (1 if b % 2 else -1)) for (_, b), r in got.items())
 
 
@@ -267,6 +267,27 @@ def test_chained_runs():
         assert passages.joined(passages.chained(x, y, at, to), 46, 0.8) == [(0, 400, 0)]
 
 
+def test_joined_runs_are_the_widest():
+    rng, least = random.Random(3), 2 * 0.8 / 1.8
+    for _ in range(300):
+        runs, s, t = [], rng.randint(0, 9), rng.randint(0, 9)
+        for _ in range(rng.randint(0, 7)):
+            n = rng.randint(1, 40)
+            runs.append((s, t, n))
+            s, t = s + n + rng.choice([0, 5, 5, 6, 20]), t + n + rng.choice([0, 5, 5, 6, 20])
+        good = []
+        for i in range(len(runs)):
+            for j in range(i, len(runs)):
+                spans = [runs[j][k] + runs[j][2] - runs[i][k] for k in (0, 1)]
+                if 2 * sum(r[2] for r in runs[i : j + 1]) >= least * sum(spans) - 1e-9:
+                    good.append((spans[0], runs[i][0], runs[j][0] + runs[j][2], runs[i][1]))
+        got = passages.joined(runs, 46, 0.8)
+        widest = max((g[0] for g in good), default=0)
+        assert max((e - b for b, e, _ in got), default=0) == (widest if widest >= 46 else 0)
+        assert all((e - b, b, e, t) in good for b, e, t in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+    assert passages.joined([(0, 0, 17), (22, 21, 9), (31, 30, 26)], 46, 0.8) == [(0, 57, 0)]
+
+
 def test_passages_of_lines_that_stand_earlier(spark):
     rng = random.Random(31)
     rows = []
