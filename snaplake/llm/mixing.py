@@ -6,7 +6,7 @@ until none is above. The level has a closed form over the sources sorted by cap
 of window sums over one row per source. A source's target is then met by whole repetitions of all its
 documents, and one more repetition of the first documents of a seeded order, until the target is nearest.
 
-Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own, last in
+Defined results: a null text has size 0; a very long text is one document of its size, which bounds how near a target can be met and takes 0 words; a null source is a source of its own, last in
 order; repeated rows are rows of their own, and rows alike in doc_id, source and size share their fate; an empty table gives an empty table; other columns are kept by `mix` and
 never read.
 """
@@ -47,13 +47,18 @@ def _order(seed: int):
     return F.struct(seeded(seed, F.col("doc_id")).alias("h"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), words(F.col("text")).alias("size"))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:
-    """One row a source: source, source_size, target, whole (repetitions of all its documents), last (the last document of the seeded order that is repeated once more).
+def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, place in the seeded order (which holds the size) and size of each document, written: words are counted once."""
+    rows = docs.select("doc_id", "source", _order(seed).alias("__o"))
+    return written(rows.select("doc_id", "source", "__o", F.col("__o.size").alias("size")), "mix-sizes")
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """rows: sized's. One row a source: source, source_size, target, whole (repetitions of all its documents), last (the last document of the seeded order that is repeated once more).
 
     A document is repeated once more if the middle of its words lies within what is left of the target; that
     holds for the first documents of the order and for none after them, so one place says it all.
     """
-    rows = written(docs.select("source", _order(seed).alias("__o")).select("source", "__o", F.col("__o.size").alias("size")), "mix-sizes")
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     per = per.withColumn("whole", whole)
@@ -62,16 +67,17 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     run = run.join(left, run["source"].eqNullSafe(left["__source"])).filter((F.col("size") > 0) & (F.col("__before") + F.col("size") / 2 <= F.col("__left")))
     last = run.groupBy(F.col("source").alias("__source")).agg(F.max("__o").alias("last"))
     out = per.join(last, per["source"].eqNullSafe(last["__source"]), "left").drop("__source")
-    out = written(out.select("source", F.col("source_size").cast("long").alias("source_size"), "target", "whole", "last"), "mix-plan")
-    discard(rows)
-    return out
+    return written(out.select("source", F.col("source_size").cast("long").alias("source_size"), "target", "whole", "last"), "mix-plan")
 
 
 def takes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, the columns named in keep, size, source_size, target, repeats (copies of the document in the mix), taken (words). Texts are not moved: the plan comes to them."""
     keep = [c for c in (keep or []) if c not in ("doc_id", "source")]
-    per = plan(docs, weights, share, epochs, seed).withColumnRenamed("source", "__source")
-    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"__keep_{c}") for c in keep], _order(seed).alias("__o"))
+    rows = sized(docs, seed)
+    per = plan(rows, weights, share, epochs).withColumnRenamed("source", "__source")
+    if keep:  # rows with their columns: counting words again costs less than bringing rows and sizes together
+        discard(rows)
+        rows = docs.select("doc_id", "source", *[F.col(c).alias(f"__keep_{c}") for c in keep], _order(seed).alias("__o"))
     rows = rows.join(per, rows["source"].eqNullSafe(per["__source"]))
     once_more = F.coalesce(F.col("__o") <= F.col("last"), F.lit(False)) & (F.col("__o.size") > 0)
     rows = rows.withColumn("repeats", F.least(F.col("whole") + once_more.cast("long"), F.lit(epochs)).cast("long"))
