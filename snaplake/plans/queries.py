@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..model import LakeError
 from ..operators import catalog, diff, layout, log
+from ..operators.contrib import numbered_lines
 from . import fixture
 from .fixture import FILES_SQL
 
@@ -465,13 +466,13 @@ def seek_gaps(spark, sf):
 @query("SELECT CAST(row_number() OVER (ORDER BY encode(line)) AS INTEGER) AS place, line FROM (SELECT path || ' ' || checksum AS line FROM files WHERE seq = 2)")
 def sort_lines(spark, sf):
     lines = _state(spark, sf, 2).select(F.concat_ws(" ", "path", "checksum").alias("line"))
-    return lines.select(F.row_number().over(Window.orderBy("line")).alias("place"), "line")
+    return numbered_lines(lines, "line").select(F.col("n").cast("int").alias("place"), "line")
 
 
 @query("," + _PLAN + " SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place, path FROM plan WHERE kind = 'D'")
 def sort_removed_paths(spark, sf):
     gone = diff.extract_plan(_state(spark, sf, 1), _state(spark, sf, 4)).filter("kind = 'D'")
-    return gone.select(F.row_number().over(Window.orderBy("path")).alias("place"), "path")
+    return numbered_lines(gone, "path").select(F.col("n").cast("int").alias("place"), "path")
 
 
 @query("SELECT path FROM files WHERE seq = 0 ORDER BY path LIMIT 50")
