@@ -28,6 +28,7 @@ from .words import SPACE, Words, features, grams
 BITS = 16
 SYMBOLS = "#*$%&|<>"
 RUN = 5
+FILTER_BITS = 18
 _DROP_SPACE = bytes(np.flatnonzero(SPACE).tolist())
 _SYMBOL_BYTES = SYMBOLS.encode()
 _REST = bytes(i for i in range(256) if i not in _SYMBOL_BYTES)
@@ -65,33 +66,41 @@ def base(text: str, raw: bytes, h: np.ndarray) -> tuple[int, int, int, int, int,
     return n, len(text) - spaces, len(raw.translate(None, _REST)), repeated_lines(text), again, n < 10 or 100 * again > 20 * n
 
 
-def count_ngrams(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw) counts of hashed n-grams, over all documents. A task sends one sum a bucket."""
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().withColumn("__good", F.lit(1))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text"))
-    # texts meet their marks in one shuffle at any size: a plan that broadcasts small label tables would behave otherwise on large ones
-    rows = rows.join(ids.hint("merge"), rows["__id"] == ids["doc_id"], "left").select(F.coalesce("__good", F.lit(0)).cast("long").alias("good"), F.col("__text"))
+def _counts(texts: DataFrame, bits: int) -> np.ndarray:
+    """Counts of hashed n-grams of texts (__id, __text). A task sends one sum a bucket."""
 
     def run(batches):
-        target, raw = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        n = np.zeros(1 << bits, np.int64)
         for some in slices(batches):
             words = Words([t.encode() for _, t in some], True)
-            for good in (0, 1):
-                mine = [p for i, (g, _) in enumerate(some) if g == good for p in features(words, i, bits)]
-                if mine:
-                    n = np.bincount(np.concatenate(mine), minlength=1 << bits)
-                    raw += n
-                    if good:
-                        target += n
-        at = np.flatnonzero(raw)
+            parts = [p for i in range(len(some)) for p in features(words, i, bits)]
+            if parts:
+                n += np.bincount(np.concatenate(parts), minlength=1 << bits)
+        at = np.flatnonzero(n)
         for i in range(0, len(at), 10_000):
             a = at[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(target[a]), pa.array(raw[a])], names=["at", "target", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n[a])], names=["at", "n"])
+
+    summed = texts.mapInArrow(tidied(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits)
+    out[summed["at"]] = summed["n"]
+    return out
+
 
-    summed = rows.mapInArrow(tidied(run), "at long, target long, raw long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
-    target, raw = np.zeros(1 << bits), np.zeros(1 << bits)
-    target[summed["at"]], raw[summed["at"]] = summed["target"], summed["raw"]
-    return target, raw
+def count_ngrams(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(target, raw) counts of hashed n-grams, over all documents. Raw counts move no text.
+
+    Trusted texts meet their ids in a shuffle. Before it, texts go whose id falls in none of the trusted ids' buckets: at most
+    2**FILTER_BITS numbers are broadcast, however many ids there are, and what passes by chance goes in the join.
+    """
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text"))
+    ids = trusted.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
+    bucket = F.pmod(F.xxhash64(F.col("__id").cast("long")), F.lit(1 << FILTER_BITS)).alias("__bucket")
+    buckets = F.broadcast(ids.select(bucket).distinct())
+    mine = rows.withColumn("__bucket", bucket).join(buckets, "__bucket", "left_semi")
+    # a merge join at every size: a plan that broadcasts small label tables would behave otherwise on large ones
+    mine = mine.join(ids.hint("merge"), "__id", "left_semi").select("__id", "__text")
+    return _counts(mine, bits), _counts(rows, bits)
 
 
 def ratios(target: np.ndarray, raw: np.ndarray, smooth: float = 0.5, prior: float = 0.2) -> np.ndarray:
