@@ -7,8 +7,9 @@ exact copies cost nothing. A bucket of more than `tile` fingerprints is split at
 pair of tiles is a group of its own, so a group's size is bounded and no pair is left out. A group sends a
 spanning set of its verified pairs, not all of them.
 
-`near_copies` does the same with sets of shingles: texts meet in bands of min-hashes, and all pairs of a tile are
-verified by their similarity. No distance of fingerprints stands for a similarity of shingles where a block of words is added.
+`near_copies` does the same with sets of shingles: texts meet in bands of min-hashes, and pairs are
+verified by their similarity. Texts of a band of up to `tile` meet one another. In a larger one they meet the first text, tile by tile, and then
+only those that this leaves unconnected meet all others, so a group of near copies costs in proportion to its texts. No distance of fingerprints stands for a similarity of shingles where a block of words is added.
 
 Defined results: a null text has no words; a very long text is hashed shingle by shingle, whole; a bit set in exactly half of
 the hashes is 0; a text without words has fingerprint 0 and links like any other;
@@ -208,12 +209,69 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
+def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """groups: g, key. texts: key, shingles. Links a, b that connect, group by group, all that pairs of enough similarity connect."""
+    both = groups.hint("merge").join(texts, "key").select("g", "key", "shingles").repartition("g").sortWithinPartitions("g")
+
+    def verify(batches):
+        def links(keys, sets):
+            found = alike([np.frombuffer(s, "<u4") for s in sets], similarity) if len(keys) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        now, keys, held = None, [], []
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(g)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
+                if e > s and g[s] != now:
+                    if keys:
+                        yield links(keys, held)
+                    now, keys, held = g[s], [], []
+                keys += batch.column(1)[s:e].to_pylist()
+                held += batch.column(2)[s:e].to_pylist()
+        if keys:
+            yield links(keys, held)
+
+    return both.mapInArrow(tidied(verify), "a long, b long")
+
+
+def _with_first(crowd: DataFrame, tile: int) -> DataFrame:
+    """crowd: band, key, n, rep (the first key of the band). g, key: tiles of a large band's texts, each with the first text in it, so the work is in proportion to the band."""
+    star = crowd.filter("key <> rep").select("rep", "key").distinct()
+    per = written(star.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")), "near-first")
+    parts = small_or_merged(per)
+    mine = star.join(parts, "rep").select(F.xxhash64("rep", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("g"), "key")
+    first = per.select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return mine.union(first.select(F.xxhash64("rep", "part").alias("g"), F.col("rep").alias("key")))
+
+
+def _with_rest(crowd: DataFrame, parts: DataFrame, tile: int) -> DataFrame:
+    """g, key: what is not connected to the first text of its large band meets all texts of that band, tile by tile. Those that are connected need not meet: a component is all that is asked for."""
+    named = parts.select(F.col("node").alias("key"), F.col("component").alias("mine"))
+    of_first = parts.select(F.col("node").alias("rep"), F.col("component").alias("its"))
+    of_first = small_or_merged(written(crowd.select("rep").distinct().join(of_first, "rep", "left"), "near-first-parts"))
+    met = crowd.join(of_first, "rep").join(named, "key", "left")
+    met = met.select("band", "key", "n", (F.coalesce("mine", "key") != F.coalesce("its", "rep")).alias("apart"))
+    left = written(met.filter("apart").select("band", "key", "n"), "near-apart")
+    per = written(left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("some"), F.ceil(F.max("n") / tile).cast("int").alias("all")), "near-apart-bands")
+    few = small_or_merged(per)
+
+    def tiles(rows, own, other):
+        """Each row in its tile of `own` ones, against each tile of `other` ones."""
+        out = rows.join(few, "band").withColumn("__own", F.pmod(F.xxhash64("key"), F.col(own)).cast("int"))
+        return out.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    one = tiles(left.select("band", "key"), "some", "all").select(F.xxhash64("band", "__own", "__other").alias("g"), "key")
+    two = tiles(crowd.select("band", "key"), "all", "some").select(F.xxhash64("band", "__other", "__own").alias("g"), "key")
+    return one.union(two).distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = SETS) -> DataFrame:
     """text_key (xxhash64 of the text) and keep (the doc_id that stays) for every text that is not the only one of its group.
 
     Candidates: texts that agree on all min-hashes of one of BANDS bands over their 5-word shingles; two texts of Jaccard
-    similarity J meet in none with probability (1 - J^ROWS)^BANDS, whatever the edits are. Verification: all
-    pairs of a band's texts, tile by tile, by the exact Jaccard similarity of the shingles.
+    similarity J meet in none with probability (1 - J^ROWS)^BANDS, whatever the edits are. Verification: by
+    the exact Jaccard similarity of the shingles, until what pairs of a band's texts connect is connected.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
@@ -232,10 +290,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
     rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, bands array<long>"), "near-prints")
     nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
     met = nodes.select("key", F.explode("bands").alias("band"))
-    met = _tiled(met, ["band"], "key", tile).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    large = written(met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep")).filter(F.col("n") > tile), "large-bands")
+    hot = bool(large.take(1))
+    if hot:
+        few = small_or_merged(large)
+        crowd = written(met.join(few, "band").select("band", "key", "n", "rep"), "near-crowds")
+        met = met.join(few, "band", "left_anti")
+    met = met.groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     # the same texts meet in many bands: once is enough
     met = met.select("keys").filter(F.size("keys") > 1).distinct()
-    met = written(met.select(F.xxhash64("keys").alias("g"), F.explode("keys").alias("key")), "near-tiles")
+    met = met.select(F.xxhash64("keys").alias("g"), F.explode("keys").alias("key"))
+    if hot:
+        met = met.union(_with_first(crowd, tile))
+    met = written(met, "near-tiles")
     ids = written(met.select("key").distinct().join(nodes.select("key", "first"), "key").withColumnRenamed("key", "__key"), "near-ids")
     texts = keyed.join(ids.hint("merge"), (keyed["key"] == ids["__key"]) & keyed["doc_id"].eqNullSafe(ids["first"]), "left_semi")
 
@@ -246,32 +313,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
 
     texts = texts.mapInArrow(tidied(sets), "key long, shingles binary")
     texts = written(texts.dropDuplicates(["key"]), "near-shingles")
-    both = met.hint("merge").join(texts, "key").select("g", "key", "shingles").repartition("g").sortWithinPartitions("g")
-
-    def verify(batches):
-        def links(keys, sets):
-            found = alike([np.frombuffer(s, "<u4") for s in sets], similarity) if len(keys) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([keys[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        now, keys, held = None, [], []
-        for batch in batches:
-            g = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(g)) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
-                if e > s and g[s] != now:
-                    if keys:
-                        yield links(keys, held)
-                    now, keys, held = g[s], [], []
-                keys += batch.column(1)[s:e].to_pylist()
-                held += batch.column(2)[s:e].to_pylist()
-        if keys:
-            yield links(keys, held)
-
-    parts = components(both.mapInArrow(tidied(verify), "a long, b long"))
+    links = written(_verified(met, texts, similarity), "near-links")
+    parts = components(links)
+    if hot:
+        rest = written(_with_rest(crowd, parts, tile), "near-rest")
+        if rest.take(1):
+            parts = components(links.union(_verified(rest, texts, similarity)))
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("all"))
     groups = written(named.join(least, "part").filter("all > 1").select(F.col("key").alias("text_key"), "keep"), "near-groups")
-    discard(rows, nodes, met, ids, texts)
+    discard(rows, nodes, met, ids, texts, links)
     return groups
 
 

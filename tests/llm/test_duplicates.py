@@ -162,6 +162,32 @@ def test_alike_is_all_pairs_in_tiles(spark, tile):
     assert got == {x for x in root if root.count(x) > 1}
 
 
+@pytest.mark.parametrize("tile", [8, 512])
+def test_large_bands_of_chains_and_strangers(spark, tile):
+    """One large band holds a chain of near copies, its branches and texts that only look alike: what pairs connect is connected, and nothing else."""
+    rng = random.Random(52)
+    frame = prose(rng, 100, "f")
+    rows, now = [], list(frame)
+    for i in range(40):  # each differs from the one before by a word; the ends differ by many
+        now[(7 * i) % 100] = f"c{i}"
+        rows.append((i, " ".join(now)))
+    for i in range(40, 80):  # half of the frame, and words of their own
+        rows.append((i, " ".join([*frame[:70], *prose(rng, 60, f"o{i}")])))
+    for i in range(80, 90):  # near copies of one of those
+        w = rows[40 + i % 5][1].split()
+        w[i % 30] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    got = {r.text_key: r.keep for r in simhash.near_copies(spark.createDataFrame(rows, KIND), tile=tile).collect()}
+    root = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    want = {x for x in root if root.count(x) > 1}
+    assert set(got.values()) == want and len(got) == sum(root.count(x) for x in want)
+
+
 def test_alike_compares_what_is_reached_with_all_that_is_not():
     rng = np.random.default_rng(23)
     for _ in range(20):
