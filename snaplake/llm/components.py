@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shared_dir, written
+from .common import discard, shared_dir, small_or_merged, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -19,9 +19,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(_down(links.select("a", "b")).distinct(), "links")
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        # written, so that a hub's links are dealt out by their rows alone and can be split
+        least = written(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "least")
         # large star: neighbours above a node go to its minimum
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.filter("b > a").join(small_or_merged(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = _down(large).distinct()
         # small star: a node and its lower neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -31,7 +32,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # done when every node hangs on one node that hangs on none
         tops = after.groupBy("a").count().filter("count > 1").select("a").union(after.select("b").join(after.select(F.col("a").alias("b")), "b", "left_semi")).limit(1)
         done = not tops.take(1)
-        discard(now)
+        discard(now, least)
         now = after
         if done:
             break
