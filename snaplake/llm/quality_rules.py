@@ -28,7 +28,7 @@ from .words import SPACE, Words, features, grams
 BITS = 16
 SYMBOLS = "#*$%&|<>"
 RUN = 5
-FILTER_BITS = 18
+FILTER_BITS = 20  # a million numbers at most, about 20 MB
 _DROP_SPACE = bytes(np.flatnonzero(SPACE).tolist())
 _SYMBOL_BYTES = SYMBOLS.encode()
 _REST = bytes(i for i in range(256) if i not in _SYMBOL_BYTES)
