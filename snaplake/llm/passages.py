@@ -17,6 +17,11 @@ it); this drops chance meetings, such as those on common lines, before any text
 The windows of a key that have the same surroundings (`_surroundings`) are compared with the first of them, so a
 passage in m documents costs a few m rows, and an earlier window of other surroundings hides none; keys with very many windows are taken out of the shuffle by key.
 
+An earlier document may hold those surroundings and still not the passage, and so hide it from later ones. So a second round
+follows: where a document and a first one part, the runs of a passage's width (and of half of it) that reach over the end of what
+they share are told by their hashes (`edge_grams`), and each meets the first document that told the same run. A run is whole in a document or is not, so
+this hides no passage that repeats word for word.
+
 Defined results: a null text has no words; a very long text is scanned in segments and compared whole; equal minima
 make the middle one an anchor; texts shorter than a passage have none; a null doc_id neither
 gives nor loses passages; rows that share a doc_id are one document, and repeats within one document do
@@ -301,8 +306,8 @@ def chained(x: np.ndarray, y: np.ndarray, at: int, to: int) -> list[tuple[int, i
     return [(at - i - n, to - j - n, n) for i, j, n in reversed(left)] + right
 
 
-def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], width: int, similarity: float) -> list[tuple[int, int, int]]:
-    """The stretches of x (from and to, and from where in y) that hold an anchor and stand in y.
+def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], width: int, similarity: float, equal: list | None = None) -> list[tuple[int, int, int]]:
+    """The stretches of x (from and to, and from where in y) that hold an anchor and stand in y. The equal runs met on the way are added to `equal`.
 
     Anchors in stretches already found add nothing; repetitive texts have thousands of them. So those that lie in none yet come first,
     and the others after them, if something around them is still untold.
@@ -315,6 +320,8 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], width
                 waiting.append((i, j))
             elif not told[max(0, i - width) : i + width].all():
                 for runs in (chained(x, y, i, j), aligned(x, y, i, j, width // 2)):
+                    if equal is not None:
+                        equal += [(s, n) for s, _, n in runs if n >= CONTEXT]
                     for s, e, t in joined(runs, width, similarity):
                         if not told[s:e].all():
                             out.append((s, e, t))
@@ -322,6 +329,21 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], width
     return out
 
 
+def edge_grams(x: np.ndarray, equal: list[tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of `size` shingles of x that share CONTEXT or more with an equal run (place, length) and lie within none."""
+    places = max(len(x) - size + 1, 0)
+    near, within = np.zeros(places, bool), np.zeros(places, bool)
+    for s, n in set(equal):
+        near[max(0, s + CONTEXT - size) : max(0, s + n - CONTEXT + 1)] = True
+        within[s : max(s, s + n - size + 1)] = True
+    at = np.flatnonzero(near & ~within)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    runs = np.lib.stride_tricks.sliding_window_view(x, size)
+    factors = _MIX[0, 1] ** np.arange(1, size + 1, dtype=np.uint64)
+    return at, np.concatenate([mixed(mixed(runs[at[i : i + 4096]]) @ factors) for i in range(0, len(at), 4096)])
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame, hub: int = HUB) -> DataFrame:
     """pairs with at and bt, the texts of a and b. Where more than `hub` pairs name one document its text is sent once for each `hub` of them or so, and they part."""
     out = pairs
@@ -345,6 +367,54 @@ def _with_texts(pairs: DataFrame, texts: DataFrame, hub: int = HUB) -> DataFrame
 SPANS = "doc_id long, start int, n_words int, source_doc_id long, source_start int"
 
 
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, edges: bool) -> DataFrame:
+    """SPANS of pairs (a, b, anchors) whose texts (id, text) agree; with edges also `edge`, null in these rows, and a row for each run that `edge_grams` tells (its place is start)."""
+    both = _with_texts(pairs, texts)
+    schema = SPANS + ", edge long" * edges
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def verify(batches):
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part, rows, told = batch.slice(i, 64), [], []
+                a, b, anchors, at, bt = (part.column(k).to_pylist() for k in range(5))
+                # pairs come sorted by one of their documents: a text that is in many of them is hashed once
+                texts = dict.fromkeys(t or "" for t in [*at, *bt])
+                new = [t for t in texts if t not in known]
+                known = {t: known[t] for t in texts if t in known} | dict(zip(new, shingled(new), strict=True))
+                for d, o, p, t, u in zip(a, b, anchors, at, bt, strict=True):
+                    x, y, equal = known[t or ""], known[u or ""], [] if edges else None
+                    rows += [(d, s, e - s + SHINGLE - 1, o, t) for s, e, t in verified(x, y, list(zip(p[::2], p[1::2], strict=True)), width, similarity, equal)]
+                    if equal:
+                        told += [(d, size, *edge_grams(x, equal, size)) for size in (width, width // 2 + 1)]
+                cols = [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(rows), pa.int64())] * edges], names=names)
+                if told:
+                    n = [len(t[2]) for t in told]
+                    doc, words = (np.repeat(np.array([t[k] for t in told], np.int64), n) for k in (0, 1))
+                    place, edge = (np.concatenate([t[k] for t in told]) for k in (2, 3))
+                    cols = [pa.array(doc), pa.array(place.astype(np.int32)), pa.array((words + SHINGLE - 1).astype(np.int32)), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32()), pa.array(edge.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return both.select("a", "b", "anchors", "at", "bt").mapInArrow(tidied(verify), schema)
+
+
+def hidden(edges: DataFrame, spans: DataFrame) -> DataFrame:
+    """a, b, anchors as of `candidates`: runs (doc_id, start, n_words, edge) that no span of their document holds, each with the first document that told the same one."""
+    told = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__told"))
+    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "start")).alias("__f"), F.max("doc_id").alias("__hi")).filter("__f.doc_id < __hi").select(F.col("edge").alias("__edge"), "__f")
+    # written, so that what is joined is dealt out by its rows alone and a common run can be split
+    first = small_or_merged(written(first, "edge-firsts"))
+    met = edges.join(first, edges["edge"] == first["__edge"]).filter("doc_id > __f.doc_id").select("doc_id", "start", "n_words", "__f")
+    met = met.hint("merge").join(told, met["doc_id"] == told["__id"], "left")
+    met = met.filter("__told is null or not exists(__told, t -> t.start <= start and start + n_words <= t.start + t.n_words)")
+    # one anchor a diagonal: verification goes along it
+    met = met.groupBy(F.col("doc_id").alias("a"), F.col("__f.doc_id").alias("b"), (F.col("start") - F.col("__f.start")).alias("__d")).agg(F.min(F.struct("start", F.col("__f.start").alias("to"))).alias("p"))
+    return met.groupBy("a", "b").agg(F.flatten(F.collect_list(F.array("p.start", "p.to"))).alias("anchors"))
+
+
 def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY, enough: int = ENOUGH) -> DataFrame:
     """Verified passages: doc_id, start (word), n_words, source_doc_id and source_start of the earlier occurrence."""
     width = passage - SHINGLE + 1
@@ -353,26 +423,15 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILAR
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
     texts = written(texts, "candidate-texts")
-    both = _with_texts(pairs, texts)
-
-    def verify(batches):
-        for batch in batches:
-            rows = []
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                a, b, anchors, at, bt = (part.column(k).to_pylist() for k in range(5))
-                left, right = shingled([t or "" for t in at]), shingled([t or "" for t in bt])
-                for d, o, p, x, y in zip(a, b, anchors, left, right, strict=True):
-                    rows += [(d, s, e - s + SHINGLE - 1, o, t) for s, e, t in verified(x, y, list(zip(p[::2], p[1::2], strict=True)), width, similarity)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SPANS.split(", ")])
-
-    spans = both.select("a", "b", "anchors", "at", "bt").mapInArrow(tidied(verify), SPANS)
+    some = written(_verify(pairs, texts, width, similarity, edges=True), "passages-and-edges")
+    spans = some.filter("edge is null").drop("edge")
+    more = written(hidden(some.filter("edge is not null"), spans), "hidden-candidates")
+    if more.take(1):
+        spans = spans.union(_verify(more, texts, width, similarity, edges=False))
     # of several earlier occurrences the first one names the passage
     spans = spans.groupBy("doc_id", "start", "n_words").agg(F.min(F.struct("source_doc_id", "source_start")).alias("s"))
     spans = written(spans.select("doc_id", "start", "n_words", "s.source_doc_id", "s.source_start"), "passages")
-    discard(found, pairs, ids, texts)
+    discard(found, pairs, ids, texts, some, more)
     return spans
 
 

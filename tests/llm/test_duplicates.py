@@ -437,3 +437,23 @@ def test_words_in_another_order_and_many_pairs_nearby(spark):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:140], *w[141:], w[140]]))]
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, KIND)).collect()}
     assert kept == {2 * i for i in range(50)}
+
+
+def test_an_earlier_document_with_most_of_a_passage_hides_it_from_none(spark):
+    """Documents that hold 30 to 49 words of a passage of 50 to 70, alone or together all of it, stand before those that hold it whole; some of these have a word changed."""
+    rng = random.Random(61)
+    rows = []
+    for i in range(60):
+        n = rng.randint(50, 70)
+        p = prose(rng, n, f"h{i}x")
+        m = rng.randint(30, 49)
+        cuts = [rng.randint(0, n - m)] if i % 3 == 0 else [0, n - m]
+        for k, at in enumerate(cuts):
+            rows.append((k * 100 + i, " ".join([*prose(rng, 60, f"a{i}{k}"), *p[at : at + m], *prose(rng, 60, f"b{i}{k}")])))
+        q = list(p)
+        if n >= 58 and i % 3 == 0:
+            q[3] = "edited"
+        rows += [(k + i, " ".join([*prose(rng, 60, f"s{i}{k}"), *w, *prose(rng, 60, f"e{i}{k}")])) for k, w in ((300, p), (400, q))]
+    got = {(r.doc_id, r.source_doc_id): r for r in passages.repeats(spark.createDataFrame(rows, KIND)).collect()}
+    assert set(got) == {(400 + i, 300 + i) for i in range(60)}
+    assert all(r.n_words >= 50 for r in got.values())
