@@ -7,9 +7,10 @@ exact copies cost nothing. A bucket of more than `tile` fingerprints is split at
 pair of tiles is a group of its own, so a group's size is bounded and no pair is left out. A group sends a
 spanning set of its verified pairs, not all of them.
 
-`near_copies` does the same with sets of shingles: texts meet in bands of min-hashes, and pairs are
-verified by their similarity. Texts of a band of up to `tile` meet one another. In a larger one they meet the first text, tile by tile, and then
-only those that this leaves unconnected meet all others, so a group of near copies costs in proportion to its texts. No distance of fingerprints stands for a similarity of shingles where a block of words is added.
+`near_copies` starts from the same fingerprints: texts whose fingerprints are in one component of links meet, and pairs are
+verified by the similarity of their sets of shingles. Where an edit moves more bits than that (no distance of fingerprints
+stands for a similarity of shingles where a block of words is added) texts meet in bands of min-hashes, too. Texts of a component or a band of up to `tile` meet one another. In a larger one they meet the first text, tile by tile, and then
+only those that this leaves unconnected meet all others, so a group of near copies costs in proportion to its texts.
 
 Defined results: a null text has no words; a very long text is hashed shingle by shingle, whole; a bit set in exactly half of
 the hashes is 0; a text without words has fingerprint 0 and links like any other;
@@ -153,13 +154,18 @@ def links(distinct_fps: DataFrame, distance: int, tile: int = TILE) -> DataFrame
     return met.mapInArrow(tidied(verify), "a long, b long").distinct()
 
 
+def _named(once: DataFrame, distance: int, tile: int) -> DataFrame:
+    """once (fp and other columns, a row a fingerprint) with component, the least fingerprint reachable over links."""
+    parts = components(links(once.select("fp"), distance, tile))
+    # what no link reaches is a component of its own
+    return once.join(parts, once["fp"] == parts["node"], "left").select(*once.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def linked(docs: DataFrame, distance: int = 2, size: int = 3, tile: int = TILE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every document."""
     prints = written(fingerprints(docs, size), "fingerprints")
     once = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    parts = components(links(once.select("fp"), distance, tile))
-    # what no link reaches is a component of its own
-    named = once.join(parts, once["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = _named(once, distance, tile)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(named, prints["fp"] == named["__fp"]).select("doc_id", "fp", "component_id")
@@ -266,11 +272,11 @@ def _with_rest(crowd: DataFrame, parts: DataFrame, tile: int) -> DataFrame:
     return one.union(two).distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = SETS) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = SETS, distance: int = 2, size: int = 3) -> DataFrame:
     """text_key (xxhash64 of the text) and keep (the doc_id that stays) for every text that is not the only one of its group.
 
-    Candidates: texts that agree on all min-hashes of one of BANDS bands over their 5-word shingles; two texts of Jaccard
-    similarity J meet in none with probability (1 - J^ROWS)^BANDS, whatever the edits are. Verification: by
+    Candidates: texts whose SimHash fingerprints (as in `linked`) are in one component of links, and, for what fingerprints keep apart, texts
+    that agree on all min-hashes of one of BANDS bands over their 5-word shingles; two texts of Jaccard similarity J meet in none with probability (1 - J^ROWS)^BANDS, whatever the edits are. Verification: by
     the exact Jaccard similarity of the shingles, until what pairs of a band's texts connect is connected.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -285,11 +291,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
     def run(batches):
         for b in batches:
             got = [banded(v).view(np.int64) for v in shingle_sets(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
-
-    rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, bands array<long>"), "near-prints")
-    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
-    met = nodes.select("key", F.explode("bands").alias("band"))
+            fps = [signed(fingerprint(t.as_py(), size)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "bands"])
+
+    rows = written(keyed.mapInArrow(tidied(run), "doc_id long, key long, fp long, bands array<long>"), "near-prints")
+    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
+    prints = written(_named(written(nodes.select("fp").distinct(), "near-fingerprints"), distance, TILE).select(F.col("fp").alias("__fp"), "component"), "near-components")
+    kin = nodes.join(prints.hint("merge"), nodes["fp"] == prints["__fp"]).select("key", F.xxhash64(F.lit("simhash"), "component").alias("band"))
+    # a component of fingerprints is one more group in which texts meet
+    met = meetings = written(kin.union(nodes.select("key", F.explode("bands").alias("band"))), "near-meetings")
     large = written(met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("rep")).filter(F.col("n") > tile), "large-bands")
     hot = bool(large.take(1))
     if hot:
@@ -313,16 +323,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
 
     texts = texts.mapInArrow(tidied(sets), "key long, shingles binary")
     texts = written(texts.dropDuplicates(["key"]), "near-shingles")
-    links = written(_verified(met, texts, similarity), "near-links")
-    parts = components(links)
+    found = written(_verified(met, texts, similarity), "near-links")
+    parts = components(found)
     if hot:
         rest = written(_with_rest(crowd, parts, tile), "near-rest")
         if rest.take(1):
-            parts = components(links.union(_verified(rest, texts, similarity)))
+            parts = components(found.union(_verified(rest, texts, similarity)))
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("all"))
     groups = written(named.join(least, "part").filter("all > 1").select(F.col("key").alias("text_key"), "keep"), "near-groups")
-    discard(rows, nodes, met, ids, texts, links)
+    discard(rows, nodes, prints, meetings, met, ids, texts, found)
     return groups
 
 

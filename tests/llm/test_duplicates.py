@@ -457,3 +457,23 @@ def test_an_earlier_document_with_most_of_a_passage_hides_it_from_none(spark):
     got = {(r.doc_id, r.source_doc_id): r for r in passages.repeats(spark.createDataFrame(rows, KIND)).collect()}
     assert set(got) == {(400 + i, 300 + i) for i in range(60)}
     assert all(r.n_words >= 50 for r in got.values())
+
+
+def test_near_copies_meet_by_their_fingerprints(spark, monkeypatch):
+    """Without a shared band, texts whose fingerprints are linked still meet, and are verified."""
+    rng = random.Random(71)
+    rows, want = [], set()
+    for i in range(12):
+        w = prose(rng, 400, f"m{i}x")
+        text = " ".join(w)
+        rows.append((i, text))
+        for k in range(1, 40):  # one word changed: the first that moves at most two bits
+            e = " ".join([*w[: 9 * k], "edited", *w[9 * k + 1 :]])
+            if (reference(e) ^ reference(text)).bit_count() <= 2:
+                rows.append((100 + i, e))
+                want.add(i)
+                break
+    assert len(want) >= 6
+    monkeypatch.setattr(simhash, "banded", lambda v: np.random.default_rng([len(v), int(v[0]), int(v[-1]), int(v.sum())]).integers(0, 1 << 63, simhash.BANDS, dtype=np.uint64))
+    got = {r.keep for r in simhash.near_copies(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == want
