@@ -83,14 +83,18 @@ def compact_windows(v: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _around(h: np.ndarray, size: int) -> np.ndarray:
-    """Of each place: 16 bits of a hash of the size shingles from it on, and 16 of those up to it; 0: none on that side."""
-    run = grams(h, CONTEXT)
-    if size == FAR:
-        run = mixed(run[:-CONTEXT] * np.uint64(3) + run[CONTEXT:]) if len(run) > CONTEXT else run[:0]
-    side = (run & np.uint64(0xFFFF)).astype(np.uint32) | np.uint32(1)
-    none = np.zeros(min(size - 1, len(h)), np.uint32)
-    return np.concatenate([side, none]) << np.uint32(16) | np.concatenate([none, side])
+def _around(h: np.ndarray) -> list[np.ndarray]:
+    """Of each place, for CONTEXT and for FAR: 16 bits of a hash of that many shingles from it on, and 16 of those up to it; 0: none on that side."""
+    run, size = h, 1
+    while size < CONTEXT:  # CONTEXT is a power of two
+        run, size = run[:-size] * _MIX.flat[size.bit_length()] + run[size:], 2 * size
+    near = mixed(run)
+    out = []
+    for run, size in ((near, CONTEXT), (mixed(near[:-CONTEXT] * np.uint64(3) + near[CONTEXT:]), FAR)):
+        side = (run & np.uint64(0xFFFF)).astype(np.uint32) | np.uint32(1)
+        none = np.zeros(min(size - 1, len(h)), np.uint32)
+        out.append(np.concatenate([side, none]) << np.uint32(16) | np.concatenate([none, side]))
+    return out
 
 
 def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -103,7 +107,7 @@ def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             for (doc, _), h in zip(some, shingled([t for _, t in some]), strict=True):
                 if doc is None or len(h) < width:
                     continue
-                around, beyond = _around(h, CONTEXT), _around(h, FAR)
+                around, beyond = _around(h)
                 for i in range(HASHES):
                     v = (h ^ _MIX[i, 0]) * _MIX[i, 1]
                     found = np.array(compact_windows(v, width), dtype=np.int32)
@@ -313,13 +317,17 @@ def verified(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], width
     and the others after them, if something around them is still untold.
     """
     told, out, waiting = np.zeros(len(x), bool), [], []
+    ran: dict[int, list[tuple[int, int]]] = {}  # runs of chains, by diagonal: an anchor in one of them has the same chain
     anchors = [(i, j) for i, j in anchors if i < len(x) and j < len(y)]
     for again, some in ((False, anchors), (True, waiting)):
         for i, j in some:
             if told[i] and not again:
                 waiting.append((i, j))
             elif not told[max(0, i - width) : i + width].all():
-                for runs in (chained(x, y, i, j), aligned(x, y, i, j, width // 2)):
+                chain = [] if any(s <= i < e for s, e in ran.get(i - j, ())) else chained(x, y, i, j)
+                for s, t, n in chain:
+                    ran.setdefault(s - t, []).append((s, s + n))
+                for runs in (chain, aligned(x, y, i, j, width // 2)):
                     if equal is not None:
                         equal += [(s, n) for s, _, n in runs if n >= CONTEXT]
                     for s, e, t in joined(runs, width, similarity):
@@ -403,16 +411,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, e
 
 def hidden(edges: DataFrame, spans: DataFrame) -> DataFrame:
     """a, b, anchors as of `candidates`: runs (doc_id, start, n_words, edge) that no span of their document holds, each with the first document that told the same one."""
-    told = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__told"))
-    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "start")).alias("__f"), F.max("doc_id").alias("__hi")).filter("__f.doc_id < __hi").select(F.col("edge").alias("__edge"), "__f")
+    shared = edges.groupBy("edge").agg(F.min("doc_id").alias("__lo"), F.max("doc_id").alias("__hi")).filter("__lo < __hi").select(F.col("edge").alias("__edge"), "__lo")
     # written, so that what is joined is dealt out by its rows alone and a common run can be split
-    first = small_or_merged(written(first, "edge-firsts"))
-    met = edges.join(first, edges["edge"] == first["__edge"]).filter("doc_id > __f.doc_id").select("doc_id", "start", "n_words", "__f")
-    met = met.hint("merge").join(told, met["doc_id"] == told["__id"], "left")
-    met = met.filter("__told is null or not exists(__told, t -> t.start <= start and start + n_words <= t.start + t.n_words)")
+    shared = small_or_merged(written(shared, "shared-edges"))
+    met = written(edges.join(shared, edges["edge"] == shared["__edge"]).select("doc_id", "start", "n_words", "edge", F.col("__lo").alias("lo")), "edges-met")
+    told = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__told"))
+    later = met.filter("doc_id > lo").hint("merge").join(told, F.col("doc_id") == told["__id"], "left")
+    later = later.filter("__told is null or not exists(__told, t -> t.start <= start and start + n_words <= t.start + t.n_words)").select("doc_id", "start", "edge", "lo")
+    first = met.filter("doc_id = lo").groupBy(F.col("edge").alias("__edge")).agg(F.min("start").alias("to"))
+    later = later.hint("merge").join(first, F.col("edge") == first["__edge"])
     # one anchor a diagonal: verification goes along it
-    met = met.groupBy(F.col("doc_id").alias("a"), F.col("__f.doc_id").alias("b"), (F.col("start") - F.col("__f.start")).alias("__d")).agg(F.min(F.struct("start", F.col("__f.start").alias("to"))).alias("p"))
-    return met.groupBy("a", "b").agg(F.flatten(F.collect_list(F.array("p.start", "p.to"))).alias("anchors"))
+    later = later.groupBy(F.col("doc_id").alias("a"), F.col("lo").alias("b"), (F.col("start") - F.col("to")).alias("__d")).agg(F.min("start").alias("start"))
+    return later.groupBy("a", "b").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("start"), (F.col("start") - F.col("__d")).cast("int"))))).alias("anchors"))
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY, enough: int = ENOUGH) -> DataFrame:

@@ -477,3 +477,18 @@ def test_near_copies_meet_by_their_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "banded", lambda v: np.random.default_rng([len(v), int(v[0]), int(v[-1]), int(v.sum())]).integers(0, 1 << 63, simhash.BANDS, dtype=np.uint64))
     got = {r.keep for r in simhash.near_copies(spark.createDataFrame(rows, KIND)).collect()}
     assert got == want
+
+
+def test_anchors_of_one_chain_are_chained_once(monkeypatch):
+    """A long pair that is alike in places only: work in proportion to its length, not to its length times its anchors."""
+    rng = np.random.default_rng(81)
+    x = rng.integers(1, 1 << 60, 4000).astype(np.uint64)
+    y, anchors = x.copy(), []
+    for at in range(0, 4000, 40):  # 25 shingles in 40 are the same
+        y[at + 25 : at + 40] = rng.integers(1, 1 << 60, 15)
+        anchors.append((at + 12, at + 12))
+    y[2000:2060] = x[2000:2060]
+    calls, chained = [], passages.chained
+    monkeypatch.setattr(passages, "chained", lambda *a: calls.append(a) or chained(*a))
+    got = passages.verified(x, y, anchors, 46, 0.8)
+    assert len(calls) <= 3 and any(s <= 2000 and e >= 2060 for s, e, _ in got)
