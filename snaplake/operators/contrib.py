@@ -24,16 +24,21 @@ def commits_between(commits: DataFrame, since: str, until: str) -> DataFrame:
     return line.join(F.broadcast(opens), F.col("place") > F.col("__opens")).drop("__opens")  # one row
 
 
-def commit_list(commits: DataFrame, wanted: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """sha, line and n of the wanted commits. A line has the date, generation number (place among all commits of the range, counted before filtering), time, short sha. commits: sha, ts, place, and mainline where a range is asked for."""
+def commit_list(commits: DataFrame, wanted: DataFrame, since: str | None = None, until: str | None = None, digits: int | None = None) -> DataFrame:
+    """sha, line and n of the wanted commits. A line has the date, generation number (place among all commits of the range, counted before filtering), time, short sha. commits: sha, ts, place, and mainline where a range is asked for.
+
+    The number has five digits or as many as it needs; with digits it has that many in the line, a longer one its first ones, as SQL's lpad gives it.
+    """
     if since and until:
         commits, order = commits_between(commits, since, until), ["place"]
         grains = [F.floor(F.col("place") / 65536)]
     else:
         order, grains = ["ts", "place"], [F.date_format("ts", "yyyyMM"), F.date_format("ts", "yyyyMMddHH")]
     numbered = with_prefix(commits.withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0)), ["__all"], order, "__one", "__before", *grains)
-    line = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.format_string("%05d", F.col("__before") + 1), F.lit("T"), F.date_format("ts", "HHmmss"), F.lit("-"), F.substring("sha", 1, 15))
-    return numbered.join(wanted.select("sha"), "sha", "left_semi").select("sha", line.alias("line"), (F.col("__before") + 1).alias("n"))
+    number = F.col("__before") + 1
+    shown = F.format_string("%05d", number) if digits is None else F.lpad(number.cast("string"), digits, "0")
+    line = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), shown, F.lit("T"), F.date_format("ts", "HHmmss"), F.lit("-"), F.substring("sha", 1, 15))
+    return numbered.join(wanted.select("sha"), "sha", "left_semi").select("sha", line.alias("line"), number.alias("n"))
 
 
 def _beginnings(text: str) -> list[Column]:
