@@ -47,19 +47,66 @@ def greedy_partition(sizes: Column, n) -> Column:
     """Group number of each item of an array: at most n runs of neighbours, each but the last at most total div n; an item above that bound goes to the last run."""
     count = F.greatest(F.least(F.lit(n), F.size(sizes)), F.lit(1))
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
-    bound = F.floor(total / count).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("load"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
+    # what stays the same is told once, and of the runs only where they start: a step costs the same however long the array is
+    start = F.struct(
+        F.lit(0).cast("long").alias("load"), F.lit(0).alias("part"), F.lit(0).alias("at"), F.floor(total / count).cast("long").alias("bound"), (count - 1).alias("last"), F.array().cast("array<int>").alias("starts")
+    )
 
     def step(s, x):
-        fits = s["load"] + x <= bound
-        last = s["part"] >= count - 1
-        part = F.when(last | fits, s["part"]).when(x <= bound, s["part"] + 1).otherwise(count - 1)
-        load = F.when(fits | last, s["load"] + x).otherwise(x)
-        return F.struct(load.alias("load"), part.cast("int").alias("part"), F.concat(s["parts"], F.array(part.cast("int"))).alias("parts"))
-
-    raw = F.aggregate(sizes, start, step)["parts"]
-    names = F.array_sort(F.array_distinct(raw))
-    return F.transform(raw, lambda p: (F.array_position(names, p) - 1).cast("int"))
+        stays = (s["part"] >= s["last"]) | (s["load"] + x <= s["bound"])
+        part = F.when(stays, s["part"]).when(x <= s["bound"], s["part"] + 1).otherwise(s["last"])
+        load = F.when(stays, s["load"] + x).otherwise(x)
+        starts = F.when(stays | (s["at"] == 0), s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"])))
+        return F.struct(load.alias("load"), part.cast("int").alias("part"), (s["at"] + 1).alias("at"), s["bound"].alias("bound"), s["last"].alias("last"), starts.alias("starts"))
+
+    def parts(starts):
+        runs = F.arrays_zip(F.concat(F.array(F.lit(0)), starts).alias("a"), F.concat(starts, F.array(F.size(sizes))).alias("b"))
+        return F.flatten(F.transform(runs, lambda r, k: F.array_repeat(k, r["b"] - r["a"])))
+
+    return F.transform(F.array(F.aggregate(sizes, start, step)["starts"]), parts)[0]
+
+
+def run_starts(sizes: np.ndarray, counts: np.ndarray, n: int, unknown: int = 0) -> list[int]:
+    """Places of the items that start a run of the partition, from a histogram of ascending sizes; items of unknown size come after all others and go to the last run."""
+    ends, places = np.cumsum(sizes * counts), np.cumsum(counts)
+    known, total = (int(places[-1]), int(ends[-1])) if len(ends) else (0, 0)
+    parts = max(min(n, known + unknown), 1)
+    bound, starts, load = total // parts, [0], 0
+    while len(starts) < parts:
+        j = int(np.searchsorted(ends, load + bound, side="right"))
+        if j == len(ends):
+            starts += [known] * bool(known and unknown)
+            break
+        before, place = (int(ends[j - 1]), int(places[j - 1])) if j else (0, 0)
+        more = (load + bound - before) // int(sizes[j])
+        if place + more <= starts[-1]:
+            break  # the next item is above the bound: the rest is one run
+        starts.append(place + more)
+        load = before + more * int(sizes[j])
+    return starts
+
+
+#: Items that one row of item_runs' runs stands for, at most.
+RUN_ROWS = 1 << 16
+
+
+def item_runs(items: DataFrame, group: str, size: str, n: int) -> DataFrame:
+    """group, i, part: the partition of each group's items, smaller ones first and those of unknown size last; i is an item's place, from 1.
+
+    Places and runs depend on how many items have each size and on nothing else: that histogram is walked in one task a group
+    (its rows are distinct sizes), and each item's row is made from the runs, a stretch of RUN_ROWS at a time.
+    """
+    sizes = items.groupBy(group, F.col(size).cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+    def walk(h: pd.DataFrame) -> pd.DataFrame:
+        told = h[h["size"].notna()].sort_values("size")
+        starts = run_starts(told["size"].to_numpy(np.int64), told["n"].to_numpy(np.int64), n, int(h["n"].sum() - told["n"].sum()))
+        ends = [*starts[1:], int(h["n"].sum())]
+        rows = [(h[group].iloc[0], k, at + 1, min(at + RUN_ROWS, b)) for k, (a, b) in enumerate(zip(starts, ends, strict=True)) for at in range(a, b, RUN_ROWS)]
+        return pd.DataFrame(rows, columns=[group, "part", "first", "last"])
+
+    runs = sizes.groupBy(group).applyInPandas(walk, f"`{group}` {items.schema[group].dataType.simpleString()}, part int, first int, last int")
+    return runs.repartition(group, "first").select(group, F.explode(F.sequence("first", "last")).alias("i"), "part")
 
 
 def run_ends(sizes: np.ndarray, counts: np.ndarray, n: int) -> list[int]:
