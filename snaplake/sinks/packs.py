@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import struct
@@ -22,12 +23,43 @@ def compressor(level: int, size: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(level, window_log=window, enable_ldm=True))
 
 
-def write_frames(objects: DataFrame, folder: str, level: int = COMPRESSION_LEVEL, most: int = 1 << WINDOW_LOG) -> DataFrame:
-    """objects: frame, offset, size, checksum, content. Writes folder/frame-<n>.zst and tells each frame's sizes. Contents are checked against their checksums. most: bytes of the largest frame, if known to be few."""
+def placed_contents(contents: DataFrame, starts: list[tuple[int, int, str]]) -> DataFrame:
+    """The contents (one binary column, equal ones among them) as packed objects for write_frames. starts: frame, size and checksum of each frame's first object.
+
+    A layout is in order of size and checksum, so a content alone tells its frame: nothing is joined or sorted before the
+    frames are made. A task tells a content once, compressed by itself.
+    """
+    starts = sorted(starts)
+    firsts = [(size, checksum) for _, size, checksum in starts]
+
+    def place(batches):
+        z, seen = zstandard.ZstdCompressor(), set()
+        for batch in batches:
+            out = [], [], [], []
+            for content in batch.column(0):
+                data = content.as_py()
+                checksum = hashlib.sha1(data)
+                if checksum.digest() not in seen:
+                    seen.add(checksum.digest())
+                    at = bisect.bisect_right(firsts, (len(data), checksum.hexdigest())) - 1
+                    for column, value in zip(out, (starts[at][0], len(data), checksum.hexdigest(), z.compress(data)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["frame", "offset", "checksum", "content"])
+
+    # sizes stand for offsets: they have the same order
+    return contents.mapInArrow(place, "frame int, offset long, checksum string, content binary")
+
+
+def write_frames(objects: DataFrame, folder: str, level: int = COMPRESSION_LEVEL, most: int = 1 << WINDOW_LOG, packed: bool = False) -> DataFrame:
+    """objects: frame, offset, size, checksum, content. Writes folder/frame-<n>.zst and tells each frame's sizes. Contents are checked against their checksums. most: bytes of the largest frame, if known to be few.
+
+    An object that is told again is written once. packed: contents are compressed one by one (placed_contents).
+    """
     sized = objects.select("frame", "offset", "checksum", "content")
 
     def write(batches):
-        now, out, z, total, stored = None, None, None, 0, 0
+        now, last, out, z, total, stored = None, None, None, None, 0, 0
+        unpack = zstandard.ZstdDecompressor().decompress if packed else bytes
         kind = pa.schema([("frame", pa.int32()), ("frame_size", pa.int64()), ("decompressed_size", pa.int64()), ("path", pa.string()), ("start", pa.int64())])
 
         def finish():
@@ -43,9 +75,11 @@ def write_frames(objects: DataFrame, folder: str, level: int = COMPRESSION_LEVEL
                 if frame != now:
                     if now is not None:
                         yield finish()
-                    now, total, stored = frame, 0, 0
+                    now, last, total, stored = frame, None, 0, 0
                     out, z = Writer(f"{folder}/frame-{frame:06d}.zst"), compressor(level, most).compressobj()
-                data = content.as_py()
+                if checksum == last:
+                    continue
+                last, data = checksum, unpack(content.as_py())
                 if hashlib.sha1(data).hexdigest() != checksum:
                     raise CorruptPack(f"object {checksum} is damaged")
                 some = z.compress(data)

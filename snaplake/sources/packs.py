@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import struct
 import time
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +21,8 @@ from ..files import file_system
 from ..model import SKIPPABLE_MAGIC, WINDOW_LOG_MAX, CorruptPack
 
 CHUNK = 1 << 20
+#: Bytes of a row of a frame's data: Spark gathers a thousand rows and more before it hands them on.
+ROW = 1 << 16
 
 
 def _decompressor() -> zstandard.ZstdDecompressor:
@@ -76,7 +81,7 @@ class PackReader(DataSourceReader):
         with where.open_input_file(path) as f:
             f.seek(partition.start)
             with _decompressor().stream_reader(_Part(f, partition.size), closefd=False) as r:
-                while data := r.read(CHUNK):
+                while data := r.read(ROW):
                     yield partition.value, at, data
                     at += len(data)
 
@@ -101,6 +106,61 @@ def pack_frames(spark: SparkSession, path: str, frames: list[int] | None = None)
     return (reader.option("frames", json.dumps(frames)) if frames is not None else reader).load()
 
 
+def write_spots(index: DataFrame, to: str) -> None:
+    """index: frame, local_offset, size, checksum. A folder a frame, whose files by name have its objects in order of local_offset; those of no bytes are left out."""
+    spots = index.filter("size > 0").select("frame", "local_offset", "size", "checksum")
+    spots.repartitionByRange("frame", "local_offset").sortWithinPartitions("frame", "local_offset").write.partitionBy("frame").parquet(to)
+
+
+def _spots(to: str, frame: int) -> Iterator[tuple[int, int, str]]:
+    where, path = file_system(f"{to}/frame={frame}")
+    for info in sorted(where.get_file_info(fs.FileSelector(path, allow_not_found=True)), key=lambda i: i.base_name):
+        if info.base_name.endswith(".parquet"):
+            with where.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(4096, columns=["local_offset", "size", "checksum"]):
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def cut_objects(chunks: Iterator[tuple[int, int, bytes]], to: str) -> Iterator[tuple[str, int, bool]]:
+    """checksum, size and whether the bytes are its own, of each object in write_spots' folder, from the data of frames (frame, at, data): whole frames, each forward. One object is held at a time."""
+    now, spots, spot, held, start, end = None, iter(()), None, bytearray(), 0, 0
+
+    def rest():
+        if spot is not None:
+            yield spot[2], spot[1], False
+        yield from ((checksum, size, False) for _, size, checksum in spots)
+
+    for frame, at, data in chunks:
+        if frame != now:
+            yield from rest()
+            now, spots, start, end = frame, _spots(to, frame), 0, 0
+            held.clear()
+            spot = next(spots, None)
+        if at != end:
+            raise CorruptPack(f"frame {frame}: data at {at} after {end} bytes")
+        held += data
+        end += len(data)
+        while spot is not None and spot[0] + spot[1] <= end:
+            done = spot[0] - start
+            own = bytes(held[done : done + spot[1]])
+            yield spot[2], spot[1], hashlib.sha1(own).hexdigest() == spot[2]
+            spot = next(spots, None)
+        if (gone := min(end, spot[0] if spot else end) - start) > 0:
+            del held[:gone]
+            start += gone
+    yield from rest()
+
+
+CUT = "checksum string, size long, whole boolean"
+
+
+def cut_batches(chunks: Iterator[tuple[int, int, bytes]], to: str) -> Iterator[pa.RecordBatch]:
+    """cut_objects in batches with the columns of CUT."""
+    rows = cut_objects(chunks, to)
+    while some := list(itertools.islice(rows, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["checksum", "size", "whole"])
+
+
 def read_objects(index: DataFrame, frames: DataFrame, verify: bool = True) -> DataFrame:
     """checksum, size, content of the objects in index (frame, local_offset, size, checksum) from frames (frame, path, start).
 

@@ -72,3 +72,25 @@ def test_greedy_partition_of_odd_documents(spark, tmp_path):
     duckdb.connect().execute(f"copy (select * from (values {rows}) v(doc_id, source, n_chars)) to '{tmp_path}/documents.parquet'")
     got, want = both(spark, str(tmp_path), "greedy_partition", "documents")
     assert got == want and len(got) == 12
+
+
+PACK_QUERIES = ["scan_pack_legacy"]
+
+
+@pytest.mark.parametrize("name", PACK_QUERIES)
+def test_contents_of_packs_are_shuffled_once(spark, tmp_path, name):
+    """With the contents shuffled for their checksums, their frames and their chunks it was more than four times the text."""
+    text = "string_agg(substr(md5(doc || ':' || k), 1, 31), ' ' order by k)"
+    docs = f"select doc as doc_id, {text} as text, 'en' as lang, 's' || doc % 3 as source from range(200) a(doc), range(600) b(k) group by doc"
+    odd = "select 200, '', 'en', 's0' union all select 201, null, 'en', 's0' union all select 202, text, lang, source from docs where doc_id = 7"
+    duckdb.connect().execute(f"copy (with docs as ({docs}) from docs union all {odd}) to '{tmp_path}/documents.parquet'")
+    status = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        status.listenerBus().waitUntilEmpty(30_000)
+        return status.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got, want = both(spark, str(tmp_path), name, "documents")
+    assert got == want and len(got) > 300
+    assert shuffled() - before < 2 * 200 * 600 * 32

@@ -139,3 +139,37 @@ def test_streaming_log(spark, tmp_path):
     q = churn(changes_stream(spark, src)).writeStream.format("memory").queryName("churn").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("churn").count() == 3
+
+
+def test_objects_are_cut_out_of_frames(spark, tmp_path):
+    """Objects across chunks, damaged ones and ones that are not there, in two frames."""
+    from snaplake.sources.packs import cut_objects, write_spots
+
+    rows = objects(spark).withColumn("local_offset", F.col("offset") - F.when(F.col("frame") == 1, 81).otherwise(0))
+    to = f"file://{tmp_path}/spots"
+    write_spots(rows, to)
+    names = {(r.frame, r.local_offset): r.checksum for r in rows.filter("size > 0").collect()}
+
+    def chunks(frame, data, n):
+        return [(frame, at, data[at : at + n]) for at in range(0, len(data), n)]
+
+    first, second = b"a" + b"bb" * 40, b"c" * 3000 + b"d" * 3000
+    for n in (1, 7, 81, 10_000):
+        got = {checksum: whole for checksum, _, whole in cut_objects(iter(chunks(0, first, n) + chunks(1, second, n)), to)}
+        assert got == dict.fromkeys(names.values(), True)
+    got = {checksum: whole for checksum, _, whole in cut_objects(iter(chunks(1, second[:2999] + b"x" + second[3000:5000], 100)), to)}
+    assert got == {names[1, 0]: False, names[1, 3000]: False}
+
+
+def test_contents_find_their_frames_and_are_written_once(spark, tmp_path):
+    from snaplake.sinks.packs import placed_contents
+
+    rows = objects(spark)
+    firsts = [(r.frame, r.size, r.checksum) for r in rows.filter("offset in (0, 81) and (size = 0 or frame = 1)").collect()]
+    twice = rows.select("content").union(rows.select("content"))
+    made = write_frames(placed_contents(twice, firsts), f"file://{tmp_path}/data", packed=True).collect()
+    assert sorted((r.frame, r.decompressed_size) for r in made) == [(0, 81), (1, 6000)]
+    for frame, data in ((0, rows.filter("frame = 0")), (1, rows.filter("frame = 1"))):
+        path = next(r.path for r in made if r.frame == frame).removeprefix("file://")
+        with open(path, "rb") as f:
+            assert zstandard.ZstdDecompressor(max_window_size=1 << 30).stream_reader(f).read() == b"".join(bytes(r.content) for r in data.orderBy("size", "checksum").collect())
