@@ -74,7 +74,7 @@ def test_greedy_partition_of_odd_documents(spark, tmp_path):
     assert got == want and len(got) == 12
 
 
-PACK_QUERIES = ["scan_pack_legacy", "compress_frame"]
+PACK_QUERIES = ["scan_pack_legacy", "compress_frame", "scan_pack_frames"]
 
 
 @pytest.mark.parametrize("name", PACK_QUERIES)
