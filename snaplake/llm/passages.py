@@ -36,7 +36,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, small_or_merged, tidied, written
@@ -83,17 +83,65 @@ def compact_windows(v: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _around(h: np.ndarray) -> list[np.ndarray]:
-    """Of each place, for CONTEXT and for FAR: 16 bits of a hash of that many shingles from it on, and 16 of those up to it; 0: none on that side."""
+def _sliding(v: np.ndarray, width: int, least_or_most) -> np.ndarray:
+    """The least (or most) of each `width` values in a row, by ever wider pieces."""
+    size = 1
+    while 2 * size <= width:
+        v, size = least_or_most(v[:-size], v[size:]), 2 * size
+    return least_or_most(v[: len(v) - (width - size)], v[width - size :]) if size < width else v
+
+
+def compact_windows_of_all(v: np.ndarray, from_: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Which part, and (l, c, r) within it, of the compact windows of all parts of v, which start at from_: v is zero at both ends and between parts, and only there.
+
+    The windows' anchors are the least values of `width` in a row; each reaches to the nearest lower ones, which are anchors too. Of equal values the first one
+    parts a stretch, as in `compact_windows`; stretches where that would take a middle one go through it.
+    """
+    if len(v) < width:
+        return (np.zeros(0, np.int64),) * 4
+    none = np.zeros(width - 1, v.dtype)
+    at = np.flatnonzero(_sliding(np.concatenate([none, _sliding(v, width, np.minimum), none]), width, np.maximum) == v)
+    w, mine = v[at], np.flatnonzero(v[at])
+    left, right = np.arange(len(at)) - 1, np.arange(len(at)) + 1
+    for side in (left, right):
+        todo = mine
+        while len(todo := todo[w[side[todo]] >= w[todo]]):
+            side[todo] = side[side[todo]]
+    # equal values with the same lower one before them stand in one stretch
+    order = mine[np.argsort(left[mine], kind="stable")]
+    same = np.flatnonzero((left[order[1:]] == left[order[:-1]]) & (w[order[1:]] == w[order[:-1]]))
+    tied = order[same + 1]
+    wide = tied[at[right[tied]] - at[left[tied]] - 1 > 512]
+    inside, again, end = np.zeros(len(at) + 1, np.int8), [], 0
+    for a, b in sorted({(a, -b) for a, b in zip(left[wide].tolist(), right[wide].tolist(), strict=True)}):
+        if a >= end:  # in no stretch that is done already
+            end = -b
+            again.append((a, end))
+            inside[a + 1] += 1
+            inside[end] -= 1
+    left[tied] = order[same]
+    l, r = left[mine], right[mine]
+    keep = (at[r] - at[l] - 1 >= width) & (np.cumsum(inside[:-1])[mine] == 0)
+    out = [(at[l[keep]] + 1, at[mine[keep]], at[r[keep]] - 1)]
+    for a, b in again:
+        found = np.array(compact_windows(v[at[a] + 1 : at[b]], width), np.int64).reshape(-1, 3)
+        out.append(tuple(found.T + at[a] + 1))
+    l, c, r = (np.concatenate(x) for x in zip(*out, strict=True))
+    which = np.searchsorted(from_, c, side="right") - 1
+    return which, l - from_[which], c - from_[which], r - from_[which]
+
+
+def _around(h: np.ndarray, at: np.ndarray, from_: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+    """Of places `at` in parts h[from_:to], for CONTEXT and for FAR: 16 bits of a hash of that many shingles from it on, and 16 of those up to it; 0: none on that side."""
     run, size = h, 1
     while size < CONTEXT:  # CONTEXT is a power of two
         run, size = run[:-size] * _MIX.flat[size.bit_length()] + run[size:], 2 * size
     near = mixed(run)
     out = []
     for run, size in ((near, CONTEXT), (mixed(near[:-CONTEXT] * np.uint64(3) + near[CONTEXT:]), FAR)):
-        side = (run & np.uint64(0xFFFF)).astype(np.uint32) | np.uint32(1)
-        none = np.zeros(min(size - 1, len(h)), np.uint32)
-        out.append(np.concatenate([side, none]) << np.uint32(16) | np.concatenate([none, side]))
+        side = np.append((run & np.uint64(0xFFFF)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+        ahead, back = (side[np.where(has, place, len(side) - 1)] for has, place in ((at + size <= to, at), (at - size + 1 >= from_, at - size + 1)))
+        out.append(ahead << np.uint32(16) | back)
     return out
 
 
@@ -103,27 +151,26 @@ def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     def run(batches):
         for some in slices(batches):
-            d, key, ctx, far, lcr = [], [], [], [], []
-            for (doc, _), h in zip(some, shingled([t for _, t in some]), strict=True):
-                if doc is None or len(h) < width:
-                    continue
-                around, beyond = _around(h)
-                for i in range(HASHES):
-                    v = (h ^ _MIX[i, 0]) * _MIX[i, 1]
-                    found = np.array(compact_windows(v, width), dtype=np.int32)
-                    lcr.append(found)
-                    key.append((v[found[:, 1]] & np.uint64(2**64 - 4)) | np.uint64(i))
-                    ctx.append(around[found[:, 1]])
-                    far.append(beyond[found[:, 1]])
-                    d.append((doc, len(found)))
-            if not d:
-                continue
-            n = [x for _, x in d]
-            all_ = np.concatenate(lcr)
-            ids = np.repeat(np.array([x for x, _ in d], dtype=np.int64), n)
-            cols = [ids, np.concatenate(key).view(np.int64), np.concatenate(ctx).view(np.int32), np.concatenate(far).view(np.int32), all_[:, 0].copy(), all_[:, 1].copy(), all_[:, 2].copy()]
-            for at in range(0, len(ids), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in cols], names=["doc_id", "key", "ctx", "far", "l", "c", "r"])
+            some = [(doc, t) for doc, t in some if doc is not None]
+            words = Words([t.encode().lower() for _, t in some])
+            # the places of all texts in one row: runs of words that reach into the next text are zeros between them
+            h = np.pad(grams(words.hashes, SHINGLE), 1)
+            from_, to = words.from_ + 1, np.maximum(words.from_, words.to - SHINGLE + 1) + 1
+            inside = np.zeros(len(h) + SHINGLE, np.int8)
+            np.add.at(inside, from_, 1)
+            np.add.at(inside, to, -1)
+            between = np.cumsum(inside[: len(h)]) == 0
+            docs_ = np.array([doc for doc, _ in some], dtype=np.int64)
+            cols = []
+            for i in range(HASHES):
+                v = np.maximum((h ^ _MIX[i, 0]) * _MIX[i, 1], np.uint64(1))
+                v[between] = 0
+                which, l, c, r = compact_windows_of_all(v, from_, width)
+                at = c + from_[which]
+                key = (v[at] & np.uint64(2**64 - 4)) | np.uint64(i)
+                ctx, far = _around(h, at, from_[which], to[which]) if len(at) else (np.zeros(0, np.uint32),) * 2
+                cols.append([docs_[which], key.view(np.int64), ctx.view(np.int32), far.view(np.int32), *[x.astype(np.int32) for x in (l, c, r)]])
+            yield from _batches([np.concatenate(c) for c in zip(*cols, strict=True)])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, key long, ctx int, far int, l int, c int, r int")
 
@@ -138,28 +185,69 @@ def _surroundings() -> list[Column]:
     return [*sides, F.when(sides[0].isNotNull() & sides[1].isNotNull(), F.col("ctx"))]
 
 
+def _firsts(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (doc_id, key, ctx, far, l, c, r; in order of whole keys) with b, bc as of `with_first`."""
+    starts = np.flatnonzero(np.concatenate([[True], cols[1][1:] != cols[1][:-1]]))
+    n = np.diff(np.append(starts, len(cols[1])))
+    # most keys are of one document
+    keep = np.repeat(np.minimum.reduceat(cols[0], starts) < np.maximum.reduceat(cols[0], starts), n)
+    group = np.repeat(np.arange(len(starts), dtype=np.uint64), n)[keep] << np.uint64(32)
+    cols = [v[keep] for v in cols]
+    order = np.lexsort((cols[5], cols[0]))
+    cols, group = [v[order] for v in cols], group[order]
+    doc, _, ctx, far, _, c, _ = cols
+    place = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (c[1:] != c[:-1])])[: len(doc)])  # equal for equal (doc_id, c)
+    ctx, far = ctx.view(np.uint32), far.view(np.uint32)
+    low, both = np.uint32(0xFFFF), (ctx >> np.uint32(16) > 0) & (ctx & np.uint32(0xFFFF) > 0)
+    met = []
+    for kind in (ctx >> np.uint32(16), ctx & low, far >> np.uint32(16), far & low, np.where(both, ctx, np.uint32(0))):
+        rows = np.flatnonzero(kind)
+        _, first, of = np.unique(group[rows] | kind[rows], return_index=True, return_inverse=True)
+        first = rows[first][of]
+        later = doc[first] < doc[rows]
+        met.append((rows[later] << 32) | place[first[later]])
+    met = np.unique(np.concatenate(met))
+    first = np.searchsorted(place, met & 0xFFFFFFFF)
+    return [*(v[met >> 32] for v in cols), doc[first], c[first]]
+
+
+def _with_firsts(batches):
+    """`_firsts` of batches in order of their keys; a key's rows wait for its end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if held[0].column(1)[0] == batch.column(1)[batch.num_rows - 1]:
+            continue
+        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(7)]
+        end = int(np.searchsorted(cols[1], cols[1][-1]))
+        yield from _batches(_firsts([v[:end] for v in cols]))
+        held = [pa.RecordBatch.from_arrays([pa.array(v[end:]) for v in cols], names=batch.schema.names)]
+    if held:
+        yield from _batches(_firsts([np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(7)]))
+
+
+def _batches(cols: list[np.ndarray]):
+    for at in range(0, len(cols[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 50_000]) for v in cols], names=["doc_id", "key", "ctx", "far", "l", "c", "r", "b", "bc"][: len(cols)])
+
+
 def with_first(found: DataFrame, hot: int = HOT) -> DataFrame:
     """found with b, bc: the first windows (by document) of each window's key that have the same surroundings, a row for each, for those of later documents.
 
-    Rows of a key meet in a window function. Keys of more than about `hot` rows, told by counting the windows
+    Rows of a key meet in one task, sorted by key. Keys of more than about `hot` rows, told by counting the windows
     of one document in 64 (which only chooses the plan), do not: the first windows of their surroundings are
     found by partial sums, written, and joined back, by broadcast if they are few and else by a join that Spark may split.
     """
     seen = found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).groupBy("key").count().filter(F.col("count") > hot // 64)
     seen = written(seen.select("key"), "hot-keys")
     first = F.struct("doc_id", "c")
-    inside = Window.partitionBy("key")
     any_hot = bool(seen.take(1))
     seen = small_or_merged(seen)
-    kinds = [f"__s{i}" for i in range(len(_surroundings()))]
     cold = found.join(seen, "key", "left_anti") if any_hot else found
-    # most keys are of one document; the windows below keep the partitions by key
-    cold = cold.withColumn("__lo", F.min("doc_id").over(inside)).withColumn("__hi", F.max("doc_id").over(inside)).filter("__lo < __hi")
-    cold = cold.withColumns(dict(zip(kinds, _surroundings(), strict=True)))
-    for k in kinds:
-        cold = cold.withColumn(k, F.when(F.col(k).isNotNull(), F.min(first).over(Window.partitionBy("key", k))))
-    mine = F.col("doc_id")
-    cold = cold.withColumn("__f", F.explode(F.array_distinct(F.filter(F.array(*kinds), lambda f: f.isNotNull() & (f["doc_id"] < mine)))))
+    cold = cold.select("doc_id", "key", "ctx", "far", "l", "c", "r").repartition("key").sortWithinPartitions("key")
+    cold = cold.mapInArrow(tidied(_with_firsts), "doc_id long, key long, ctx int, far int, l int, c int, r int, b long, bc int")
     if any_hot:
         some = found.join(seen, "key", "left_semi")
         some = some.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), v.alias("v")) for i, v in enumerate(_surroundings())]))).filter("__s.v is not null")
@@ -168,8 +256,8 @@ def with_first(found: DataFrame, hot: int = HOT) -> DataFrame:
         # written, so that what is joined is dealt out by its rows alone and a hot group can be split
         few = small_or_merged(written(few, "hot-firsts"))
         some = some.join(few, ["key", "__kind", "__v"]).filter("doc_id > __f.doc_id")
-        cold = cold.select(*found.columns, "__f").union(some.select(*found.columns, "__f"))
-    return cold.select(*found.columns, F.col("__f.doc_id").alias("b"), F.col("__f.c").alias("bc"))
+        cold = cold.union(some.select("doc_id", "key", "ctx", "far", "l", "c", "r", F.col("__f.doc_id"), F.col("__f.c")))
+    return cold
 
 
 def candidates(found: DataFrame, passage: int = PASSAGE, enough: int = ENOUGH, hot: int = HOT) -> DataFrame:
@@ -219,6 +307,9 @@ def joined(runs: list[tuple[int, int, int]], width: int, similarity: float) -> l
     if not runs or runs[-1][0] + runs[-1][2] - runs[0][0] < width:
         return []
     least = 2 * similarity / (1 + similarity)  # of both sides' shingles, for this Jaccard similarity
+    # a stretch has `width` shingles of x and at least its equal ones of y
+    if (2 - least) * sum(n for _, _, n in runs) < least * width - 1e-6:
+        return []
     before, after, total = [], [], 0.0
     for k, (s, t, n) in enumerate(runs):
         if k:
@@ -347,9 +438,27 @@ def edge_grams(x: np.ndarray, equal: list[tuple[int, int]], size: int) -> tuple[
     at = np.flatnonzero(near & ~within)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    runs = np.lib.stride_tricks.sliding_window_view(x, size)
-    factors = _MIX[0, 1] ** np.arange(1, size + 1, dtype=np.uint64)
-    return at, np.concatenate([mixed(mixed(runs[at[i : i + 4096]]) @ factors) for i in range(0, len(at), 4096)])
+    # a run's sum of hashes by powers of an odd number, from the sums of all beginnings of x
+    factor = int(_MIX[0, 1])
+    powers, back = (np.cumprod(np.full(len(x), f, np.uint64)) for f in (factor, pow(factor, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(x) * powers)])
+    return at, mixed((sums[at + size] - sums[at]) * back[at] * powers[0])
+
+
+def edge_bundles(x: np.ndarray, equal: list[tuple[int, int]], spans: list[tuple[int, int, int]], size: int) -> tuple[np.ndarray, ...]:
+    """The runs of `edge_grams` in bundles: first place, number of runs, key, and whether one of `spans` holds them; and the hashes of all runs.
+
+    A bundle's runs lie side by side and have the same least shingle, by which its key is told. So equal runs are in bundles of one key, whatever else is in these.
+    """
+    at, hashes = edge_grams(x, equal, size)
+    if not len(at):
+        return at, at, hashes, at > 0, hashes
+    inside = np.zeros(len(x), bool)
+    for s, e, _ in spans:
+        inside[s : max(s, e - size + 1)] = True
+    held, least = inside[at], _sliding(mixed(x), size, np.minimum)[at]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (held[1:] != held[:-1])]))
+    return at[new], np.diff(np.append(new, len(at))), mixed(least[new] + np.uint64(size)), held[new], hashes
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, hub: int = HUB) -> DataFrame:
@@ -376,9 +485,9 @@ SPANS = "doc_id long, start int, n_words int, source_doc_id long, source_start i
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, edges: bool) -> DataFrame:
-    """SPANS of pairs (a, b, anchors) whose texts (id, text) agree; with edges also `edge`, null in these rows, and a row for each run that `edge_grams` tells (its place is start)."""
+    """SPANS of pairs (a, b, anchors) whose texts (id, text) agree; with edges also `edge`, null in these rows, and a row for each of `edge_bundles` (start: its first place, edge: its key, runs: their hashes, held)."""
     both = _with_texts(pairs, texts)
-    schema = SPANS + ", edge long" * edges
+    schema = SPANS + ", edge long, runs array<long>, held boolean" * edges
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -394,27 +503,43 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, e
                 known = {t: known[t] for t in texts if t in known} | dict(zip(new, shingled(new), strict=True))
                 for d, o, p, t, u in zip(a, b, anchors, at, bt, strict=True):
                     x, y, equal = known[t or ""], known[u or ""], [] if edges else None
-                    rows += [(d, s, e - s + SHINGLE - 1, o, t) for s, e, t in verified(x, y, list(zip(p[::2], p[1::2], strict=True)), width, similarity, equal)]
+                    spans = verified(x, y, list(zip(p[::2], p[1::2], strict=True)), width, similarity, equal)
+                    rows += [(d, s, e - s + SHINGLE - 1, o, t) for s, e, t in spans]
                     if equal:
-                        told += [(d, size, *edge_grams(x, equal, size)) for size in (width, width // 2 + 1)]
+                        told += [(d, size, *edge_bundles(x, equal, spans, size)) for size in (width, width // 2 + 1)]
                 cols = [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(rows), pa.int64())] * edges], names=names)
+                more = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.list_(pa.int64()), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*cols, *(more if edges else [])], names=names)
                 if told:
                     n = [len(t[2]) for t in told]
                     doc, words = (np.repeat(np.array([t[k] for t in told], np.int64), n) for k in (0, 1))
-                    place, edge = (np.concatenate([t[k] for t in told]) for k in (2, 3))
-                    cols = [pa.array(doc), pa.array(place.astype(np.int32)), pa.array((words + SHINGLE - 1).astype(np.int32)), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32()), pa.array(edge.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    place, many, edge, held, runs = (np.concatenate([t[k] for t in told]) for k in (2, 3, 4, 5, 6))
+                    ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                    cols = [pa.array(doc), pa.array(place.astype(np.int32)), pa.array((words + SHINGLE - 1).astype(np.int32)), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())]
+                    more = [pa.array(edge.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(runs.view(np.int64))), pa.array(held)]
+                    yield pa.RecordBatch.from_arrays([*cols, *more], names=names)
 
     return both.select("a", "b", "anchors", "at", "bt").mapInArrow(tidied(verify), schema)
 
 
 def hidden(edges: DataFrame, spans: DataFrame) -> DataFrame:
-    """a, b, anchors as of `candidates`: runs (doc_id, start, n_words, edge) that no span of their document holds, each with the first document that told the same one."""
-    shared = edges.groupBy("edge").agg(F.min("doc_id").alias("__lo"), F.max("doc_id").alias("__hi")).filter("__lo < __hi").select(F.col("edge").alias("__edge"), "__lo")
-    # written, so that what is joined is dealt out by its rows alone and a common run can be split
-    shared = small_or_merged(written(shared, "shared-edges"))
-    met = written(edges.join(shared, edges["edge"] == shared["__edge"]).select("doc_id", "start", "n_words", "edge", F.col("__lo").alias("lo")), "edges-met")
+    """a, b, anchors as of `candidates`: runs that no span of their document holds, each with the first document that told the same one.
+
+    edges: `edge_bundles` (doc_id, start, n_words, edge, runs, held). Runs leave their bundles only where a run that is not held shares its key with an earlier document.
+    """
+
+    def with_first(told):
+        first = told.groupBy("edge").agg(F.min("doc_id").alias("__lo"), F.max(F.when(~F.col("held"), F.col("doc_id"))).alias("__hi"))
+        # written, so that what is joined is dealt out by its rows alone and a common run can be split
+        return small_or_merged(written(first.filter("__lo < __hi").select(F.col("edge").alias("__edge"), "__lo"), "shared-edges"))
+
+    keys = with_first(edges)
+    runs = edges.join(keys, edges["edge"] == keys["__edge"], "left_semi").select("doc_id", "start", "n_words", "held", F.posexplode("runs").alias("__i", "edge"))
+    runs = written(runs.select("doc_id", (F.col("start") + F.col("__i")).alias("start"), "n_words", "held", "edge"), "edge-runs")
+    shared = with_first(runs)
+    met = runs.join(shared, runs["edge"] == shared["__edge"]).filter("doc_id = __lo or not held")
+    met = written(met.select("doc_id", "start", "n_words", "edge", F.col("__lo").alias("lo")), "edges-met")
+    discard(runs)
     told = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__told"))
     later = met.filter("doc_id > lo").hint("merge").join(told, F.col("doc_id") == told["__id"], "left")
     later = later.filter("__told is null or not exists(__told, t -> t.start <= start and start + n_words <= t.start + t.n_words)").select("doc_id", "start", "edge", "lo")
@@ -430,18 +555,19 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILAR
     width = passage - SHINGLE + 1
     found = written(windows(docs, passage), "windows")
     pairs = written(candidates(found, passage, enough), "passage-candidates")
+    discard(found)
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
     texts = written(texts, "candidate-texts")
     some = written(_verify(pairs, texts, width, similarity, edges=True), "passages-and-edges")
-    spans = some.filter("edge is null").drop("edge")
+    spans = some.filter("edge is null").drop("edge", "runs", "held")
     more = written(hidden(some.filter("edge is not null"), spans), "hidden-candidates")
     if more.take(1):
         spans = spans.union(_verify(more, texts, width, similarity, edges=False))
     # of several earlier occurrences the first one names the passage
     spans = spans.groupBy("doc_id", "start", "n_words").agg(F.min(F.struct("source_doc_id", "source_start")).alias("s"))
     spans = written(spans.select("doc_id", "start", "n_words", "s.source_doc_id", "s.source_start"), "passages")
-    discard(found, pairs, ids, texts, some, more)
+    discard(pairs, ids, texts, some, more)
     return spans
 
 

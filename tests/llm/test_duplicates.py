@@ -492,3 +492,57 @@ def test_anchors_of_one_chain_are_chained_once(monkeypatch):
     monkeypatch.setattr(passages, "chained", lambda *a: calls.append(a) or chained(*a))
     got = passages.verified(x, y, anchors, 46, 0.8)
     assert len(calls) <= 3 and any(s <= 2000 and e >= 2060 for s, e, _ in got)
+
+
+def test_compact_windows_of_many_texts_at_once():
+    """The windows of all parts are those of each one, ties in short and in long stretches included."""
+    rng = np.random.default_rng(91)
+    kinds = [lambda n: rng.integers(1, 1 << 63, n), lambda n: rng.integers(1, 200, n), lambda n: np.tile(rng.integers(1, 1 << 63, 7), n // 7 + 1)[:n], lambda n: np.full(n, 5)]
+    for _ in range(30):
+        parts = [kinds[rng.integers(0, 4)](int(rng.integers(0, 1500))).astype(np.uint64) for _ in range(rng.integers(1, 6))]
+        v, from_ = np.zeros(1, np.uint64), []
+        for p in parts:
+            from_.append(len(v))
+            v = np.concatenate([v, p, np.zeros(1, np.uint64)])
+        got = sorted(zip(*(x.tolist() for x in passages.compact_windows_of_all(v, np.array(from_), 46)), strict=True))
+        assert got == sorted((i, *w) for i, p in enumerate(parts) for w in passages.compact_windows(p, 46))
+
+
+def test_first_windows_by_batches(spark):
+    """First windows of the same surroundings, a key's rows in many batches, against a plain search."""
+    rng = np.random.default_rng(92)
+    n = 600
+    rows = {(int(d), int(k), int(c)): (int(x), int(f)) for d, k, c, x, f in zip(rng.integers(0, 40, n), rng.integers(0, 30, n) ** 2 // 40, rng.integers(0, 9, n), rng.choice([0, 3, 1 << 16, 3 << 16 | 3, -1], n), rng.choice([0, 7, 5 << 16, -9], n), strict=True)}
+    part = lambda v, shift: v >> shift & 0xFFFF
+    kinds = [lambda x, f: part(x, 16), lambda x, f: part(x, 0), lambda x, f: part(f, 16), lambda x, f: part(f, 0), lambda x, f: x if part(x, 16) and part(x, 0) else 0]
+    want = set()
+    for (d, k, c), xf in rows.items():
+        for kind in kinds:
+            first = min((e, b) for (e, j, b), yg in rows.items() if j == k and kind(*yg) == kind(*xf))
+            if kind(*xf) and first[0] < d:
+                want.add((d, k, c, *first))
+    found = spark.createDataFrame([(d, k, x, f, 0, c, 90) for (d, k, c), (x, f) in rows.items()], "doc_id long, key long, ctx int, far int, l int, c int, r int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for hot in (0, passages.HOT):
+            got = [(r.doc_id, r.key, r.c, r.b, r.bc) for r in passages.with_first(found, hot).collect()]
+            assert set(got) == want and (hot == 0 or len(got) == len(want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_runs_over_an_edge_are_told_in_few_rows(spark):
+    """38 runs reach over each end of what a pair shares: few rows tell them, and runs that a span holds are marked."""
+    rng = random.Random(93)
+    p = prose(rng, 120, "shared")
+    texts = [" ".join([*prose(rng, 90, f"s{i}"), *p[:70], *["edited"] * i, *p[70:], *prose(rng, 90, f"e{i}")]) for i in range(2)]
+    pairs = spark.createDataFrame([(1, 0, [100, 100])], "a long, b long, anchors array<int>")
+    got = passages._verify(pairs, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 46, 0.8, edges=True).collect()
+    told = [r for r in got if r.edge is not None]
+    x, y = passages.shingled(texts[::-1])
+    equal = []
+    spans = passages.verified(x, y, [(100, 100)], 46, 0.8, equal)
+    want = {(int(at), size + 4, int(h)) for size in (46, 24) for at, h in zip(*passages.edge_grams(x, equal, size), strict=True)}
+    flat = [(r.start + i, r.n_words, h % (1 << 64), r.held) for r in told for i, h in enumerate(r.runs)]
+    assert len(want) >= 3 * 38 and {f[:3] for f in flat} == want and len(told) <= len(want) // 4
+    assert all(held == any(s <= at and at + n - 4 <= e for s, e, _ in spans) for at, n, _, held in flat) and {f[3] for f in flat} == {True, False}
